@@ -1,0 +1,197 @@
+"""Bytes of one recording segment to rows: the small per-segment helper of the import job."""
+
+import struct
+import zlib
+
+# Fixed values of the file format.
+CONTAINER_MAGIC, CONTAINER_VERSION = b"GLRS", 1
+STREAM_MAGIC, STREAM_VERSIONS = b"GLR\0", (1, 2)
+LEGACY_MAGIC = b"GREENLNE"
+MAX_SEGMENT = 512 << 20
+MAX_FRAME = 64 << 20
+SCHEMA, EVENT, TEXT, STACK, RESET, META = 1, 2, 3, 4, 5, 6
+UINT, SINT, POOLED_TEXT, POOLED_STACK, FLAG, REAL, OPTIONAL = 1, 2, 3, 4, 5, 6, 0x80
+HAS_TIME = 1
+EVENT_KINDS = {1: "switch", 2: "gc", 3: "execution", 4: "sample"}
+EVENT_FIELDS = {
+    "switch": ("target", "label", "func", "task", "stack", "thread"),
+    "gc": ("start", "dur", "generation", "collected"),
+    "execution": ("dur", "gid", "name", "func", "task", "stack"),
+    "sample": ("lag_ms_s", "cpu_ms_s"),
+}
+TEXT_FIELDS = {"label", "name", "func", "task", "stack"}
+SIGNED_FIELDS = {"generation", "collected"}
+REAL_FIELDS = {"lag_ms_s", "cpu_ms_s"}
+
+
+class Corrupt(ValueError):
+    """Bytes that cannot be part of a recording."""
+
+
+class Incomplete(Corrupt):
+    """The bytes end inside a frame."""
+
+
+def signed64(n):
+    return n - (1 << 64) if n >> 63 else n
+
+
+class _Bytes:
+    def __init__(self, data, at=0, end=None):
+        self.data, self.at, self.end = data, at, len(data) if end is None else end
+
+    def take(self, n):
+        start, self.at = self.at, self.at + n
+        if self.at > self.end:
+            raise Incomplete(f"frame ends {self.at - self.end} bytes early")
+        return self.data[start:self.at]
+
+    def uint(self):
+        value = 0
+        for shift in range(0, 70, 7):
+            byte = self.take(1)[0]
+            value |= (byte & 0x7F) << shift
+            if byte < 0x80:
+                if value >> 64:
+                    break
+                return value
+        raise Corrupt("overlong number")
+
+    def sint(self):
+        n = self.uint()
+        return (n >> 1) ^ -(n & 1)
+
+    def text(self):
+        return bytes(self.take(self.uint())).decode("utf-8", "replace")
+
+    def fixed(self, size):
+        return int.from_bytes(self.take(size), "little")
+
+
+def _pooled(pool, what, i):
+    if i >= len(pool):
+        raise Corrupt(f"undefined {what} id {i}")
+    return pool[i]
+
+
+def read_rows(data):
+    """Yield ``(kind, fields)`` for every known event and meta frame of one stream.
+
+    Rows before a fault are yielded before it is raised: ``Incomplete`` where the bytes end inside a frame,
+    ``Corrupt`` for anything else.
+    """
+    if len(data) < 5:
+        raise Incomplete("header ends early")
+    if bytes(data[:4]) != STREAM_MAGIC:
+        raise Corrupt("bad magic")
+    if data[4] not in STREAM_VERSIONS:
+        raise Corrupt(f"unsupported trace format version {data[4]}")
+    texts, stacks, schemas, clock = [""], [""], {}, 0
+    at = 5
+    while at < len(data):
+        head = _Bytes(data, at + 1)
+        size = head.uint()
+        if size > MAX_FRAME:
+            raise Corrupt(f"trace frame too large ({size} bytes)")
+        tag, body = data[at], _Bytes(data, head.at, head.at + size)
+        at = body.end
+        if at > len(data):
+            raise Incomplete("last frame is cut off")
+        try:
+            if tag == TEXT:
+                texts.append(body.text())
+            elif tag == STACK:
+                frames = [_pooled(texts, "string", body.uint()) for _ in range(body.uint())]
+                stacks.append(" <- ".join(frames))
+            elif tag == RESET:
+                clock = body.fixed(8)
+            elif tag == META:
+                yield "meta", {"epoch_ms": signed64(body.uint()), "tid": signed64(body.uint()),
+                               "pid": body.sint(), "pyinfo": body.text()}
+            elif tag == SCHEMA:
+                type_id, flags = body.fixed(2), body.fixed(1)
+                body.text()
+                kinds = []
+                for _ in range(body.uint()):
+                    body.text()
+                    kinds.append(body.fixed(1))
+                    body.fixed(1)
+                schemas[type_id] = (bool(flags & HAS_TIME), kinds)
+            elif tag == EVENT:
+                type_id = body.fixed(2)
+                if type_id not in schemas:
+                    raise Corrupt(f"undefined schema {type_id}")
+                has_time, kinds = schemas[type_id]
+                if has_time:
+                    clock = (clock + body.fixed(3)) % (1 << 64)
+                values = [_field(body, k, texts, stacks) for k in kinds]
+                row = _event(EVENT_KINDS.get(type_id), values, clock if has_time else 0)
+                if row:
+                    yield row
+        except Incomplete as fault:
+            raise Corrupt(str(fault)) from fault
+
+
+def _field(body, kind, texts, stacks):
+    if kind & OPTIONAL and not body.fixed(1):
+        return UINT, 0
+    kind &= ~OPTIONAL
+    if kind == UINT:
+        return kind, body.uint()
+    if kind == SINT:
+        return kind, body.sint()
+    if kind == FLAG:
+        return kind, bool(body.fixed(1))
+    if kind == REAL:
+        return kind, struct.unpack("<d", bytes(body.take(8)))[0]
+    if kind == POOLED_TEXT:
+        return kind, _pooled(texts, "string", body.uint())
+    if kind == POOLED_STACK:
+        return kind, _pooled(stacks, "stack", body.uint())
+    raise Corrupt(f"unknown field type tag {kind}")
+
+
+def _event(name, values, clock):
+    """A known event's fields by position; unknown events and short ones are skipped."""
+    fields = EVENT_FIELDS.get(name, ())
+    if not fields or len(values) < len(fields):
+        return None
+    row = {"switch": {"ts": signed64(clock)}, "gc": {}}.get(name, {"start": signed64(clock)})
+    for field, (kind, value) in zip(fields, values):
+        if field in TEXT_FIELDS:
+            row[field] = value if kind in (POOLED_TEXT, POOLED_STACK) else ""
+        elif field in SIGNED_FIELDS:
+            row[field] = value if kind == SINT else 0
+        elif field in REAL_FIELDS:
+            row[field] = value if kind == REAL else 0.0
+        else:
+            row[field] = signed64(value) if kind == UINT else 0
+    return name, row
+
+
+def split_container(data):
+    """Yield ``(segment number, is the file's last bytes, raw length, packed bytes)``.
+
+    A header or body cut off by the end of the file is the unsealed tail and is left out; a length past the
+    limit is an error.
+    """
+    at, number = 5, 0
+    while at + 8 <= len(data):
+        raw, packed = struct.unpack_from("<II", data, at)
+        if raw > MAX_SEGMENT or packed > MAX_SEGMENT:
+            raise Corrupt(f"corrupt segment length (raw {raw}, packed {packed})")
+        stop = at + 8 + packed
+        if stop > len(data):
+            return
+        yield number, stop == len(data), raw, data[at + 8:stop]
+        at, number = stop, number + 1
+
+
+def unpack(raw, packed):
+    try:
+        data = zlib.decompress(packed, -15)
+    except zlib.error as fault:
+        raise Corrupt(f"decompressing segment: {fault}") from fault
+    if len(data) != raw:
+        raise Corrupt(f"segment size mismatch (header {raw}, inflated {len(data)})")
+    return data

@@ -1,0 +1,130 @@
+"""Import of binary recordings: many files, one task for each sealed segment."""
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.predicates import is_hub
+from ..schema import CAPTURE, SEQ
+from . import frames
+
+_SEGMENT = "capture_id string, segment long, form string, is_last boolean, raw long, packed binary, fault string"
+_NUMBERS = ("seq", "start", "dur", "gid", "generation", "collected", "ts", "target", "thread", "epoch_ms",
+            "tid", "pid")
+_TEXTS = ("name", "func", "task", "stack", "label", "pyinfo", "fault")
+_REALS = ("lag_ms_s", "cpu_ms_s")
+_ITEM = ", ".join(
+    ["capture_id string", "kind string"] + [f"{c} long" for c in _NUMBERS] + [f"{c} string" for c in _TEXTS]
+    + [f"{c} double" for c in _REALS]
+)
+_ITEM_COLUMNS = [c.split()[0] for c in _ITEM.split(", ")]
+ROWS_PER_BATCH = 16_384
+
+
+def _segments(mode):
+    """Whole files to their segments.  What cannot be read at all is an error, or a ``fault`` row."""
+    def of_file(path, data):
+        try:
+            if data[:8] == frames.LEGACY_MAGIC:
+                raise frames.Corrupt("legacy text recording; record again")
+            if len(data) >= 5 and data[:4] == frames.CONTAINER_MAGIC:
+                if data[4] != frames.CONTAINER_VERSION:
+                    raise frames.Corrupt(f"unsupported container version {data[4]}")
+                for number, is_last, raw, packed in frames.split_container(data):
+                    yield path, number, "segment", is_last, raw, packed, None
+            elif data[:4] == frames.STREAM_MAGIC:
+                yield path, 0, "stream", True, len(data), data, None
+            else:
+                raise frames.Corrupt("bad magic")
+        except frames.Corrupt as fault:
+            if mode == "fail":
+                raise ValueError(f"{path}: {fault}") from fault
+            yield path, -1, "none", True, 0, b"", str(fault)
+
+    def split(batches):
+        for batch in batches:
+            for path, data in zip(batch["path"], batch["content"]):
+                for row in of_file(path, bytes(data)):
+                    yield pd.DataFrame([row], columns=[c.split()[0] for c in _SEGMENT.split(", ")])
+
+    return split
+
+
+def _items(mode):
+    """Segments to rows.  Only a file's last segment may be torn; its rows before the fault are kept."""
+    def of_segment(s):
+        capture, fault = s.capture_id, s.fault
+        if fault is None:
+            base = int(s.segment) << 32
+            try:
+                packed = bytes(s.packed)
+                data = frames.unpack(int(s.raw), packed) if s.form == "segment" else packed
+                for i, (kind, row) in enumerate(frames.read_rows(data)):
+                    yield {"capture_id": capture, "kind": kind, "seq": base + i, **row}
+                return
+            except frames.Corrupt as error:
+                fault = str(error)
+                torn = s.form == "segment" and s.is_last
+                if mode == "fail" and not torn:
+                    raise ValueError(f"{capture}: corrupt segment {s.segment}: {fault}") from error
+        yield {"capture_id": capture, "kind": "fault", "seq": max(int(s.segment), 0) << 32, "fault": fault}
+
+    def decode(batches):
+        for batch in batches:
+            for s in batch.itertuples(index=False):
+                rows = []
+                for row in of_segment(s):
+                    rows.append(row)
+                    if len(rows) == ROWS_PER_BATCH:
+                        yield _frame(rows)
+                        rows = []
+                if rows:
+                    yield _frame(rows)
+
+    return decode
+
+
+def _frame(rows):
+    out = pd.DataFrame(rows, columns=_ITEM_COLUMNS)
+    return out.astype({c: "Int64" for c in _NUMBERS} | {c: "float64" for c in _REALS})
+
+
+def decode_recordings(spark: SparkSession, path, mode: str = "fail", partitions: int | None = None) -> DataFrame:
+    """Every item of the recordings at ``path`` (files, folders or globs) as one row with its ``kind``.
+
+    ``mode`` is ``fail``, or ``keep`` to turn unreadable files and segments into ``fault`` rows while keeping
+    what was decoded before the fault.  A file is read by one task, its segments are spread over
+    ``partitions`` before they are decoded.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    segments = files.mapInPandas(_segments(mode), _SEGMENT)
+    width = partitions or spark.sparkContext.defaultParallelism * 4
+    return segments.repartition(width, CAPTURE, "segment").mapInPandas(_items(mode), _ITEM)
+
+
+def import_recordings(spark: SparkSession, path, out: str, mode: str = "fail") -> None:
+    """Decode recordings once and append their items to the Parquet table ``out``, partitioned by kind."""
+    items = decode_recordings(spark, path, mode)
+    items.write.mode("append").partitionBy("kind").parquet(out)
+
+
+def imported(spark: SparkSession, out: str) -> dict[str, DataFrame]:
+    """The typed tables of an imported folder."""
+    return tables_of(spark.read.schema(_ITEM).parquet(out))
+
+
+def tables_of(items: DataFrame) -> dict[str, DataFrame]:
+    of = lambda kind: items.filter(F.col("kind") == kind)
+    return {
+        "executions": of("execution").select(
+            CAPTURE, SEQ, "gid", "start", "dur", (F.col("start") + F.col("dur")).alias("end"), "name", "func",
+            "task", "stack", is_hub("name").alias("is_hub"),
+        ),
+        "gc": of("gc").select(CAPTURE, SEQ, "start", "dur", "generation", "collected"),
+        "samples": of("sample").select(CAPTURE, SEQ, "start", "lag_ms_s", "cpu_ms_s"),
+        "switches": of("switch").select(
+            CAPTURE, SEQ, "thread", "ts", "target", "label", "func", "task", "stack"
+        ),
+        "meta": of("meta").select(CAPTURE, SEQ, "epoch_ms", "tid", "pid", "pyinfo"),
+        "faults": of("fault").select(CAPTURE, SEQ, "fault"),
+    }
