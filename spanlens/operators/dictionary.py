@@ -51,7 +51,9 @@ def track_positions(rows: DataFrame) -> DataFrame:
 def render_columns(rows: DataFrame, t0: int, tracks: DataFrame | None = None) -> DataFrame:
     """Float32 start and length in ms relative to ``t0`` and the track's place; an unknown track is 0."""
     tracks = track_positions(rows) if tracks is None else tracks
-    ms = lambda c: (c.cast("float") / 1e6).cast("float")
+    # The ns are rounded to float32 first.  Spark would merge that cast with the one to DOUBLE; nanvl keeps it.
+    rounded = lambda c: F.nanvl(c.cast("float"), F.lit(0.0).cast("float"))
+    ms = lambda c: (rounded(c) / 1e6).cast("float")
     return rows.join(tracks, [CAPTURE, "gid"], "left").select(
         CAPTURE, SEQ, ms(F.col("start") - t0).alias("start_ms"), ms(F.col("dur")).alias("dur_ms"),
         F.coalesce("track_idx", F.lit(0)).alias("track_idx"),

@@ -78,7 +78,7 @@ def report_json(spark, d):
         CAPTURE, at("$.totalExecutions", "long").alias("total"), at("$.spanNs", "long").alias("span_ns"),
         at("$.epochMs", "long").alias("epoch_ms"), at("$.p95Ns", "long").alias("p95_ns"),
         at("$.longCount", "long").alias("long_count"), at("$.gcTotalNs", "long").alias("gc_total_ns"),
-        at("$.gcByGen[1].totalNs", "long").alias("gen1_ns"), at("$.slowest[2].dur", "long").alias("third_dur"),
+        at("$.gcByGen[0].totalNs", "long").alias("gen0_ns"), at("$.slowest[2].dur", "long").alias("third_dur"),
         at("$.topGreenlets[0].name", "string").alias("top_track"),
         at("$.topFuncs[0].func", "string").alias("top_func"),
     )

@@ -228,7 +228,7 @@ _sql("report_json", """SELECT e.capture_id, count(*) AS total, max(stop) - arg_m
   any_value(m.epoch) AS epoch_ms, any_value(p95) AS p95_ns,
   count(*) FILTER (NOT is_hub AND dur >= 20000000) AS long_count,
   (SELECT sum(total)::BIGINT FROM tg WHERE tg.capture_id = e.capture_id) AS gc_total_ns,
-  (SELECT total FROM tg WHERE tg.capture_id = e.capture_id AND generation = 1) AS gen1_ns,
+  (SELECT arg_min(total, generation) FROM tg WHERE tg.capture_id = e.capture_id) AS gen0_ns,
   (SELECT dur FROM ts WHERE ts.capture_id = e.capture_id AND rank = 3) AS third_dur,
   (SELECT name FROM tt WHERE tt.capture_id = e.capture_id AND rank = 1) AS top_track,
   (SELECT func FROM tf WHERE tf.capture_id = e.capture_id AND rank = 1) AS top_func
