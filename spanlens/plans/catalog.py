@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from .. import schema
 from ..functions import formats as fmt
 from ..functions import predicates as pred
 from ..functions import procfs, stacks
@@ -15,6 +16,7 @@ from ..operators import sequence as sq
 from ..operators import series as ser
 from ..schema import CAPTURE, SEQ
 from ..sources import captures as cap
+from ..streaming import live
 from . import event_views as v
 from . import report as rep
 
@@ -738,3 +740,81 @@ def parse_cpu_max(spark, d):
         F.col("k") % 4 == 1, F.concat((F.col("k") * 1000).cast("string"), F.lit(" 50000"))
     ).otherwise((F.col("k") * 1000).cast("string"))
     return b.select(*KEY, procfs.parse_cpu_max(text).alias("cores"))
+
+
+# Streaming ---------------------------------------------------------------------------------------------------
+
+ONCE = {"availableNow": True}
+
+
+def _arriving(spark, df, start, parts: int = 2):
+    """Append ``df`` to a new folder in ``parts`` steps of arrival, running the stream to its end after each."""
+    path, out = cap.scratch(spark, "arrivals"), cap.scratch(spark, "out")
+    first, last = df.agg(F.min(SEQ), F.max(SEQ)).first()
+    width = (last - first) // parts + 1
+    for i in range(parts):
+        low = first + i * width
+        df.filter((F.col(SEQ) >= low) & (F.col(SEQ) < low + width)).write.mode("append").parquet(path)
+        start(path, out).awaitTermination()
+    return out
+
+
+@query
+def stream_switches(spark, d):
+    out = _arriving(spark, v.switches(spark, d), lambda path, out: live.parquet_append_sink(
+        live.stream_switches(spark, path), f"{out}/rows", f"{out}/offsets", ONCE))
+    return spark.read.schema(schema.SWITCHES).parquet(f"{out}/rows")
+
+
+def _rows(df):
+    return df.select(*KEY, "gid", "start", "dur", "name", "func", "task", "stack", "is_hub")
+
+
+@query
+def parquet_append_sink(spark, d):
+    out = _arriving(spark, v.executions(spark, d).drop("thread"), lambda path, out: live.parquet_append_sink(
+        live.stream_executions(spark, path), f"{out}/rows", f"{out}/offsets", ONCE))
+    return _rows(spark.read.schema(schema.EXECUTIONS).parquet(f"{out}/rows"))
+
+
+@query
+def micro_batch_flush(spark, d):
+    out = _arriving(spark, v.executions(spark, d).drop("thread"), lambda path, out: live.parquet_append_sink(
+        live.stream_executions(spark, path, max_files=1), f"{out}/rows", f"{out}/offsets", ONCE))
+    return _rows(spark.read.schema(schema.EXECUTIONS).parquet(f"{out}/rows"))
+
+
+@query
+def stream_tail(spark, d):
+    out = _arriving(spark, v.executions(spark, d).drop("thread"), lambda path, out: live.stream_tail(
+        spark, path, f"{out}/rows", f"{out}/offsets", T0, ONCE))
+    return _rows(spark.read.schema(schema.EXECUTIONS).parquet(f"{out}/rows"))
+
+
+@query
+def stream_retention(spark, d):
+    out = _arriving(spark, v.executions(spark, d).drop("thread"), lambda path, out: live.parquet_append_sink(
+        live.stream_executions(spark, path), f"{out}/rows", f"{out}/offsets", ONCE))
+    stored = spark.read.schema(schema.EXECUTIONS).parquet(f"{out}/rows")
+    return rank.retention_horizon(rank.retention_cap(stored, 1500))
+
+
+@query
+def fold_switches_stream(spark, d):
+    out = _arriving(spark, v.switches(spark, d), lambda path, out: live.fold_switches_stream(
+        live.stream_switches(spark, path), out, f"{out}/offsets", ONCE))
+    return spark.read.parquet(f"{out}/rows").drop("end", live.BATCH)
+
+
+@query
+def live_aggregates(spark, d):
+    out = _arriving(spark, v.executions(spark, d).drop("thread"), lambda path, out: live.live_aggregates(
+        live.stream_executions(spark, path), out, f"{out}/offsets", ONCE))
+    return live.latest(spark, f"{out}/head").drop("changed")
+
+
+@query
+def late_rows(spark, d):
+    out = _arriving(spark, v.executions_dense(spark, d).drop("thread"), lambda path, out: live.mark_late_stream(
+        live.stream_executions(spark, path), out, f"{out}/offsets", ONCE))
+    return spark.read.parquet(f"{out}/rows").select(*KEY, "start", "dur", "late")

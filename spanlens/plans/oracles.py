@@ -443,3 +443,22 @@ _rows("parse_cpu_stat", """k AS nr_periods, CASE WHEN k % 5 = 0 THEN 0 ELSE gid
 _rows("parse_psi", "CASE WHEN k % 6 > 0 THEN k / 4.0::DOUBLE END AS avg10", "b")
 _rows("parse_cpu_max", """CASE WHEN k % 4 = 0 THEN NULL WHEN k % 4 = 1 THEN k * 1000.0::DOUBLE / 50000
   ELSE k * 1000.0::DOUBLE / 100000 END AS cores""", "b")
+
+# Streaming
+_ALL = "gid, start, dur, name, func, task, stack, is_hub"
+_rows("stream_switches", "thread, ts, target, label, func, task, stack", "switches")
+_rows("parquet_append_sink", _ALL)
+_rows("micro_batch_flush", _ALL)
+_rows("stream_tail", _ALL, "e", f"WHERE start > {T0}")
+_sql("stream_retention", """SELECT capture_id, coalesce(min(start) FILTER (n > 1500 AND r <= 1500), 0) AS retained_from,
+  count(*) FILTER (r <= 1500) AS held FROM ranked GROUP BY capture_id""", KEPT)
+_sql("fold_switches_stream", FOLD)
+_sql("live_aggregates", """SELECT capture_id, total, bytes, span, (SELECT count(*) FROM e WHERE NOT is_hub
+  AND dur >= 20000000 AND e.capture_id = c.capture_id) AS long_count, (SELECT count(*) FROM e WHERE NOT is_hub
+  AND dur >= 50000000 AND e.capture_id = c.capture_id) AS blocked_count FROM c""", COUNTS)
+_rows("late_rows", "start, dur, coalesce(start < high, false) AS late", "seen", "WHERE c = 'dense'", SORTED)
+
+
+def with_views(body):
+    """``body`` over the derived views."""
+    return "WITH " + _VIEWS.strip() + "\n" + body

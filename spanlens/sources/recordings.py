@@ -1,23 +1,31 @@
 """Import of binary recordings: many files, one task for each sealed segment."""
 
-import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from ..functions.predicates import is_hub
 from ..schema import CAPTURE, SEQ
 from . import frames
 
-_SEGMENT = "capture_id string, segment long, form string, is_last boolean, raw long, packed binary, fault string"
+# The decoder travels with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(frames)
+
+_SEGMENT = pa.schema([
+    ("capture_id", pa.string()), ("segment", pa.int64()), ("form", pa.string()), ("is_last", pa.bool_()),
+    ("raw", pa.int64()), ("packed", pa.binary()), ("fault", pa.string()),
+])
 _NUMBERS = ("seq", "start", "dur", "gid", "generation", "collected", "ts", "target", "thread", "epoch_ms",
             "tid", "pid")
 _TEXTS = ("name", "func", "task", "stack", "label", "pyinfo", "fault")
 _REALS = ("lag_ms_s", "cpu_ms_s")
-_ITEM = ", ".join(
-    ["capture_id string", "kind string"] + [f"{c} long" for c in _NUMBERS] + [f"{c} string" for c in _TEXTS]
-    + [f"{c} double" for c in _REALS]
+_ITEM = pa.schema(
+    [("capture_id", pa.string()), ("kind", pa.string())] + [(c, pa.int64()) for c in _NUMBERS]
+    + [(c, pa.string()) for c in _TEXTS] + [(c, pa.float64()) for c in _REALS]
 )
-_ITEM_COLUMNS = [c.split()[0] for c in _ITEM.split(", ")]
+_SEGMENT_SCHEMA, _ITEM_SCHEMA = from_arrow_schema(_SEGMENT), from_arrow_schema(_ITEM)
 ROWS_PER_BATCH = 16_384
 
 
@@ -43,9 +51,9 @@ def _segments(mode):
 
     def split(batches):
         for batch in batches:
-            for path, data in zip(batch["path"], batch["content"]):
-                for row in of_file(path, bytes(data)):
-                    yield pd.DataFrame([row], columns=[c.split()[0] for c in _SEGMENT.split(", ")])
+            for file in batch.to_pylist():
+                for row in of_file(file["path"], file["content"]):
+                    yield pa.RecordBatch.from_pylist([dict(zip(_SEGMENT.names, row))], _SEGMENT)
 
     return split
 
@@ -53,53 +61,51 @@ def _segments(mode):
 def _items(mode):
     """Segments to rows.  Only a file's last segment may be torn; its rows before the fault are kept."""
     def of_segment(s):
-        capture, fault = s.capture_id, s.fault
+        capture, fault, segment = s["capture_id"], s["fault"], s["segment"]
         if fault is None:
-            base = int(s.segment) << 32
+            base = segment << 32
             try:
-                packed = bytes(s.packed)
-                data = frames.unpack(int(s.raw), packed) if s.form == "segment" else packed
+                data = frames.unpack(s["raw"], s["packed"]) if s["form"] == "segment" else s["packed"]
                 for i, (kind, row) in enumerate(frames.read_rows(data)):
                     yield {"capture_id": capture, "kind": kind, "seq": base + i, **row}
                 return
             except frames.Corrupt as error:
                 fault = str(error)
-                torn = s.form == "segment" and s.is_last
+                torn = s["form"] == "segment" and s["is_last"]
                 if mode == "fail" and not torn:
-                    raise ValueError(f"{capture}: corrupt segment {s.segment}: {fault}") from error
-        yield {"capture_id": capture, "kind": "fault", "seq": max(int(s.segment), 0) << 32, "fault": fault}
+                    raise ValueError(f"{capture}: corrupt segment {segment}: {fault}") from error
+        yield {"capture_id": capture, "kind": "fault", "seq": max(segment, 0) << 32, "fault": fault}
 
     def decode(batches):
         for batch in batches:
-            for s in batch.itertuples(index=False):
+            for s in batch.to_pylist():
                 rows = []
                 for row in of_segment(s):
                     rows.append(row)
                     if len(rows) == ROWS_PER_BATCH:
-                        yield _frame(rows)
+                        yield pa.RecordBatch.from_pylist(rows, _ITEM)
                         rows = []
                 if rows:
-                    yield _frame(rows)
+                    yield pa.RecordBatch.from_pylist(rows, _ITEM)
 
     return decode
 
 
-def _frame(rows):
-    out = pd.DataFrame(rows, columns=_ITEM_COLUMNS)
-    return out.astype({c: "Int64" for c in _NUMBERS} | {c: "float64" for c in _REALS})
-
-
-def decode_recordings(spark: SparkSession, path, mode: str = "fail", partitions: int | None = None) -> DataFrame:
-    """Every item of the recordings at ``path`` (files, folders or globs) as one row with its ``kind``.
+def decode_files(files: DataFrame, mode: str = "fail", partitions: int | None = None) -> DataFrame:
+    """Every item of the recordings in ``files`` (``path``, ``content``) as one row with its ``kind``.
 
     ``mode`` is ``fail``, or ``keep`` to turn unreadable files and segments into ``fault`` rows while keeping
-    what was decoded before the fault.  A file is read by one task, its segments are spread over
-    ``partitions`` before they are decoded.
+    what was decoded before the fault.  A file is split by one task; its segments are spread over
+    ``partitions`` before they are decoded.  A file of an older form is one stream, hence one segment.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    segments = files.mapInPandas(_segments(mode), _SEGMENT)
-    width = partitions or spark.sparkContext.defaultParallelism * 4
-    return segments.repartition(width, CAPTURE, "segment").mapInPandas(_items(mode), _ITEM)
+    segments = files.select("path", "content").mapInArrow(_segments(mode), _SEGMENT_SCHEMA)
+    width = partitions or files.sparkSession.sparkContext.defaultParallelism * 4
+    return segments.repartition(width, CAPTURE, "segment").mapInArrow(_items(mode), _ITEM_SCHEMA)
+
+
+def decode_recordings(spark: SparkSession, path, mode: str = "fail", partitions: int | None = None) -> DataFrame:
+    """``decode_files`` of the files, folders or globs at ``path``; a capture is named by its file."""
+    return decode_files(spark.read.format("binaryFile").load(path), mode, partitions)
 
 
 def import_recordings(spark: SparkSession, path, out: str, mode: str = "fail") -> None:
@@ -110,7 +116,7 @@ def import_recordings(spark: SparkSession, path, out: str, mode: str = "fail") -
 
 def imported(spark: SparkSession, out: str) -> dict[str, DataFrame]:
     """The typed tables of an imported folder."""
-    return tables_of(spark.read.schema(_ITEM).parquet(out))
+    return tables_of(spark.read.schema(_ITEM_SCHEMA).parquet(out))
 
 
 def tables_of(items: DataFrame) -> dict[str, DataFrame]:

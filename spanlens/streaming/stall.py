@@ -58,7 +58,7 @@ class _Monitor(StatefulProcessor):
 def _count(batches):
     for batch in batches:
         n = batch.groupby(CAPTURE, as_index=False).agg(new_rows=("bytes", "size"), new_bytes=("bytes", "sum"))
-        yield n.astype({"new_rows": "int64", "new_bytes": "int64"})
+        yield n.astype({CAPTURE: object, "new_rows": "int64", "new_bytes": "int64"})
 
 
 def stall_monitor(stream: DataFrame, interval_ms: int = 5000) -> DataFrame:

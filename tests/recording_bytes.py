@@ -1,0 +1,105 @@
+"""A minimal writer of recording bytes, to make inputs for the import job."""
+
+import struct
+import zlib
+
+UINT, SINT, TEXT, STACK, REAL = 1, 2, 3, 4, 6
+SCHEMAS = {
+    1: ("switch", 1, [("target", UINT), ("label", TEXT), ("func", TEXT), ("task", TEXT), ("stack", STACK),
+                      ("thread", UINT)]),
+    2: ("gc", 0, [("start", UINT), ("dur", UINT), ("generation", SINT), ("collected", SINT)]),
+    3: ("execution", 1, [("dur", UINT), ("gid", UINT), ("name", TEXT), ("func", TEXT), ("task", TEXT),
+                         ("stack", STACK)]),
+    4: ("sample", 1, [("lag_ms_s", REAL), ("cpu_ms_s", REAL)]),
+}
+
+
+def number(n):
+    out = bytearray()
+    while True:
+        n, low = n >> 7, n & 0x7F
+        out.append(low | (0x80 if n else 0))
+        if not n:
+            return bytes(out)
+
+
+def signed(n):
+    return number(n * 2 if n >= 0 else -n * 2 - 1)
+
+
+def text(s):
+    raw = s.encode()
+    return number(len(raw)) + raw
+
+
+def frame(tag, body):
+    return bytes([tag]) + number(len(body)) + body
+
+
+class Stream:
+    """One self-contained stream; ``version`` 1 is the producer's, 2 the recorder's."""
+
+    def __init__(self, version=2, types=(1, 2, 3, 4)):
+        self.out = bytearray(b"GLR\0" + bytes([version]))
+        self.texts, self.stacks, self.clock = {"": 0}, {"": 0}, 0
+        for t in types:
+            name, flags, fields = SCHEMAS[t]
+            body = struct.pack("<HB", t, flags) + text(name) + number(len(fields))
+            body += b"".join(text(n) + bytes([kind, 0]) for n, kind in fields)
+            self.out += frame(1, body)
+
+    def text_id(self, s):
+        if s not in self.texts:
+            self.texts[s] = len(self.texts)
+            self.out += frame(3, text(s))
+        return self.texts[s]
+
+    def stack_id(self, joined):
+        if joined not in self.stacks:
+            ids = [self.text_id(f) for f in joined.split(" <- ")]
+            self.stacks[joined] = len(self.stacks)
+            self.out += frame(4, number(len(ids)) + b"".join(map(number, ids)))
+        return self.stacks[joined]
+
+    def meta(self, epoch_ms, tid, pid, pyinfo):
+        self.out += frame(6, number(epoch_ms) + number(tid) + signed(pid) + text(pyinfo))
+
+    def event(self, type_id, values, at=None):
+        kinds = [k for _, k in SCHEMAS[type_id][2]]
+        pack = {UINT: number, SINT: signed, TEXT: lambda v: number(self.text_id(v)),
+                STACK: lambda v: number(self.stack_id(v)), REAL: lambda v: struct.pack("<d", v)}
+        fields = b"".join(pack[k](v) for k, v in zip(kinds, values))
+        step = b""
+        if at is not None:
+            delta = at - self.clock
+            if not 0 <= delta < 1 << 24:
+                self.out += frame(5, struct.pack("<Q", at))
+                delta = 0
+            self.clock, step = at, delta.to_bytes(3, "little")
+        self.out += frame(2, struct.pack("<H", type_id) + step + fields)
+
+    def execution(self, start, dur, gid, name, func="", task="", stack=""):
+        self.event(3, [dur, gid, name, func, task, stack], start)
+
+    def gc(self, start, dur, generation, collected):
+        self.event(2, [start, dur, generation, collected])
+
+    def sample(self, start, lag, cpu):
+        self.event(4, [lag, cpu], start)
+
+    def switch(self, ts, target, label, func="", task="", stack="", thread=1):
+        self.event(1, [target, label, func, task, stack, thread], ts)
+
+    def bytes(self):
+        return bytes(self.out)
+
+
+def segment(stream):
+    raw = stream.bytes()
+    packer = zlib.compressobj(6, zlib.DEFLATED, -15)
+    packed = packer.compress(raw) + packer.flush()
+    return struct.pack("<II", len(raw), len(packed)) + packed
+
+
+def container(*segments, version=1):
+    return b"GLRS" + bytes([version]) + b"".join(segments)

@@ -1,0 +1,78 @@
+"""Import queries: recordings are made from the given tables, then imported."""
+
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import functions as F
+
+from spanlens.operators.slabs import arrival_slab
+from spanlens.plans import event_views as v
+from spanlens.schema import CAPTURE
+from spanlens.sources import recordings as rec
+
+from . import recording_bytes as rb
+
+cloudpickle.register_pickle_by_value(rb)
+FILE_ROWS, SEGMENT_ROWS = 2000, 500
+
+
+def _write(form):
+    """One file for each (capture, slab) group: sealed segments, or one uncompressed stream."""
+    def fill(stream, rows):
+        for r in rows.itertuples(index=False):
+            stream.execution(r.start, r.dur, r.gid, r.name, r.func, r.task, r.stack)
+        return stream
+
+    def of_group(key, rows):
+        rows = rows.sort_values("seq")
+        if form == "stream":
+            content = fill(rb.Stream(1), rows).bytes()
+        else:
+            parts = [rows.iloc[i:i + SEGMENT_ROWS] for i in range(0, len(rows), SEGMENT_ROWS)]
+            content = rb.container(*[rb.segment(fill(rb.Stream(), p)) for p in parts])
+        return pd.DataFrame({"path": [f"{key[0]}/{key[1]}"], "content": [content]}, dtype=object)
+
+    return of_group
+
+
+def _import(spark, d, form):
+    e = v.executions(spark, d).withColumn("slab", arrival_slab(rows=FILE_ROWS))
+    files = e.groupBy(CAPTURE, "slab").applyInPandas(_write(form), "path string, content binary")
+    rows = rec.tables_of(rec.decode_files(files))["executions"]
+    return rows.select(
+        F.split_part(CAPTURE, F.lit("/"), F.lit(1)).alias(CAPTURE), "gid", "start", "dur", "name", "func",
+        "task", "stack", "is_hub",
+    )
+
+
+def import_recordings(spark, d):
+    return _import(spark, d, "segments")
+
+
+def import_stream_recordings(spark, d):
+    return _import(spark, d, "stream")
+
+
+def corrupt_stream_policy(spark, d):
+    """Files cut off in their last frame: rows before the cut are kept, each file leaves one fault row."""
+    def cut(batches):
+        for b in batches:
+            b["content"] = [c[:-1] for c in b["content"]]
+            yield b
+
+    e = v.executions(spark, d).withColumn("slab", arrival_slab(rows=FILE_ROWS))
+    files = e.groupBy(CAPTURE, "slab").applyInPandas(_write("stream"), "path string, content binary")
+    items = rec.decode_files(files.mapInPandas(cut, "path string, content binary"), mode="keep")
+    return items.groupBy(F.split_part(CAPTURE, F.lit("/"), F.lit(1)).alias(CAPTURE)).agg(
+        F.count_if(F.col("kind") == "execution").alias("kept"),
+        F.count_if(F.col("kind") == "fault").alias("faults"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (import_recordings, import_stream_recordings, corrupt_stream_policy)}
+_ROWS = "SELECT capture_id, gid, start, dur, name, func, task, stack, is_hub FROM e"
+BODIES = {
+    "import_recordings": _ROWS,
+    "import_stream_recordings": _ROWS,
+    "corrupt_stream_policy": f"""SELECT capture_id, CAST(sum(n - 1) AS BIGINT) AS kept, count(*) AS faults FROM (
+  SELECT capture_id, seq // {FILE_ROWS} AS f, count(*) AS n FROM e GROUP BY ALL) GROUP BY capture_id""",
+}
