@@ -10,11 +10,25 @@ from .slabs import exact_quantiles, top_n
 QUANTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
 
 
+def _by_track(rows: DataFrame, **sums) -> DataFrame:
+    """One row for each track: first-arrival ``name`` and ``is_hub``, ``first_seq`` and the ``sums``.
+
+    ``sums`` are (partial aggregate, its combiner) pairs.  The rows are first reduced for each (track, name,
+    hub flag) by hash aggregation, since picking a text along an order would have to sort them; the few
+    results are then combined for each track.
+    """
+    fine = rows.groupBy(CAPTURE, "gid", "name", "is_hub").agg(
+        F.min(SEQ).alias("first_seq"), *[part.alias(c) for c, (part, _) in sums.items()]
+    )
+    return fine.groupBy(CAPTURE, "gid").agg(
+        F.min_by("name", "first_seq").alias("name"), F.min_by("is_hub", "first_seq").alias("is_hub"),
+        F.min("first_seq").alias("first_seq"), *[combine(c).alias(c) for c, (_, combine) in sums.items()]
+    )
+
+
 def track_runs(rows: DataFrame) -> DataFrame:
     """Run time of each track, with the name and hub flag of its first row by arrival."""
-    return rows.groupBy(CAPTURE, "gid").agg(
-        F.sum("dur").alias("run"), F.min_by("name", SEQ).alias("name"), F.min_by("is_hub", SEQ).alias("is_hub")
-    )
+    return _by_track(rows, run=(F.sum("dur"), F.sum)).drop("first_seq")
 
 
 def track_max(rows: DataFrame) -> DataFrame:
@@ -56,15 +70,15 @@ def slow_band_counts(df: DataFrame, tier: str = "all", long_ns=LONG_NS, blocked_
 def track_rollup(df: DataFrame, long_ns=LONG_NS, blocked_ns=BLOCKED_NS) -> DataFrame:
     """One row for each track with every number the summary and the top list need."""
     app = ~F.col("is_hub")
-    return df.groupBy(CAPTURE, "gid").agg(
-        F.sum("dur").alias("run"), F.min_by("name", SEQ).alias("name"),
-        F.min_by("is_hub", SEQ).alias("is_hub"), F.count(F.lit(1)).alias("executions"),
-        F.coalesce(F.sum(F.when(~app, F.col("dur"))), F.lit(0)).alias("hub_run"),
-        F.coalesce(F.sum(F.when(app, F.col("dur"))), F.lit(0)).alias("app_run"),
-        F.count_if(app & (F.col("dur") >= long_ns)).alias("long_count"),
-        F.count_if(app & (F.col("dur") >= blocked_ns)).alias("blocked_count"),
-        F.max(F.col("start") + F.col("dur")).alias("last_end"),
-        F.min(F.struct(F.col(SEQ), F.col("start"))).alias("first"),
+    return _by_track(
+        df,
+        run=(F.sum("dur"), F.sum), executions=(F.count(F.lit(1)), F.sum), max_dur=(F.max("dur"), F.max),
+        hub_run=(F.sum(F.when(~app, F.col("dur")).otherwise(0)), F.sum),
+        app_run=(F.sum(F.when(app, F.col("dur")).otherwise(0)), F.sum),
+        long_count=(F.count_if(app & (F.col("dur") >= long_ns)), F.sum),
+        blocked_count=(F.count_if(app & (F.col("dur") >= blocked_ns)), F.sum),
+        last_end=(F.max(F.col("start") + F.col("dur")), F.max),
+        first_start=(F.min_by("start", SEQ), lambda c: F.min_by(c, "first_seq")),
     )
 
 
@@ -84,7 +98,7 @@ def summary_scalars(df: DataFrame, long_ns=LONG_NS, blocked_ns=BLOCKED_NS, rollu
 def top_tracks(df: DataFrame, n: int = REPORT_TOP, rollup=None) -> DataFrame:
     """The ``n`` tracks with the most run time, hub included; the first-seen track wins a tie."""
     rollup = track_rollup(df) if rollup is None else rollup
-    order = [F.col("run").desc(), F.col("first.seq")]
+    order = [F.col("run").desc(), F.col("first_seq")]
     return top_n(rollup, order, n, spread="gid").select(
         CAPTURE, "rank", "gid", "name", "is_hub", "run", "executions"
     )

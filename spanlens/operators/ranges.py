@@ -17,12 +17,16 @@ def render_only(df: DataFrame) -> DataFrame:
     return df.select(*RENDER_COLUMNS)
 
 
-def interval_window(df: DataFrame, t0, t1, cap: int = WINDOW_CAP, **slabs) -> DataFrame:
+def interval_window(df: DataFrame, t0, t1, cap: int = WINDOW_CAP, order: DataFrame | None = None,
+                    **slabs) -> DataFrame:
     """Rows that overlap ``[t0, t1]``, at most ``cap`` for each capture, flagged ``capped`` when there are more.
 
     Above the cap a capture in start order keeps the middle of the range, any other its first arrivals.
+    ``order`` is the result of ``sortedness``; keep it with a stored capture, for it takes a pass over all
+    rows while the window itself reads only the range.
     """
-    ordered = sortedness(df, **slabs).select(CAPTURE, F.col("sorted").alias("_sorted"))
+    order = sortedness(df, **slabs) if order is None else order
+    ordered = order.select(CAPTURE, F.col("sorted").alias("_sorted"))
     hits = df.filter(overlaps(t0, t1)).select(*RENDER_COLUMNS)
     skipped = lambda n: F.when(
         F.col("_sorted") & (n > cap), int_div(n - cap, 2)

@@ -8,7 +8,7 @@ from ..functions.predicates import duration_band, slow_level, tier_filter, track
 from ..schema import (
     BLOCKED_NS, CAPTURE, LONG_NS, MAX_LIVE_TRACKS, OVERFLOW_LABEL, RETENTION_ROWS, SEQ, SLOWLOG_LIMIT,
 )
-from .aggregates import recent_activity
+from .aggregates import recent_activity, track_rollup
 from .slabs import Running, running, slice_by_arrival, top_n
 
 
@@ -65,13 +65,13 @@ def track_order(df: DataFrame, mode: str = "activity") -> DataFrame:
     Ranks are computed inside coarse activity classes first, so no task sorts every track of a capture.
     """
     seconds = {"activity": None, "recent1": 1, "recent10": 10, "recent60": 60, "ident": None}[mode]
-    first = F.min_by(F.struct("name", "is_hub", "gid"), SEQ)
-    tracks = df.groupBy(CAPTURE, "gid").agg(first.alias("_t")).select(
-        CAPTURE, "gid", track_name_fallback("_t.name", "_t.gid").alias("name"), F.col("_t.is_hub").alias("is_hub")
+    tracks = track_rollup(df).select(
+        CAPTURE, "gid", track_name_fallback("name", "gid").alias("name"), "is_hub", F.col("run").alias("activity")
     )
-    active = recent_activity(df, None if seconds is None else seconds * 1_000_000_000)
+    if seconds is not None:
+        tracks = tracks.drop("activity").join(recent_activity(df, seconds * 1_000_000_000), [CAPTURE, "gid"])
     keys = track_rank_keys("name")
-    out = tracks.join(active, [CAPTURE, "gid"]).withColumns({
+    out = tracks.withColumns({
         "_hub": F.when(F.col("is_hub"), 0).otherwise(1),
         "_act": F.when(F.col("is_hub") | F.lit(mode == "ident"), 0).otherwise(F.col("activity")),
         "_kind": keys["kind"], "_num": keys["number"],
@@ -107,12 +107,9 @@ def fold_overflow(df: DataFrame, limit: int = MAX_LIVE_TRACKS) -> DataFrame:
 
     Only the kept tracks are ranked, and they number at most ``limit``.
     """
-    tracks = df.groupBy(CAPTURE, "gid").agg(
-        F.min(SEQ).alias(SEQ), F.sum("dur").alias("run"), F.max("dur").alias("max_dur"),
-        F.count(F.lit(1)).alias("executions"), F.min_by("name", SEQ).alias("name"),
-        F.min_by("is_hub", SEQ).alias("is_hub"),
-    )
-    kept = top_n(tracks.select(CAPTURE, "gid", SEQ), [F.col(SEQ)], limit, spread="gid").select(
+    tracks = track_rollup(df)
+    first = tracks.select(CAPTURE, "gid", "first_seq")
+    kept = top_n(first, [F.col("first_seq")], limit, spread="gid").select(
         CAPTURE, "gid", F.lit(True).alias("_kept")
     )
     fits = F.coalesce("_kept", F.lit(False))

@@ -1,11 +1,11 @@
 """Computations along arrival order: folding switches, pairing, deltas, rates and order checks."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import is_hub
 from ..schema import CAPTURE, DELTA_MAX, SEQ
-from .slabs import SLAB_ROWS, Running, arrival_slab, running
+from .slabs import SLAB, SLAB_ROWS, Running, arrival_slab, running
 
 
 def fold_switches(switches: DataFrame, slab_rows: int = SLAB_ROWS) -> DataFrame:
@@ -14,17 +14,27 @@ def fold_switches(switches: DataFrame, slab_rows: int = SLAB_ROWS) -> DataFrame:
     Track, start, name, function and task come from the opening switch, the stack from the closing one.  The
     last, still open interval of a thread is not emitted.
     """
-    closing = F.struct(F.col("ts").alias("ts"), F.col("stack").alias("stack"))
-    nexts = running(
-        switches, [CAPTURE, "thread"], [SEQ],
-        [Running("_close", F.when(F.col(SEQ).isNotNull(), closing), "next")],
-        arrival_slab(rows=slab_rows),
-    ).filter(F.col("_close").isNotNull())
-    dur = F.greatest(F.col("_close.ts") - F.col("ts"), F.lit(0))
-    return nexts.select(
+    lane = [CAPTURE, "thread"]
+    columns = [*lane, SEQ, "ts", "target", "label", "func", "task", "stack"]
+    inside = Window.partitionBy(*lane, SLAB).orderBy(SEQ)
+    folded = switches.select(*columns, arrival_slab(rows=slab_rows).alias(SLAB)).withColumns({
+        "_ts": F.lead("ts").over(inside), "_stack": F.lead("stack").over(inside),
+        "_head": F.lag(SEQ).over(inside).isNull(),
+    })
+    # A slab's last switch is closed by the next slab's first one: those few rows are folded once more.
+    edges = folded.filter(F.col("_head") | F.col("_ts").isNull())
+    between = Window.partitionBy(*lane).orderBy(SEQ)
+    bridged = edges.withColumns({
+        "_open": F.col("_ts").isNull(), "_ts": F.lead("ts").over(between),
+        "_stack": F.lead("stack").over(between),
+    }).filter(F.col("_open") & F.col("_ts").isNotNull())
+    keep = [*columns, "_ts", "_stack"]
+    closed = folded.filter(F.col("_ts").isNotNull()).select(*keep).unionByName(bridged.select(*keep))
+    dur = F.greatest(F.col("_ts") - F.col("ts"), F.lit(0))
+    return closed.select(
         CAPTURE, SEQ, "thread", F.col("target").alias("gid"), F.col("ts").alias("start"), dur.alias("dur"),
         (F.col("ts") + dur).alias("end"), F.col("label").alias("name"), "func", "task",
-        F.col("_close.stack").alias("stack"), is_hub("label").alias("is_hub"),
+        F.col("_stack").alias("stack"), is_hub("label").alias("is_hub"),
     )
 
 
@@ -81,12 +91,12 @@ def sortedness(df: DataFrame, slab_rows: int = SLAB_ROWS) -> DataFrame:
 
 def counter_rates(counters: DataFrame, by=(CAPTURE, "gid"), slab_rows: int = SLAB_ROWS) -> DataFrame:
     """Cumulative CPU counters as milliseconds per wall second; 0 for the first reading of each key."""
-    reading = F.struct("start", "on_cpu_ns", "runq_ns")
-    out = running(counters, by, [SEQ], [Running("_was", reading, "last")], arrival_slab(rows=slab_rows))
-    seconds = F.greatest((F.col("start") - F.col("_was.start")) / 1e9, F.lit(1e-3))
+    was = [Running(f"_was_{c}", F.col(c), "last") for c in ("start", "on_cpu_ns", "runq_ns")]
+    out = running(counters, by, [SEQ], was, arrival_slab(rows=slab_rows))
+    seconds = F.greatest((F.col("start") - F.col("_was_start")) / 1e9, F.lit(1e-3))
 
     def rate(c):
-        grown = F.greatest(F.col(c) - F.col(f"_was.{c}"), F.lit(0)) / 1e6
+        grown = F.greatest(F.col(c) - F.col(f"_was_{c}"), F.lit(0)) / 1e6
         return F.coalesce(grown / seconds, F.lit(0.0))
 
     return out.select(

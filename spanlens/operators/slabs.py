@@ -40,54 +40,46 @@ class Running:
 
 
 def running(df: DataFrame, by, order, specs, slab: Column | None = None) -> DataFrame:
-    """Add the running values ``specs`` along ``order`` inside each ``by`` group, slab by slab."""
+    """Add the running values ``specs`` along ``order`` inside each ``by`` group, slab by slab.
+
+    ``order`` is unique in a group, and its first column orders the non-NULL values alone.  Values are plain
+    numbers, so the slab summaries are hash aggregates.  What looks ahead runs over the reversed order: a
+    frame that ends at the last row would cost the square of a slab's size.
+    """
     by, order = list(by), list(order)
     slab = arrival_slab(order[0]) if slab is None else slab
-    key = F.struct(*order) if len(order) > 1 else F.col(order[0])
     values = {s.name: f"_v_{s.name}" for s in specs}
     base = df.withColumns({SLAB: slab, **{values[s.name]: s.value for s in specs}})
+    ahead = ("next", "sum_after")
 
     def summary(s):
         v = F.col(values[s.name])
-        at = F.when(v.isNotNull(), key)
-        reduced = {
-            "sum": lambda: F.sum(v), "max": lambda: F.max(v), "sum_after": lambda: F.sum(v),
-            "last": lambda: F.max_by(v, at), "next": lambda: F.min_by(v, at),
-        }[s.how]()
-        return reduced.alias(f"_s_{s.name}")
-
-    before = Window.partitionBy(*by).orderBy(SLAB).rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy(*by).orderBy(SLAB).rowsBetween(1, Window.unboundedFollowing)
-
-    def carry(s):
-        v = F.col(f"_s_{s.name}")
-        carried = {
-            "sum": lambda: F.sum(v).over(before), "max": lambda: F.max(v).over(before),
-            "sum_after": lambda: F.sum(v).over(after),
-            "last": lambda: F.last(v, True).over(before), "next": lambda: F.first(v, True).over(after),
-        }[s.how]()
-        return carried.alias(f"_c_{s.name}")
+        at = F.when(v.isNotNull(), F.col(order[0]))
+        reduced = {"max": F.max, "last": lambda c: F.max_by(c, at), "next": lambda c: F.min_by(c, at)}
+        return reduced.get(s.how, F.sum)(v).alias(f"_s_{s.name}")
+
+    def seen(s, keys, columns, edge):
+        """The frame of the rows already passed: before this one, or after it when looking ahead."""
+        along = [F.col(c).desc() if s.how in ahead else F.col(c).asc() for c in columns]
+        return Window.partitionBy(*keys).orderBy(*along).rowsBetween(Window.unboundedPreceding, -edge)
+
+    def over(s, column, frame):
+        kinds = {"max": F.max, "last": lambda c: F.last(c, True), "next": lambda c: F.last(c, True)}
+        return kinds.get(s.how, F.sum)(F.col(column)).over(frame)
 
     carries = (
         base.groupBy(*by, SLAB).agg(*[summary(s) for s in specs])
-        .select(*by, SLAB, *[carry(s) for s in specs])
+        .select(*by, SLAB, *[
+            over(s, f"_s_{s.name}", seen(s, by, [SLAB], 1)).alias(f"_c_{s.name}") for s in specs
+        ])
     )
-    inside = Window.partitionBy(*by, SLAB).orderBy(*order)
 
     def combine(s):
-        v, c = F.col(values[s.name]), F.col(f"_c_{s.name}")
-        edge = 0 if s.inclusive else 1
-        past = inside.rowsBetween(Window.unboundedPreceding, -edge)
-        ahead = inside.rowsBetween(edge, Window.unboundedFollowing)
+        here = over(s, values[s.name], seen(s, [*by, SLAB], order, 0 if s.inclusive else 1))
+        carried = F.col(f"_c_{s.name}")
         if s.how in ("sum", "sum_after"):
-            zero = F.lit(0)
-            here = F.sum(v).over(past if s.how == "sum" else ahead)
-            return F.coalesce(here, zero) + F.coalesce(c, zero)
-        if s.how == "max":
-            return F.greatest(F.max(v).over(past), c)
-        if s.how == "last":
-            return F.coalesce(F.last(v, True).over(past), c)
-        return F.coalesce(F.first(v, True).over(ahead), c)
+            return F.coalesce(here, F.lit(0)) + F.coalesce(carried, F.lit(0))
+        return F.greatest(here, carried) if s.how == "max" else F.coalesce(here, carried)
 
     out = base.join(carries, [*by, SLAB], "left")
     return out.select(*df.columns, *[combine(s).alias(s.name) for s in specs])

@@ -92,8 +92,8 @@ def fold_switches_stream(stream: DataFrame, out: str, checkpoint: str, trigger=N
         rows = held.unionByName(batch.select(*SWITCHES.fieldNames()))
         closed = fold_switches(rows, **slabs)
         closed.write.mode("overwrite").parquet(f"{out}/rows/{BATCH}={batch_id}")
-        last = F.max_by(F.struct(*SWITCHES.fieldNames()), SEQ)
-        still_open = rows.groupBy(CAPTURE, "thread").agg(last.alias("_s")).select("_s.*")
+        last = rows.groupBy(CAPTURE, "thread").agg(F.max(SEQ).alias(SEQ))
+        still_open = rows.join(last, [CAPTURE, "thread", SEQ], "left_semi").select(*SWITCHES.fieldNames())
         still_open.write.mode("overwrite").parquet(f"{out}/open/{BATCH}={batch_id}")
 
     return _per_batch(stream, work, checkpoint, trigger)

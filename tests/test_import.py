@@ -1,0 +1,100 @@
+"""Recording files on disk: torn tails, corruption, old forms and unknown content."""
+
+import pytest
+
+from spanlens.sources import frames
+from spanlens.sources import recordings as rec
+from tests import recording_bytes as rb
+
+
+def stream(n, first=0, meta=False, version=2):
+    s = rb.Stream(version)
+    if meta:
+        s.meta(1700, 42, -99, '{"runtime":"x"}')
+    for i in range(first, first + n):
+        s.execution(i * 1000, 10, i % 3, f"Greenlet-{i % 3}", "app.py:f:1", "", "leaf <- root")
+    return s
+
+
+def load(spark, tmp_path, files, mode="fail"):
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    rec.import_recordings(spark, str(tmp_path), str(tmp_path) + "-out", mode)
+    return rec.imported(spark, str(tmp_path) + "-out")
+
+
+def test_parts_are_read_once(spark, tmp_path):
+    s = stream(5, 25)
+    s.gc(500, 9, -1, -7)
+    s.sample(600, 1.5, 2.5)
+    data = rb.container(rb.segment(stream(10, meta=True)), rb.segment(stream(15, 10)), rb.segment(s))
+    t = load(spark, tmp_path, {"a": data, "b": rb.container(rb.segment(stream(2)))})
+    rows = t["executions"].filter("capture_id like '%/a'").orderBy("seq").collect()
+    assert [r.start for r in rows] == [i * 1000 for i in range(30)]
+    assert {(r.stack, r.end - r.start) for r in rows} == {("leaf <- root", 10)}
+    assert t["executions"].count() == 32
+    gc, meta, sample = t["gc"].first(), t["meta"].first(), t["samples"].first()
+    assert (gc.start, gc.dur, gc.generation, gc.collected) == (500, 9, -1, -7)
+    assert (meta.epoch_ms, meta.tid, meta.pid, meta.pyinfo) == (1700, 42, -99, '{"runtime":"x"}')
+    assert (sample.start, sample.lag_ms_s, sample.cpu_ms_s) == (600, 1.5, 2.5)
+
+
+@pytest.mark.parametrize("tail", [b"\x01\x02\x03", rb.segment(stream(9, 20))[:-4]])
+def test_torn_tail_is_dropped(spark, tmp_path, tail):
+    data = rb.container(rb.segment(stream(10)), rb.segment(stream(10, 10))) + tail
+    assert load(spark, tmp_path, {"a": data})["executions"].count() == 20
+
+
+def test_corruption_before_the_last_segment_fails(spark, tmp_path):
+    bad = bytearray(rb.segment(stream(10)))
+    bad[8:14] = b"\xff" * 6
+    last = rb.container(rb.segment(stream(10)), bytes(bad))
+    assert load(spark, tmp_path, {"a": last})["executions"].count() == 10
+    inner = tmp_path / "inner"
+    inner.mkdir()
+    early = rb.container(bytes(bad), rb.segment(stream(10)))
+    with pytest.raises(Exception, match="corrupt segment 0"):
+        load(spark, inner, {"b": early})
+    kept = tmp_path / "kept"
+    kept.mkdir()
+    t = load(spark, kept, {"b": early}, "keep")
+    assert t["executions"].count() == 10 and t["faults"].count() == 1
+
+
+@pytest.mark.parametrize("data, message", [
+    (rb.container() + b"\xff" * 8, "corrupt segment length"), (b"NOPE....", "bad magic"),
+    (b"GREENLNE....", "legacy"), (rb.container(version=9), "container version"),
+    (stream(3).bytes()[:-1], "cut off"), (stream(3, version=3).bytes(), "trace format version"),
+])
+def test_errors(spark, tmp_path, data, message):
+    with pytest.raises(Exception, match=message):
+        load(spark, tmp_path, {"a": data})
+
+
+def test_old_stream_and_unknown_content(spark, tmp_path):
+    s = rb.Stream(1)
+    s.out += rb.frame(0x55, b"whatever")
+    s.out += rb.frame(1, b"\x63\x00\x00" + rb.text("odd") + rb.number(1) + rb.text("x") + b"\x81\x00")
+    s.out += rb.frame(2, b"\x63\x00\x00") + rb.frame(2, b"\x63\x00\x01\x05")
+    s.switch(100, 7, "Greenlet-7", "f", "t", "a <- b", 3)
+    s.switch(100 + 2**25, 8, "Hub")
+    t = load(spark, tmp_path, {"a": s.bytes()})
+    got = [(r.ts, r.target, r.label, r.stack, r.thread) for r in t["switches"].orderBy("seq").collect()]
+    assert got == [(100, 7, "Greenlet-7", "a <- b", 3), (100 + 2**25, 8, "Hub", "", 1)]
+
+
+def test_numbers():
+    for n in (0, 1, 127, 128, 300, 16383, 16384, 2**32 - 1, 2**64 - 1):
+        assert frames._Bytes(rb.number(n)).uint() == n
+    for n in (0, -1, 1, -64, 63, 2**40, -(2**40)):
+        assert frames._Bytes(rb.signed(n)).sint() == n
+    with pytest.raises(frames.Corrupt, match="overlong"):
+        frames._Bytes(b"\x80" * 11).uint()
+    with pytest.raises(frames.Corrupt, match="undefined string id"):
+        list(frames.read_rows(rb.Stream().bytes() + rb.frame(4, rb.number(1) + rb.number(9))))
+    with pytest.raises(frames.Corrupt, match="too large"):
+        list(frames.read_rows(rb.Stream().bytes() + b"\x02" + rb.number(65 << 20)))
+
+
+def test_shared_stacks_stay_small():
+    assert len(rb.container(rb.segment(stream(1000)))) < 20_000
