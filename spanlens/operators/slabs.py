@@ -124,26 +124,31 @@ _COARSE, _MIDDLE, _FINE = 40, 30, 20
 
 
 def time_slab(df: DataFrame, by, ts: str, rows: int = TIME_SLAB_ROWS) -> DataFrame:
-    """Add a time slab column: 18-minute slabs, split to 1 s and then to 1 ms where one is crowded.
+    """Add a time slab column: a key with up to ``rows`` rows is one slab, a larger one is cut into 18-minute
+    slabs, and those are cut to 1 s and then to 1 ms where they are crowded in turn.
 
-    With at most a few rows for each (key, ns) a slab holds about ``rows`` rows at any density: the finest one
-    spans 2^20 ns.  The crowded slabs number at most (all rows / ``rows``).
+    With at most a few rows for each (key, ns) a slab holds about ``rows`` rows at any density, for the finest
+    one spans 2^20 ns.  Crowded keys and slabs number at most one for each ``rows`` rows: under a million at
+    10^12 rows, which is what makes broadcasting them safe.
     """
     by = list(by)
-    middle = shift_right(ts, _MIDDLE)
-    per_middle = df.groupBy(*by, middle.alias("_mid")).agg(F.count(F.lit(1)).alias("_n"))
-    per_coarse = (
-        per_middle.groupBy(*by, shift_right("_mid", _COARSE - _MIDDLE).alias("_top"))
-        .agg(F.sum("_n").alias("_n"))
+    count = F.count(F.lit(1)).alias("_n")
+    hot = lambda counts, keys, flag: F.broadcast(
+        counts.filter(F.col("_n") > rows).select(*keys, F.lit(True).alias(flag))
     )
-    crowded_middle = per_middle.filter(F.col("_n") > rows).select(*by, "_mid", F.lit(True).alias("_hot_m"))
-    crowded_coarse = per_coarse.filter(F.col("_n") > rows).select(*by, "_top", F.lit(True).alias("_hot_c"))
+    crowded_keys = hot(df.groupBy(*by).agg(count), by, "_hot_k")
+    middle = shift_right(ts, _MIDDLE).alias("_mid")
+    per_middle = df.join(crowded_keys, by).groupBy(*by, middle).agg(count)
+    top = shift_right("_mid", _COARSE - _MIDDLE).alias("_top")
+    per_coarse = per_middle.groupBy(*by, top).agg(F.sum("_n").alias("_n"))
     bits = F.when(F.col("_hot_m"), _FINE).when(F.col("_hot_c"), _MIDDLE).otherwise(_COARSE)
     return (
-        df.withColumns({"_mid": middle, "_top": shift_right(ts, _COARSE)})
-        .join(crowded_coarse, [*by, "_top"], "left").join(crowded_middle, [*by, "_mid"], "left")
-        .withColumn(SLAB, shift_left(shift_right(ts, bits), bits))
-        .drop("_mid", "_top", "_hot_c", "_hot_m")
+        df.withColumns({"_mid": shift_right(ts, _MIDDLE), "_top": shift_right(ts, _COARSE)})
+        .join(crowded_keys, by, "left")
+        .join(hot(per_coarse, [*by, "_top"], "_hot_c"), [*by, "_top"], "left")
+        .join(hot(per_middle, [*by, "_mid"], "_hot_m"), [*by, "_mid"], "left")
+        .withColumn(SLAB, F.when(F.col("_hot_k"), shift_left(shift_right(ts, bits), bits)).otherwise(0))
+        .select(*df.columns, SLAB)
     )
 
 
