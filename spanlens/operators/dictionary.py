@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arith import col
 from ..schema import CAPTURE, POOL_CAP, SEQ
-from .slabs import top_n
+from .slabs import slice_by_arrival
 
 
 def intern_dictionary(df: DataFrame, value, limit: int = POOL_CAP) -> DataFrame:
@@ -17,7 +17,8 @@ def intern_dictionary(df: DataFrame, value, limit: int = POOL_CAP) -> DataFrame:
     """
     seen = df.select(CAPTURE, SEQ, col(value).alias("value")).filter(F.col("value") != "").groupBy(
         CAPTURE, "value").agg(F.min(SEQ).alias(SEQ))
-    ranked = top_n(seen, [F.col(SEQ), F.col("value")], limit - 1, spread="value")
+    first = slice_by_arrival(seen, lambda n: F.lit(0), lambda n: F.lit(limit - 1))
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy(CAPTURE).orderBy(SEQ)))
     empty = df.select(CAPTURE).distinct().select(CAPTURE, F.lit(0).alias("id"), F.lit("").alias("value"))
     return ranked.select(CAPTURE, F.col("rank").alias("id"), "value").unionByName(empty)
 

@@ -105,11 +105,11 @@ def stable_track_order(placed: DataFrame, rows: DataFrame) -> DataFrame:
 def fold_overflow(df: DataFrame, limit: int = MAX_LIVE_TRACKS) -> DataFrame:
     """Run time of each track, tracks first seen after the first ``limit`` folded into one.
 
-    Only the kept tracks are ranked, and they number at most ``limit``.
+    Tracks are counted along their first arrival, so telling which ones are kept sorts none of them together.
     """
     tracks = track_rollup(df)
-    first = tracks.select(CAPTURE, "gid", "first_seq")
-    kept = top_n(first, [F.col("first_seq")], limit, spread="gid").select(
+    first = tracks.select(CAPTURE, "gid", F.col("first_seq").alias(SEQ))
+    kept = slice_by_arrival(first, lambda n: F.lit(0), lambda n: F.lit(limit)).select(
         CAPTURE, "gid", F.lit(True).alias("_kept")
     )
     fits = F.coalesce("_kept", F.lit(False))

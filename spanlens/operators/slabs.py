@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arith import floor_div, shift_left, shift_right
+from ..functions.arith import floor_div, int_div, shift_left, shift_right
 from ..schema import CAPTURE, SEQ
 
 SLAB_ROWS = 1 << 18
@@ -85,6 +85,27 @@ def running(df: DataFrame, by, order, specs, slab: Column | None = None) -> Data
     return out.select(*df.columns, *[combine(s).alias(s.name) for s in specs])
 
 
+def prune(rows: DataFrame, wanted: DataFrame, keys, bits: int = 1 << 18) -> DataFrame:
+    """Drop rows whose ``keys`` are surely not in ``wanted``, before a join with it shuffles them.
+
+    The wanted keys set bits by their hash in a fixed 32 KB array, which reaches the scan as a scalar
+    subquery.  Other keys may share a bit, so the join still decides.
+    """
+    place = F.pmod(F.xxhash64(*keys), F.lit(bits))
+    bit = shift_left(F.lit(1).cast("long"), F.pmod(F.col("_place"), F.lit(64)))
+    words = wanted.select(place.alias("_place")).groupBy(int_div("_place", 64).alias("_w")).agg(
+        F.bit_or(bit).alias("_bits")
+    )
+    dense = words.agg(F.map_from_entries(F.collect_list(F.struct("_w", "_bits"))).alias("_m")).select(
+        F.transform(
+            F.sequence(F.lit(0).cast("long"), F.lit(bits // 64 - 1).cast("long")),
+            lambda w: F.coalesce(F.element_at("_m", w), F.lit(0).cast("long")),
+        )
+    )
+    word = F.element_at(dense.scalar(), int_div(place, 64).cast("int") + 1)
+    return rows.filter(F.getbit(word, F.pmod(place, F.lit(64)).cast("int")) == 1)
+
+
 def slice_by_arrival(df: DataFrame, lower, upper, facts: DataFrame | None = None,
                      slab_rows: int = SLAB_ROWS) -> DataFrame:
     """Rows whose 0-based arrival rank in their capture is in ``[lower(n), upper(n))``, n = rows in all.
@@ -112,7 +133,7 @@ def slice_by_arrival(df: DataFrame, lower, upper, facts: DataFrame | None = None
     )
     place = F.row_number().over(Window.partitionBy(CAPTURE, SLAB).orderBy(SEQ))
     return (
-        base.join(met, [CAPTURE, SLAB])
+        prune(base, met, [CAPTURE, SLAB]).join(met, [CAPTURE, SLAB])
         .withColumn("_rank", F.col("_before") + place - 1)
         .filter((F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi")))
         .select(*df.columns, "total")
@@ -208,7 +229,7 @@ def exact_quantiles(df: DataFrame, value: str, probabilities: dict, by=(CAPTURE,
     picked = wanted.select(*by, "_cell", "_before").distinct()
     steps = Window.partitionBy(*by, "_cell").orderBy("_value")
     values = (
-        base.join(picked, [*by, "_cell"]).groupBy(*by, "_cell", "_before", "_value")
+        prune(base, picked, [*by, "_cell"]).join(picked, [*by, "_cell"]).groupBy(*by, "_cell", "_before", "_value")
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_last", F.col("_before") - 1
                     + F.sum("_n").over(steps.rowsBetween(Window.unboundedPreceding, 0)))

@@ -1,6 +1,5 @@
 """Stored captures: Parquet tables partitioned by capture, and their metadata."""
 
-import os
 import tempfile
 import uuid
 
@@ -16,16 +15,20 @@ TABLES = {
 }
 
 
+_own_folders = {}
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder for intermediate tables, below the shared folder in ``spark.checkpoint.dir``.
 
-    Only a session without that setting, as in tests, gets a folder of its own.
+    Only an application without that setting, as in tests, gets a folder of its own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="run-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
+        app = spark.sparkContext.applicationId
+        root = _own_folders.setdefault(app, None) or tempfile.mkdtemp(prefix="run-")
+        _own_folders[app] = root
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def write_capture(tables: dict[str, DataFrame], path: str, mode: str = "append") -> None:
