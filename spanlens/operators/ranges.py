@@ -65,11 +65,6 @@ def window_bounds(rows: DataFrame) -> DataFrame:
     )
 
 
-def with_captures(per_capture: DataFrame, captures: DataFrame, **defaults) -> DataFrame:
-    """One row for every capture, with ``defaults`` where an aggregate saw no rows."""
-    return captures.select(CAPTURE).distinct().join(per_capture, CAPTURE, "left").fillna(defaults)
-
-
 def detail_at(df: DataFrame, gid: int, start_ns: int, dur_ns: int) -> DataFrame:
     """Texts of the one row of a track that starts nearest ``start_ns``; a filter the scan can push down."""
     slack = max(dur_ns, DETAIL_SLACK_NS)

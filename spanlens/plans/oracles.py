@@ -462,3 +462,45 @@ _rows("late_rows", "start, dur, coalesce(start < high, false) AS late", "seen",
 def with_views(body):
     """``body`` over the derived views."""
     return "WITH " + _VIEWS.strip() + "\n" + body
+
+
+def _ns(n):
+    return "(" + NS.format(n=n) + ")"
+
+
+def _wide(text, n):
+    return f"lpad({text}, CAST(greatest({n}, length({text})) AS INT), ' ')"
+
+
+def _pct(n, total):
+    return f"(CASE WHEN {total} = 0 THEN '0.0%' ELSE printf('%.1f', {n}::DOUBLE / {total}::DOUBLE * 100) || '%' END)"
+
+
+def _items(table, line, order="rank", where="rank <= 10"):
+    return (f"coalesce((SELECT list({line} ORDER BY {order}) FROM {table} WHERE {table}.capture_id = w.capture_id "
+            f"AND {where}), [])")
+
+
+_sql("report_text", f"""SELECT capture_id, CAST(i - 1 AS INT) AS line_no, l[i] AS line FROM (
+  SELECT capture_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT capture_id, [
+  'analysis — ' || capture_id, '  PID ' || pid || ' · 0 B on disk · ' || total || ' executions · ' || tracks
+    || ' greenlets · span ' || {_ns('span')}, '  recorded epoch: ' || epoch || ' (unix ms at t0)', '', 'Work',
+  '  application run time (non-hub): ' || {_ns('app')} || ' (' || {_pct('app', 'span')} || ' of span)',
+  '  hub/loop time: ' || {_ns('hub')}, '  execution percentiles (non-hub): p50 ' || {_ns('p50')} || ' · p95 '
+    || {_ns('p95')} || ' · p99 ' || {_ns('p99')}, '', 'Slow executions (≥ long 20ms)',
+  '  long: ' || long_n || '   blocked (≥ 50ms): ' || blocked_n, '  slowest:']
+  || {_items('ts', f"'    ' || {_wide(_ns('dur'), 9)} || '  [' || CASE level WHEN 2 THEN 'blocked' ELSE 'long ' END || ']  ' || name || '  ' || func")}
+  || ['', 'GC', '  ' || (SELECT sum(pauses)::BIGINT FROM tg WHERE tg.capture_id = w.capture_id) || ' pauses · '
+    || {_ns('gc_ns')} || ' total (' || {_pct('gc_ns', 'span')} || ' of span)']
+  || {_items('tg', f"'    gen ' || generation || ': ' || pauses || ' × (' || {_ns('total')} || ' total)'", 'generation', 'true')}
+  || ['', 'Top greenlets by run time']
+  || {_items('tt', f"'    ' || {_wide(_ns('run'), 9)} || '  ' || name || CASE WHEN is_hub THEN ' (hub)' ELSE '' END || '  gid ' || gid || ' · ' || executions || ' executions'")}
+  || ['', 'Hottest functions (non-hub, by total run time)']
+  || {_items('tf', f"'    ' || {_wide(_ns('total'), 9)} || '  ' || {_wide('executions::VARCHAR', 6)} || '×  max ' || {_ns('longest')} || '  ' || func")}
+  AS l FROM w))""", TOPS, META, """m AS (SELECT capture_id, arg_max(pid, seq) AS pid,
+  arg_max(epoch_ms, seq) FILTER (epoch_ms > 0) AS epoch FROM meta GROUP BY ALL),
+w AS (SELECT e.capture_id, count(*) AS total, max(stop) - arg_min(start, seq) AS span, any_value(pid) AS pid,
+  any_value(epoch) AS epoch, any_value(p50) AS p50, any_value(p95) AS p95, any_value(p99) AS p99,
+  (SELECT sum(total)::BIGINT FROM tg WHERE tg.capture_id = e.capture_id) AS gc_ns, """
+     + SUMMARY.format("tracks", "hub", "app", "long_n", "blocked_n") + """
+  FROM e JOIN m ON m.capture_id = e.capture_id JOIN tp ON tp.capture_id = e.capture_id GROUP BY e.capture_id)""")

@@ -32,12 +32,16 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def write_capture(tables: dict[str, DataFrame], path: str, mode: str = "append") -> None:
-    """Append tables to a capture set.  Rows of a file follow start order, so a range skips row groups."""
+    """Append tables to a capture set.
+
+    Tasks take ranges of (capture, start): a large capture is written by many of them, small ones share one,
+    and a file covers a narrow span of time, so that a range question skips most files.
+    """
     for name, df in tables.items():
         known = TABLES[name].fieldNames()
         out = df.select(*[c for c in known if c in df.columns])
         if "start" in out.columns:
-            out = out.sortWithinPartitions(CAPTURE, "start")
+            out = out.repartitionByRange(CAPTURE, "start").sortWithinPartitions(CAPTURE, "start")
         out.write.mode(mode).partitionBy(CAPTURE).parquet(f"{path}/{name}")
 
 

@@ -29,6 +29,12 @@ _SEGMENT_SCHEMA, _ITEM_SCHEMA = from_arrow_schema(_SEGMENT), from_arrow_schema(_
 ROWS_PER_BATCH = 16_384
 
 
+def _one_by_one(batch):
+    """Rows of a batch as dicts, copying one file or segment at a time."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def _segments(mode):
     """Whole files to their segments.  What cannot be read at all is an error, or a ``fault`` row."""
     def of_file(path, data):
@@ -51,7 +57,7 @@ def _segments(mode):
 
     def split(batches):
         for batch in batches:
-            for file in batch.to_pylist():
+            for file in _one_by_one(batch):
                 for row in of_file(file["path"], file["content"]):
                     yield pa.RecordBatch.from_pylist([dict(zip(_SEGMENT.names, row))], _SEGMENT)
 
@@ -78,7 +84,7 @@ def _items(mode):
 
     def decode(batches):
         for batch in batches:
-            for s in batch.to_pylist():
+            for s in _one_by_one(batch):
                 rows = []
                 for row in of_segment(s):
                     rows.append(row)
