@@ -16,7 +16,7 @@ from ..operators import sequence as sq
 from ..operators import series as ser
 from ..schema import CAPTURE, SEQ
 from ..sources import captures as cap
-from ..streaming import live
+from ..streaming import live, stall
 from . import event_views as v
 from . import report as rep
 
@@ -818,3 +818,36 @@ def late_rows(spark, d):
     out = _arriving(spark, v.executions_dense(spark, d).drop("thread"), lambda path, out: live.mark_late_stream(
         live.stream_executions(spark, path), out, f"{out}/offsets", ONCE))
     return spark.read.parquet(f"{out}/rows").select(*KEY, "start", "dur", "late")
+
+
+@query
+def stall_monitor(spark, d):
+    """Every row arrives at once, so each capture is seen to stall after one interval."""
+    path, out = cap.scratch(spark, "arrivals"), cap.scratch(spark, "out")
+    arrivals = v.executions(spark, d).select(CAPTURE, F.octet_length("func").alias("bytes"))
+    arrivals.write.parquet(path)
+    # A session of its own, for the state store and few state partitions.
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", stall.ROCKSDB)
+    own.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
+    rows = own.readStream.schema(arrivals.schema).parquet(path)
+    live_query = (
+        stall.stall_monitor(rows, 1000).writeStream.format("parquet").option("path", f"{out}/rows")
+        .option("checkpointLocation", f"{out}/offsets").outputMode("append")
+        .trigger(processingTime="500 milliseconds").start()
+    )
+    captures = arrivals.select(CAPTURE).distinct().count()
+    try:
+        while not live_query.awaitTermination(2):
+            # One batch takes all files, so a capture's first stalled row comes after its last arrival.
+            progress = live_query.lastProgress
+            if progress is not None and progress.batchId > 0:
+                seen = spark.read.schema(stall._OUT).parquet(f"{out}/rows").filter("stalled")
+                if seen.select(CAPTURE).distinct().count() == captures:
+                    break
+    finally:
+        live_query.stop()
+    return spark.read.schema(stall._OUT).parquet(f"{out}/rows").groupBy(CAPTURE).agg(
+        F.max("total").alias("total"), F.sum("new_rows").alias("new_rows"), F.bool_or("stalled").alias("stalled"),
+        F.count_if(F.col("transition") == "stalled").alias("stalls"),
+    )

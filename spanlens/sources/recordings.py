@@ -1,5 +1,7 @@
 """Import of binary recordings: many files, one task for each sealed segment."""
 
+import sys
+
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +14,7 @@ from . import frames
 
 # The decoder travels with the job, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(frames)
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _SEGMENT = pa.schema([
     ("capture_id", pa.string()), ("segment", pa.int64()), ("form", pa.string()), ("is_last", pa.bool_()),

@@ -1,12 +1,17 @@
 """Live stall monitor: a timer for each capture that fires whether or not rows arrive."""
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..schema import CAPTURE
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _COUNT = "capture_id string, new_rows long, new_bytes long"
 _OUT = (
@@ -69,6 +74,6 @@ def stall_monitor(stream: DataFrame, interval_ms: int = 5000) -> DataFrame:
     """
     counts = stream.select(CAPTURE, F.col("bytes").cast("long").alias("bytes")).mapInPandas(_count, _COUNT)
     return counts.groupBy(CAPTURE).transformWithStateInPandas(
-        statefulProcessor=_Monitor(interval_ms), outputStructType=_OUT, outputMode="update",
+        statefulProcessor=_Monitor(interval_ms), outputStructType=_OUT, outputMode="append",
         timeMode="processingTime",
     )

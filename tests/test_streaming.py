@@ -109,7 +109,7 @@ def test_stall_monitor_fires_without_rows(spark, tmp_path):
         def keep(df, _):
             got.extend(df.collect())
 
-        q = (stall.stall_monitor(stream, 1000).writeStream.outputMode("update").foreachBatch(keep)
+        q = (stall.stall_monitor(stream, 1000).writeStream.outputMode("append").foreachBatch(keep)
              .option("checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="300 milliseconds").start())
         until = time.time() + 60
         while time.time() < until and not any(r.stalled for r in got):
