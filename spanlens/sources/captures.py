@@ -1,13 +1,11 @@
 """Stored captures: Parquet tables partitioned by capture, and their metadata."""
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
 from ..schema import CAPTURE, SEQ
+from ..storage import scratch  # noqa: F401
 
 TABLES = {
     "executions": schema.EXECUTIONS, "gc": schema.GC_EVENTS, "samples": schema.SYS_SAMPLES,
@@ -15,22 +13,6 @@ TABLES = {
 }
 
 
-_own_folders = {}
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for intermediate tables, below the shared folder in ``spark.checkpoint.dir``.
-
-    Only an application without that setting, as in tests, gets a folder of its own.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        app = spark.sparkContext.applicationId
-        root = _own_folders.setdefault(app, None) or tempfile.mkdtemp(prefix="run-")
-        _own_folders[app] = root
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def write_capture(tables: dict[str, DataFrame], path: str, mode: str = "append") -> None:
     """Append tables to a capture set.
 
