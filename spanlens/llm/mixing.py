@@ -1,10 +1,10 @@
 """Mixing documents to target weights of domains, with soft membership.
 
 1. A labelled table names the domain of some documents.  At most ``SAMPLE`` of them (those with the smallest hashes of
-   their ids) train a multinomial naive Bayes classifier over ``BUCKETS`` hashed words; its table is the only thing
-   broadcast, BUCKETS + 1 rows at any size of the corpus.
-2. Every document gets a posterior for each domain, from all of its words.  The evidence of a long text counts as that of
-   ``EVIDENCE`` words, so that posteriors stay soft.
+   their ids) train a naive Bayes classifier over ``BUCKETS`` hashed words: which of them a document has.  Words whose
+   spread over the domains may be chance (a likelihood ratio below ``RATIO``) say nothing.  The weights are the only
+   thing broadcast, at most BUCKETS rows at any size of the corpus.
+2. Every document gets a posterior for each domain, from all of its words.
 3. Rates r >= 0, one for each document, minimise
        1/2 sum_k w_k (sum_d n_d r_d p_dk - T_k)^2 / N^2 + 1/2 ridge sum_d (n_d / N) (r_d - 1)^2
    by projected gradient descent, where n_d are a document's words, T_k the target of domain k in words, N all words and
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from ..storage import stored
 from .common import SPACE, whole
 
-SAMPLE, BUCKETS, SMOOTHING, EVIDENCE = 4096, 1 << 16, 0.2, 400
-RIDGE, STEPS, TOLERANCE = 1e-3, 40, 1e-6
+SAMPLE, BUCKETS, RATIO, SMOOTHING = 4096, 1 << 16, 12.0, 2.0
+RIDGE, STEPS, TOLERANCE = 1e-3, 30, 2e-5
 
 
 def _add(columns) -> Column:
@@ -36,16 +36,18 @@ def _add(columns) -> Column:
 
 
 def _word_rows(df: DataFrame, *keep: str) -> DataFrame:
-    """One row for each word's bucket, and one with bucket -1 for each document."""
+    """One row for each distinct word's bucket, and one with bucket -1 for each document; ``n`` words in all."""
     words = F.filter(F.split(F.lower("text"), f"{SPACE}+"), lambda w: w != "")
     bucket = F.when(F.col("word") == "", -1).otherwise(F.pmod(F.xxhash64("word"), F.lit(BUCKETS))).cast("int")
-    return df.select(*keep, F.explode(F.concat(words, F.array(F.lit("")))).alias("word")).select(
-        *keep, bucket.alias("bucket")
+    listed = df.select(*keep, words.alias("words")).select(
+        *keep, F.size("words").cast("long").alias("n"),
+        F.concat(F.array_distinct("words"), F.array(F.lit(""))).alias("words"),
     )
+    return listed.select(*keep, "n", F.explode("words").alias("word")).select(*keep, "n", bucket.alias("bucket"))
 
 
 def train(texts: DataFrame, labels: DataFrame, domains: list[str], sample: int = SAMPLE) -> tuple[DataFrame, list]:
-    """(bucket, w_0, w_1, ...): each word's log-likelihoods, and the domains' log priors.
+    """(bucket, w_0, w_1, ...): what a word adds to each domain's log-likelihood, and the domains' log priors.
 
     ``texts`` has id and text, ``labels`` id and domain.
     """
@@ -56,18 +58,25 @@ def train(texts: DataFrame, labels: DataFrame, domains: list[str], sample: int =
         _word_rows(texts.join(F.broadcast(chosen), "id"), "domain").groupBy("domain", "bucket")
         .agg(F.count(F.lit(1)).alias("n")), "domain-words",
     )
-    of = lambda rows: {r["domain"]: r["n"] for r in rows.collect()}
-    docs = of(counts.filter("bucket = -1").select("domain", "n"))
-    words = of(counts.filter("bucket >= 0").groupBy("domain").agg(F.sum("n").alias("n")))
-    priors = [math.log((docs.get(d, 0) + 1) / (sum(docs.values()) + len(domains))) for d in domains]
+    docs = {r["domain"]: r["n"] for r in counts.filter("bucket = -1").select("domain", "n").collect()}
+    every = sum(docs.values())
+    priors = [math.log((docs.get(d, 0) + 1) / (every + len(domains))) for d in domains]
     at = [F.sum(F.when(F.col("domain") == d, F.col("n")).otherwise(0)) for d in domains]
     per = counts.filter("bucket >= 0").groupBy("bucket").agg(*[a.alias(f"n_{k}") for k, a in enumerate(at)])
-    every = texts.sparkSession.range(-1, BUCKETS).select(F.col("id").cast("int").alias("bucket"))
-    weight = lambda k, d: F.when(F.col("bucket") < 0, 0.0).otherwise(
-        F.log((F.coalesce(F.col(f"n_{k}"), F.lit(0)) + SMOOTHING) / (words.get(d, 0) + SMOOTHING * BUCKETS))
-    )
-    table = every.join(per, "bucket", "left").select(
-        "bucket", *[weight(k, d).alias(f"w_{k}") for k, d in enumerate(domains)]
+    share = _add([F.col(f"n_{k}") for k in range(len(domains))]) / F.lit(float(max(every, 1)))
+    seen = per.withColumn("share", share)
+    # Twice the log-likelihood ratio between the domains' own shares and the common one.
+    ratio = _add([
+        F.when(F.col(f"n_{k}") > 0, 2 * F.col(f"n_{k}") * F.log(F.col(f"n_{k}") / (F.col("share") * docs[d])))
+        .otherwise(0.0) for k, d in enumerate(domains) if docs.get(d)
+    ] or [F.lit(0.0)])
+    weight = [
+        F.log((F.col(f"n_{k}") / F.col("share") + SMOOTHING) / (docs.get(d, 0) + SMOOTHING))
+        for k, d in enumerate(domains)
+    ]
+    floor = math.log(1 / (max(every, 1) + 1))
+    table = seen.filter(ratio >= RATIO).select(
+        "bucket", *[F.greatest(w, F.lit(floor)).alias(f"w_{k}") for k, w in enumerate(weight)]
     )
     return stored(table, "domain-weights"), priors
 
@@ -79,12 +88,11 @@ def posteriors(texts: DataFrame, weights: DataFrame, priors: list[float]) -> Dat
     """
     domains = range(len(priors))
     rows = _word_rows(texts.withColumn("row", F.monotonically_increasing_id()), "row", "id")
-    sums = rows.join(F.broadcast(weights), "bucket").groupBy("row").agg(
-        F.max("id").alias("id"), (F.count(F.lit(1)) - 1).alias("n_tokens"),
-        *[F.sum(f"w_{k}").alias(f"s_{k}") for k in domains],
+    sums = rows.join(F.broadcast(weights), "bucket", "left").groupBy("row").agg(
+        F.max("id").alias("id"), F.max("n").alias("n_tokens"),
+        *[F.coalesce(F.sum(f"w_{k}"), F.lit(0.0)).alias(f"s_{k}") for k in domains],
     )
-    scale = F.least(F.lit(1.0), F.lit(float(EVIDENCE)) / F.greatest(F.col("n_tokens"), F.lit(1)))
-    scored = sums.select("id", "n_tokens", *[(F.col(f"s_{k}") * scale + priors[k]).alias(f"s_{k}") for k in domains])
+    scored = sums.select("id", "n_tokens", *[(F.col(f"s_{k}") + priors[k]).alias(f"s_{k}") for k in domains])
     top = F.greatest(*[F.col(f"s_{k}") for k in domains]) if len(priors) > 1 else F.col("s_0")
     raised = scored.select("id", "n_tokens", *[F.exp(F.col(f"s_{k}") - top).alias(f"e_{k}") for k in domains])
     total = _add([F.col(f"e_{k}") for k in domains])
