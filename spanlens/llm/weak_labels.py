@@ -30,6 +30,7 @@ ROUNDS, EPOCHS, RATE, PENALTY = 200, 300, 4.0, 1e-4
 _WORD = re.compile("[^ \t-\r]+")
 _RUNS = re.compile("[a-z]+|[A-Z]+|[0-9]+|[^\x00-\x7f]+")
 _MARKS = re.compile(r"[#*$%&|<>{}\\^~=_]")
+_TAILS = {c * 2 for c in "#*$%&|!?~^="}
 _SENTENCE = re.compile(r"[.?!](?:\s|$)")
 
 GOOD, NONE, LOW = 1, 0, -1
@@ -51,13 +52,14 @@ def _facts(text: str) -> dict:
         "top": max(Counter(words).values(), default=0) / n,
         "same_lines": 1 - len(set(lines)) / len(lines) if lines else 0.0,
         "mean": sum(map(len, words)) / n, "bars": sum(w in ("|", "*", "-", "·") for w in words) / n,
-        "sentences": len(_SENTENCE.findall(text)) / n, "shouts": sum(w.endswith("!!") for w in words) / n,
+        "sentences": len(_SENTENCE.findall(text)) / n, "tails": sum(w[-2:] in _TAILS for w in words) / n,
+        "pairs": len(set(zip(words, words[1:]))) / max(len(words) - 1, 1),
     }
 
 
 #: The labellers, from a text's facts to a vote.
 LABELLERS = {
-    "length": lambda f: _vote(f["words"] < 20, f["words"] >= 60),
+    "length": lambda f: _vote(f["words"] < 5, f["words"] >= 40),
     "marks": lambda f: _vote(f["marks"] > 0.03, f["marks"] < 0.003),
     "capitals": lambda f: _vote(f["upper"] > 0.4, 0.005 < f["upper"] < 0.15),
     "variety": lambda f: _vote(f["words"] >= 40 and f["unique"] < 0.25, f["unique"] > 0.35 and f["top"] < 0.15),
@@ -65,7 +67,8 @@ LABELLERS = {
     "word_size": lambda f: _vote(not 2.5 <= f["mean"] <= 12, 3.5 <= f["mean"] <= 9),
     "bars": lambda f: _vote(f["bars"] > 0.1, False),
     "sentences": lambda f: _vote(f["words"] >= 40 and f["sentences"] < 0.004, 0.02 <= f["sentences"] <= 0.3),
-    "shouts": lambda f: _vote(f["shouts"] > 0.2, False),
+    "tails": lambda f: _vote(f["tails"] > 0.2, False),
+    "pairs": lambda f: _vote(f["words"] >= 40 and f["pairs"] < 0.4, f["pairs"] > 0.8),
 }
 
 
@@ -84,8 +87,9 @@ def estimate(counts: dict[str, int], rounds: int = ROUNDS) -> tuple[dict[str, fl
     n = np.array([counts[p] for p in patterns], float)
     cast = np.array([["-.+".index(c) for c in p] for p in patterns])
     one_hot = np.eye(3)[cast]
-    score = (cast - 1).sum(axis=1)
-    post = np.where(score > 0, 0.9, np.where(score < 0, 0.1, 0.5))
+    # A vote for low is a specific sign and says more than several for good.
+    score = (cast == 2).sum(axis=1) - 4 * (cast == 0).sum(axis=1)
+    post = 1 / (1 + np.exp(-score.astype(float)))
     for _ in range(rounds):
         both = np.stack([n * (1 - post), n * post])
         share = (both.sum(axis=1) + 1.0) / (n.sum() + 2.0)
