@@ -3,7 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schema import FRAME_LIMIT, STACK_SEPARATOR
+from ..schema import STACK_SEPARATOR
 from .arith import col
 
 # Path parts that mark a library frame, and the file name of evaluated source.
@@ -21,7 +21,8 @@ def join_stack(frames) -> Column:
     return F.array_join(col(frames), STACK_SEPARATOR)
 
 
-def cap_frames(frames, limit: int = FRAME_LIMIT) -> Column:
+def cap_frames(frames, limit: int) -> Column:
+    """The first ``limit`` frames."""
     return F.slice(col(frames), 1, limit)
 
 
@@ -59,12 +60,12 @@ def _is_tracer(path, tracer_file):
 
 
 def leaf_function(frames, tracer_file: str | None = None) -> Column:
-    """``file:qualname:line`` of the first application frame among the first 32, else an empty string.
+    """``file:qualname:line`` of the first application frame, else an empty string.
 
     ``tracer_file`` names the tracing hook's own source file, whose frames are skipped.
     """
     app = F.filter(
-        cap_frames(frames),
+        col(frames),
         lambda f: ~_is_tracer(frame_path(f), tracer_file) & ~is_library(frame_path(f)),
     )
     first = F.get(app, F.lit(0))
@@ -74,8 +75,8 @@ def leaf_function(frames, tracer_file: str | None = None) -> Column:
 
 
 def clean_stack(frames, tracer_file: str | None = None) -> Column:
-    """The first 32 frames that are neither evaluated source nor the tracing hook's own."""
-    return cap_frames(F.filter(col(frames), lambda f: ~_is_tracer(frame_path(f), tracer_file)))
+    """The frames that are neither evaluated source nor the tracing hook's own."""
+    return F.filter(col(frames), lambda f: ~_is_tracer(frame_path(f), tracer_file))
 
 
 def shown_frames(stack, func) -> Column:
@@ -85,7 +86,7 @@ def shown_frames(stack, func) -> Column:
     return F.when(col(stack) == "", leaf).otherwise(F.split(col(stack), STACK_SEPARATOR))
 
 
-def short_stack(stack, func, limit: int = 6) -> Column:
+def short_stack(stack, func, limit: int) -> Column:
     """STRUCT<frames, hidden>: up to ``limit`` application frames (all frames if there are none)."""
     every = shown_frames(stack, func)
     app = F.filter(every, lambda f: ~is_library(frame_path(f)))

@@ -114,8 +114,12 @@ def hot_functions(df: DataFrame, n: int = REPORT_TOP) -> DataFrame:
     )
 
 
-def gc_totals(gc: DataFrame) -> DataFrame:
-    return gc.groupBy(CAPTURE).agg(F.count(F.lit(1)).alias("pauses"), F.sum("dur").alias("total"))
+def gc_totals(gc: DataFrame, captures: DataFrame | None = None) -> DataFrame:
+    """Number and length of all pauses; zeros for a capture that ``captures`` lists and that has none."""
+    found = gc.groupBy(CAPTURE).agg(F.count(F.lit(1)).alias("pauses"), F.sum("dur").alias("total"))
+    if captures is None:
+        return found
+    return captures.select(CAPTURE).distinct().join(found, CAPTURE, "left").fillna(0, ["pauses", "total"])
 
 
 def gc_by_generation(gc: DataFrame) -> DataFrame:

@@ -1,30 +1,27 @@
 """Dictionaries of texts: dense ids in order of first sight, and back."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arith import col
-from ..schema import CAPTURE, POOL_CAP, SEQ
-from .slabs import slice_by_arrival
+from ..schema import CAPTURE, SEQ
+from .slabs import Running, running
 
 
-def intern_dictionary(df: DataFrame, value, limit: int = POOL_CAP) -> DataFrame:
-    """``(id, value)`` of each capture's distinct texts, 0 being the empty one.
+def intern_dictionary(df: DataFrame, value) -> DataFrame:
+    """``(id, value)`` of each capture's distinct texts in order of first sight, 0 being the empty one.
 
-    A dictionary holds at most ``limit`` entries with the empty one; values first seen later get no entry and
-    so read back as empty.  Values are reduced to one row each before anything is ordered, and at most
-    ``limit`` of a capture are ranked.
+    Values are reduced to one row each first; their places are counted slab by slab along their first arrival.
     """
     seen = df.select(CAPTURE, SEQ, col(value).alias("value")).filter(F.col("value") != "").groupBy(
         CAPTURE, "value").agg(F.min(SEQ).alias(SEQ))
-    first = slice_by_arrival(seen, lambda n: F.lit(0), lambda n: F.lit(limit - 1))
-    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy(CAPTURE).orderBy(SEQ)))
-    empty = df.select(CAPTURE).distinct().select(CAPTURE, F.lit(0).alias("id"), F.lit("").alias("value"))
-    return ranked.select(CAPTURE, F.col("rank").alias("id"), "value").unionByName(empty)
+    ranked = running(seen, [CAPTURE], [SEQ], [Running("id", F.lit(1), "sum", inclusive=True)])
+    empty = df.select(CAPTURE).distinct().select(CAPTURE, F.lit(0).cast("long").alias("id"), F.lit("").alias("value"))
+    return ranked.select(CAPTURE, "id", "value").unionByName(empty)
 
 
 def encode(df: DataFrame, value: str, dictionary: DataFrame, name: str = "value_id") -> DataFrame:
-    """``df`` with the id of ``value``; a value the dictionary has no room for gets 0."""
+    """``df`` with the id of ``value``; the empty text and one that the dictionary lacks get 0."""
     ids = dictionary.select(CAPTURE, F.col("value").alias(value), F.col("id").alias(name))
     return df.join(ids, [CAPTURE, value], "left").fillna(0, [name])
 
@@ -32,7 +29,7 @@ def encode(df: DataFrame, value: str, dictionary: DataFrame, name: str = "value_
 def resolve_dictionary(ids: DataFrame, dictionary: DataFrame, name: str = "value_id") -> DataFrame:
     """``ids`` with the text of ``name``; an id that is not defined is an error where it is read."""
     texts = dictionary.select(CAPTURE, F.col("id").alias(name), "value")
-    unknown = F.raise_error(F.concat(F.lit("undefined string id "), F.col(name).cast("string")))
+    unknown = F.raise_error(F.concat(F.lit("no text has the id "), F.col(name).cast("string")))
     out = ids.join(texts, [CAPTURE, name], "left")
     return out.withColumn("value", F.when(F.col("value").isNotNull(), F.col("value")).otherwise(unknown))
 
@@ -43,10 +40,9 @@ def undefined_ids(ids: DataFrame, dictionary: DataFrame, name: str = "value_id")
 
 
 def track_positions(rows: DataFrame) -> DataFrame:
-    """0-based place of each track of a window, by first arrival.  A window's cap bounds its tracks."""
-    first = rows.groupBy(CAPTURE, "gid").agg(F.min(SEQ).alias("_first"))
-    place = F.row_number().over(Window.partitionBy(CAPTURE).orderBy("_first")) - 1
-    return first.select(CAPTURE, "gid", place.alias("track_idx"))
+    """0-based place of each track of a window, by first arrival, counted slab by slab."""
+    first = rows.groupBy(CAPTURE, "gid").agg(F.min(SEQ).alias(SEQ))
+    return running(first, [CAPTURE], [SEQ], [Running("track_idx", F.lit(1), "sum")]).select(CAPTURE, "gid", "track_idx")
 
 
 def render_columns(rows: DataFrame, t0: int, tracks: DataFrame | None = None) -> DataFrame:
@@ -75,9 +71,9 @@ def validate_render_columns(rendered: DataFrame, headers: DataFrame) -> DataFram
     ).groupBy(CAPTURE).agg(F.min_by("track_idx", SEQ).alias("_idx"), F.count(F.lit(1)).alias("bad_rows"))
     out = headers.join(stats, CAPTURE, "left").join(bad_index, CAPTURE, "left").fillna(0, ["rows", "bad_rows"])
     problem = F.when(F.col("rows") != F.col("n"), F.concat(
-        F.lit("malformed window: n="), F.col("n").cast("string"), F.lit(", rows="), F.col("rows").cast("string")
+        F.lit("header says "), F.col("n").cast("string"), F.lit(" rows, found "), F.col("rows").cast("string")
     )).when(F.col("bad_rows") > 0, F.concat(
-        F.lit("malformed window: track_idx="), F.col("_idx").cast("string"), F.lit(" out of range (len "),
-        F.col("n_tracks").cast("string"), F.lit(")"),
+        F.lit("track place "), F.col("_idx").cast("string"), F.lit(" with "), F.col("n_tracks").cast("string"),
+        F.lit(" tracks"),
     ))
     return out.select(CAPTURE, "n", "n_tracks", "rows", "bad_rows", problem.alias("problem"))

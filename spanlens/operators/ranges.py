@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arith import int_div
 from ..functions.predicates import overlaps, start_in
-from ..schema import CAPTURE, DETAIL_SLACK_NS, SEQ, WINDOW_CAP
+from ..schema import CAPTURE, DETAIL_SLACK_NS, SEQ
 from .sequence import sortedness
 from .slabs import slice_by_arrival
 
@@ -17,34 +17,63 @@ def render_only(df: DataFrame) -> DataFrame:
     return df.select(*RENDER_COLUMNS)
 
 
-def interval_window(df: DataFrame, t0, t1, cap: int = WINDOW_CAP, order: DataFrame | None = None,
-                    **slabs) -> DataFrame:
-    """Rows that overlap ``[t0, t1]``, at most ``cap`` for each capture, flagged ``capped`` when there are more.
+def interval_window(df: DataFrame, t0, t1, cap: int | None = None, keep: str | None = None,
+                    order: DataFrame | None = None, columns=RENDER_COLUMNS, **slabs) -> DataFrame:
+    """Rows that overlap ``[t0, t1]``, flagged ``capped``: all of them, by one filter that the scan takes over.
 
-    Above the cap a capture in start order keeps the middle of the range, any other its first arrivals.
-    ``order`` is the result of ``sortedness``; keep it with a stored capture, for it takes a pass over all
-    rows while the window itself reads only the range.
+    A caller who wants at most ``cap`` rows of each capture also says which to ``keep``: the ``middle`` of the range,
+    the ``first`` arrivals, or ``by_order`` the middle of captures in start order and the first arrivals of any
+    other.  ``order`` is a stored result of ``sortedness``; without it ``by_order`` takes a pass over all rows.
     """
-    order = sortedness(df, **slabs) if order is None else order
-    ordered = order.select(CAPTURE, F.col("sorted").alias("_sorted"))
-    hits = df.filter(overlaps(t0, t1)).select(*RENDER_COLUMNS)
-    skipped = lambda n: F.when(
-        F.col("_sorted") & (n > cap), int_div(n - cap, 2)
-    ).otherwise(0)
-    kept = slice_by_arrival(hits, skipped, lambda n: skipped(n) + cap, facts=ordered, **slabs)
+    hits = df.filter(overlaps(t0, t1)).select(*columns)
+    if cap is None:
+        return hits.withColumn("capped", F.lit(False))
+    facts = None
+    if keep == "by_order":
+        facts = (sortedness(df, **slabs) if order is None else order).select(CAPTURE, F.col("sorted").alias("_middle"))
+    elif keep not in ("middle", "first"):
+        raise ValueError("with a cap, keep is one of 'middle', 'first' and 'by_order'")
+    middle = F.col("_middle") if keep == "by_order" else F.lit(keep == "middle")
+    skipped = lambda n: F.when(middle & (n > cap), int_div(n - cap, 2)).otherwise(0)
+    kept = slice_by_arrival(hits, skipped, lambda n: skipped(n) + cap, facts=facts, **slabs)
+    return kept.select(*columns, (F.col("total") > cap).alias("capped"))
+
+
+def tail_follow(df: DataFrame, after, before, cap: int | None = None, after_seq: int = -1, **slabs) -> DataFrame:
+    """New rows: ``after < start < before`` and arrived after ``after_seq``, with ``capped``.
+
+    With a ``cap`` the oldest arrivals come first, and the next page goes on from the last of them (``tail_frontier``):
+    pages of a capture in any order yield each row once.
+    """
+    hits = df.filter(start_in(after, before) & (F.col(SEQ) > after_seq)).select(*RENDER_COLUMNS)
+    if cap is None:
+        return hits.withColumn("capped", F.lit(False))
+    kept = slice_by_arrival(hits, lambda n: F.lit(0), lambda n: F.lit(cap), **slabs)
     return kept.select(*RENDER_COLUMNS, (F.col("total") > cap).alias("capped"))
 
 
-def tail_follow(df: DataFrame, after, before, cap: int = WINDOW_CAP, **slabs) -> DataFrame:
-    """New rows past the frontier: ``after < start < before``, oldest arrivals first up to ``cap``."""
-    hits = df.filter(start_in(after, before)).select(*RENDER_COLUMNS)
-    kept = slice_by_arrival(hits, lambda n: F.lit(0), lambda n: F.lit(cap), **slabs)
-    return kept.select(*RENDER_COLUMNS, (F.col("total") > cap).alias("capped"))
+def tail_frontier(page: DataFrame) -> DataFrame:
+    """Where the next page of each capture starts: the last arrival seen, the largest start, and whether more waits."""
+    return page.groupBy(CAPTURE).agg(
+        F.max(SEQ).alias("after_seq"), F.max("start").alias("max_start"), F.bool_or("capped").alias("more"),
+    )
+
+
+def tail_or_window(df: DataFrame, frontier: DataFrame, t0, t1) -> DataFrame:
+    """What has arrived since ``frontier`` for each capture, or its whole window where new rows start at or before
+    the largest start already seen.  ``whole`` tells which; a capture without a frontier gets its window."""
+    rows = df.filter(overlaps(t0, t1)).select(*RENDER_COLUMNS).join(
+        frontier.select(CAPTURE, F.col("after_seq").alias("_seq"), F.col("max_start").alias("_start")), CAPTURE, "left")
+    new = F.col(SEQ) > F.coalesce("_seq", F.lit(-1))
+    broken = rows.groupBy(CAPTURE).agg(
+        (F.bool_or(F.col("_seq").isNull()) | F.coalesce(F.bool_or(new & (F.col("start") <= F.col("_start"))), F.lit(False)))
+        .alias("whole"))
+    return rows.join(broken, CAPTURE).filter(F.col("whole") | new).select(*RENDER_COLUMNS, "whole")
 
 
 def gc_window(gc: DataFrame, t0, t1) -> DataFrame:
-    """Collector pauses that overlap ``[t0, t1]``."""
-    stop = F.col("start") + F.col("dur")
+    """Collector pauses that overlap ``[t0, t1]``; both bounds reach the scan where ``end`` is stored."""
+    stop = F.col("end") if "end" in gc.columns else F.col("start") + F.col("dur")
     return gc.filter(overlaps(t0, t1, end=stop))
 
 
@@ -53,16 +82,24 @@ def gc_tail(gc: DataFrame, after, before) -> DataFrame:
     return gc.filter(start_in(after, before))
 
 
-def window_bounds(rows: DataFrame) -> DataFrame:
-    """Count and time bounds of a window's rows.  ``max_start`` is the frontier of the next tail."""
+def window_bounds(rows: DataFrame, captures: DataFrame | None = None) -> DataFrame:
+    """Count and time bounds of a window's rows.  ``max_start`` and ``max_seq`` are the frontier of the next tail.
+
+    ``captures`` lists the captures asked for, so that one with an empty window has a row of zeros.
+    """
     stop = F.col("start") + F.col("dur")
     none = F.lit(0)
-    return rows.groupBy(CAPTURE).agg(
+    found = rows.groupBy(CAPTURE).agg(
         F.count(F.lit(1)).alias("visible"),
         F.greatest(F.min("start"), none).alias("min_start"),
         F.greatest(F.max("start"), none).alias("max_start"),
         F.greatest(F.max(stop), none).alias("max_end"),
+        F.max(SEQ).alias("max_seq"),
     )
+    if captures is None:
+        return found
+    zeros = ["visible", "min_start", "max_start", "max_end"]
+    return captures.select(CAPTURE).distinct().join(found, CAPTURE, "left").fillna(0, zeros).fillna(-1, ["max_seq"])
 
 
 def detail_at(df: DataFrame, gid: int, start_ns: int, dur_ns: int) -> DataFrame:
@@ -79,12 +116,15 @@ def detail_at(df: DataFrame, gid: int, start_ns: int, dur_ns: int) -> DataFrame:
 def samples_range(samples: DataFrame, t0: int, t1: int) -> DataFrame:
     """Samples in ``[t0, t1]`` and one more on each side, so that held values reach both edges.
 
-    The range is a pushed-down filter; the two outer rows of each capture come out of one aggregate.
+    The range is a pushed-down filter.  One aggregate over two number columns finds the arrivals of the outer rows, and
+    they are fetched by filters of their own.
     """
-    row, at = F.struct(*samples.columns), F.struct("start", SEQ)
+    at = F.struct("start", SEQ)
     edges = samples.groupBy(CAPTURE).agg(
-        F.max_by(row, F.when(F.col("start") < t0, at)).alias("left"),
-        F.min_by(row, F.when(F.col("start") > t1, at)).alias("right"),
+        F.max(F.when(F.col("start") < t0, at)).alias("left"), F.min(F.when(F.col("start") > t1, at)).alias("right"),
     )
-    outer = edges.select(F.explode(F.array("left", "right")).alias("row")).filter("row is not null")
-    return samples.filter(F.col("start").between(t0, t1)).unionByName(outer.select("row.*"))
+    outer = edges.select(CAPTURE, F.explode(F.array("left", "right")).alias("at")).filter("at is not null").select(
+        CAPTURE, F.col(f"at.{SEQ}").alias(SEQ), F.col("at.start").alias("start"))
+    beyond = samples.filter((F.col("start") < t0) | (F.col("start") > t1))
+    return samples.filter(F.col("start").between(t0, t1)).unionByName(
+        beyond.join(outer, [CAPTURE, SEQ, "start"], "left_semi").select(*samples.columns))

@@ -6,15 +6,15 @@ from pyspark.sql import functions as F
 from ..functions.arith import shift_right
 from ..functions.predicates import duration_band, slow_level, tier_filter, track_name_fallback
 from ..schema import (
-    BLOCKED_NS, CAPTURE, LONG_NS, MAX_LIVE_TRACKS, OVERFLOW_LABEL, RETENTION_ROWS, SEQ, SLOWLOG_LIMIT,
+    BLOCKED_NS, CAPTURE, LONG_NS, OVERFLOW_LABEL, SEQ,
 )
 from .aggregates import recent_activity, track_rollup
 from .slabs import Running, running, slice_by_arrival, top_n
 
 
-def slowlog(df: DataFrame, tier="all", sort="start", limit=SLOWLOG_LIMIT, long_ns=LONG_NS,
+def slowlog(df: DataFrame, limit: int, tier="all", sort="start", long_ns=LONG_NS,
             blocked_ns=BLOCKED_NS) -> DataFrame:
-    """Slow non-hub rows of a tier, longest (``dur``) or newest (``start``) first; ties by arrival.
+    """The first ``limit`` slow non-hub rows of a tier, longest (``dur``) or newest (``start``) first; ties by arrival.
 
     The tier is selected before the limit, so one band never hides the other.
     """
@@ -102,7 +102,7 @@ def stable_track_order(placed: DataFrame, rows: DataFrame) -> DataFrame:
     return placed.select(CAPTURE, "gid", F.col("row").cast("long").alias("row")).unionByName(below)
 
 
-def fold_overflow(df: DataFrame, limit: int = MAX_LIVE_TRACKS) -> DataFrame:
+def fold_overflow(df: DataFrame, limit: int) -> DataFrame:
     """Run time of each track, tracks first seen after the first ``limit`` folded into one.
 
     Tracks are counted along their first arrival, so telling which ones are kept sorts none of them together.
@@ -135,7 +135,7 @@ def page_tracks(order: DataFrame, df: DataFrame, first: int, last: int, long_ns=
     )
 
 
-def retention_cap(df: DataFrame, keep: int = RETENTION_ROWS, **slabs) -> DataFrame:
+def retention_cap(df: DataFrame, keep: int, **slabs) -> DataFrame:
     """The newest ``keep`` arrivals of each capture, with ``evicted`` telling whether older ones went."""
     kept = slice_by_arrival(df, lambda n: F.greatest(n - keep, F.lit(0)), lambda n: n, **slabs)
     return kept.withColumn("evicted", F.col("total") > keep).drop("total")

@@ -8,7 +8,6 @@ from ..schema import CAPTURE, LAG_FULL_SCALE_MIN, SEQ, STALL_INTERVAL_NS
 from .slabs import Running, running
 
 BIN_SLAB = 1 << 16
-MAX_COLUMNS = 1 << 16
 
 
 def _runs_to_bins(changes: DataFrame, last) -> DataFrame:
@@ -60,20 +59,24 @@ def busy_bins(df: DataFrame, bin_ns: int, origin: int = 0) -> DataFrame:
 
 
 def _columns(captures: DataFrame, n: int) -> DataFrame:
-    """Columns 0 .. n-1 for every capture; ``n`` is a picture's width and checked."""
-    if not 0 < n <= MAX_COLUMNS:
-        raise ValueError(f"a series has 1 to {MAX_COLUMNS} columns, not {n}")
-    return captures.select(CAPTURE).distinct().withColumn(
-        "x", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    )
-
-
-def utilization_series(bins: DataFrame, bin_ns: int, t0: int, px_ns: int, n: int) -> DataFrame:
+    """Columns 0 .. n-1 for every capture, made in two steps so that no array outgrows a slab."""
+    if n < 1:
+        raise ValueError(f"a series has one column at least, not {n}")
+    number = lambda x: F.lit(x).cast("long")
+    tops = captures.select(CAPTURE).distinct().withColumn(
+        "_top", F.explode(F.sequence(number(0), number((n - 1) // BIN_SLAB))))
+    inside = F.sequence(F.col("_top") * BIN_SLAB, F.least(F.col("_top") * BIN_SLAB + (BIN_SLAB - 1), number(n - 1)))
+    return tops.select(CAPTURE, F.explode(inside).alias("x"))
+
+
+def utilization_series(bins: DataFrame, bin_ns: int, t0: int, px_ns: int, n: int,
+                       captures: DataFrame | None = None) -> DataFrame:
     """Busy share of ``n`` columns of ``px_ns`` from ``t0``: bins spread over the columns they overlap.
 
-    A share is at most 1; a column without run time is 0.
+    A share is at most 1; a column without run time is 0, and so are all of a capture that ``captures`` lists and
+    no bin belongs to.
     """
-    grid = _columns(bins, n)
+    grid = _columns(bins if captures is None else captures, n)
     low, high = F.col("bin") * bin_ns, (F.col("bin") + 1) * bin_ns
     seen = bins.filter((low < t0 + n * px_ns) & (high > t0))
     from_x = F.greatest(floor_div(low - t0, px_ns), F.lit(0))
@@ -93,25 +96,30 @@ def smooth_series(series: DataFrame, n: int, bin_ns: int, px_ns: int, value: str
     if bin_ns >= px_ns:
         return series
     w = max(1, int(n / 100 + 0.5))
-    around = Window.partitionBy(CAPTURE).orderBy("x").rowsBetween(-w, w)
-    return series.withColumn(value, F.avg(value).over(around))
+    # A column also goes to the slabs whose means it is part of, so that each slab has its own window.
+    homes = F.sequence(floor_div(F.col("x") - w, BIN_SLAB), floor_div(F.col("x") + w, BIN_SLAB))
+    around = Window.partitionBy(CAPTURE, "_slab").orderBy("x").rowsBetween(-w, w)
+    spread = series.withColumn("_slab", F.explode(homes)).withColumn(value, F.avg(value).over(around))
+    return spread.filter(F.col("_slab") == floor_div("x", BIN_SLAB)).select(*series.columns)
 
 
-def hold_on_grid(samples: DataFrame, value: str, t0: int, px_ns: int, n: int) -> DataFrame:
-    """The latest sample value at the left edge of each of ``n`` columns; 0 before the first.
+def hold_on_grid(samples: DataFrame, value: str, t0: int, px_ns: int, n: int,
+                 captures: DataFrame | None = None) -> DataFrame:
+    """The latest sample value at the left edge of each of ``n`` columns; 0 before the first, and in a capture that
+    ``captures`` lists and no sample belongs to.
 
-    Samples are reduced to the last one of each column first, so the carry runs over ``n`` rows a capture.
+    Samples are reduced to the last one of each column first; the carry runs over the columns slab by slab.
     """
-    grid = _columns(samples, n)
+    grid = _columns(samples if captures is None else captures, n)
     # A sample shows from the first column whose left edge is not before it.
     x = F.greatest(-floor_div(-(F.col("start") - t0), px_ns), F.lit(0))
     last = samples.filter(F.col("start") <= t0 + (n - 1) * px_ns).groupBy(CAPTURE, x.alias("x")).agg(
         F.max_by(value, F.struct("start", SEQ)).alias("_v")
     )
-    so_far = Window.partitionBy(CAPTURE).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    return grid.join(last, [CAPTURE, "x"], "left").select(
-        CAPTURE, "x", F.coalesce(F.last("_v", True).over(so_far), F.lit(0.0)).alias(value)
-    )
+    held = running(grid.join(last, [CAPTURE, "x"], "left"), [CAPTURE], ["x"], [
+        Running("_held", F.col("_v"), "last", True),
+    ], floor_div("x", BIN_SLAB))
+    return held.select(CAPTURE, "x", F.coalesce("_held", F.lit(0.0)).alias(value))
 
 
 def utilization_with_tail(series, samples, spans, t0: int, px_ns: int, n: int) -> DataFrame:
@@ -124,11 +132,11 @@ def utilization_with_tail(series, samples, spans, t0: int, px_ns: int, n: int) -
     return out.select(CAPTURE, "x", F.when(past, F.col("_held")).otherwise(F.col("busy")).alias("busy"))
 
 
-def lag_series(samples: DataFrame, t0: int, px_ns: int, n: int) -> DataFrame:
+def lag_series(samples: DataFrame, t0: int, px_ns: int, n: int, captures: DataFrame | None = None) -> DataFrame:
     """Held lag of each column, the highest in view and the full scale of the band."""
-    held = hold_on_grid(samples, "lag_ms_s", t0, px_ns, n)
-    whole = Window.partitionBy(CAPTURE)
-    return held.withColumn("peak", F.max("lag_ms_s").over(whole)).withColumn(
+    held = hold_on_grid(samples, "lag_ms_s", t0, px_ns, n, captures)
+    peaks = held.groupBy(CAPTURE).agg(F.max("lag_ms_s").alias("peak"))
+    return held.join(peaks, CAPTURE).withColumn(
         "full_scale", F.greatest(F.col("peak"), F.lit(LAG_FULL_SCALE_MIN))
     )
 

@@ -149,13 +149,13 @@ def time_slab(df: DataFrame, by, ts: str, rows: int = TIME_SLAB_ROWS) -> DataFra
     slabs, and those are cut to 1 s and then to 1 ms where they are crowded in turn.
 
     With at most a few rows for each (key, ns) a slab holds about ``rows`` rows at any density, for the finest
-    one spans 2^20 ns.  Crowded keys and slabs number at most one for each ``rows`` rows: under a million at
-    10^12 rows, which is what makes broadcasting them safe.
+    one spans 2^20 ns.  Crowded keys and slabs number at most one for each ``rows`` rows; whether they are
+    broadcast is left to Spark, which checks their size.
     """
     by = list(by)
     count = F.count(F.lit(1)).alias("_n")
-    hot = lambda counts, keys, flag: F.broadcast(
-        counts.filter(F.col("_n") > rows).select(*keys, F.lit(True).alias(flag))
+    hot = lambda counts, keys, flag: counts.filter(F.col("_n") > rows).select(
+        *keys, F.lit(True).alias(flag)
     )
     crowded_keys = hot(df.groupBy(*by).agg(count), by, "_hot_k")
     middle = shift_right(ts, _MIDDLE).alias("_mid")

@@ -43,13 +43,33 @@ KEY = (CAPTURE, SEQ)
 
 @query
 def read_capture(spark, d):
-    path = cap.scratch(spark, "capture")
-    cap.write_capture({"executions": v.executions(spark, d), "gc": v.gc_events(spark, d)}, path)
-    return cap.read_capture(spark, path)["executions"].select(
+    return _stored_capture(spark, d)["executions"].select(
         *KEY, "gid", "start", "dur", "name", "func", "task", "stack", "is_hub"
     )
 
 
+def _stored_capture(spark, d):
+    path = cap.scratch(spark, "capture")
+    cap.write_capture({
+        "executions": v.executions(spark, d), "gc": v.gc_events(spark, d), "samples": v.sys_samples(spark, d),
+        "switches": v.switches(spark, d), "meta": meta_view(spark, d),
+    }, path)
+    return cap.read_capture(spark, path)
+
+
+@query
+def read_capture_tables(spark, d):
+    """Every stored table read back: its rows and one number column of each."""
+    numbers = {"executions": "end", "gc": "end", "samples": "start", "switches": "ts", "meta": "epoch_ms"}
+    out = None
+    for name, df in _stored_capture(spark, d).items():
+        one = df.groupBy(CAPTURE).agg(
+            F.count(F.lit(1)).alias("rows"), F.min(SEQ).alias("first_seq"), F.max(numbers[name]).alias("largest"),
+        ).withColumn("name", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def meta_view(spark, d):
     e = v._base(spark, d)
     return e.select(
@@ -217,8 +237,8 @@ def render_only(spark, d):
 @query
 def interval_window(spark, d):
     whole = rng.interval_window(v.executions(spark, d), T0, T1).withColumn("case", F.lit("whole"))
-    middle = rng.interval_window(v.executions(spark, d), T0, T1, cap=101).withColumn("case", F.lit("capped"))
-    first = rng.interval_window(v.executions_dense(spark, d), T0, T1, cap=101)
+    middle = rng.interval_window(v.executions(spark, d), T0, T1, 101, "by_order").withColumn("case", F.lit("capped"))
+    first = rng.interval_window(v.executions_dense(spark, d), T0, T1, 101, "by_order")
     return whole.unionByName(middle).unionByName(first.withColumn("case", F.lit("dense")))
 
 
@@ -244,7 +264,15 @@ def tail_follow(spark, d):
     e = v.executions(spark, d)
     return rng.tail_follow(e, T0, T1).withColumn("case", F.lit("whole")).unionByName(
         rng.tail_follow(e, T0, T1, cap=50).withColumn("case", F.lit("capped"))
-    )
+    ).unionByName(rng.tail_follow(e, T0, T1, cap=50, after_seq=5000).withColumn("case", F.lit("next")))
+
+
+@query
+def tail_or_window(spark, d):
+    """The first half of the arrivals has been seen."""
+    e = v.executions(spark, d)
+    seen = rng.tail_frontier(rng.tail_follow(e.filter(F.col(SEQ) < 5000), T0, T1)).filter(F.col(CAPTURE) != "cap-c")
+    return rng.tail_or_window(e, seen, T0, T1)
 
 
 @query
@@ -281,14 +309,14 @@ def gc_stab(spark, d):
 @query
 def intern_dictionary(spark, d):
     e = v.executions(spark, d)
-    whole = dic.intern_dictionary(e, "func").withColumn("case", F.lit("whole"))
-    return whole.unionByName(dic.intern_dictionary(e, "func", 40).withColumn("case", F.lit("capped")))
+    whole = dic.intern_dictionary(e, "func").withColumn("case", F.lit("func"))
+    return whole.unionByName(dic.intern_dictionary(e, "task").withColumn("case", F.lit("task")))
 
 
 @query
 def resolve_dictionary(spark, d):
     e = v.executions(spark, d)
-    pool = dic.intern_dictionary(e, "func", 40)
+    pool = dic.intern_dictionary(e, "func")
     coded = dic.encode(e.select(*KEY, "func"), "func", pool)
     return dic.resolve_dictionary(coded.select(*KEY, "value_id"), pool)
 
@@ -298,8 +326,7 @@ def resolve_dictionary(spark, d):
 @query
 def track_runs(spark, d):
     e = v.executions(spark, d)
-    rows = rng.interval_window(e, T0, T1).join(e.select(*KEY, "name", "is_hub"), list(KEY))
-    return agg.track_runs(rows)
+    return agg.track_runs(rng.interval_window(e, T0, T1, columns=(*rng.RENDER_COLUMNS, "name", "is_hub")))
 
 
 @query
@@ -309,7 +336,10 @@ def track_max(spark, d):
 
 @query
 def window_bounds(spark, d):
-    return rng.window_bounds(rng.interval_window(v.executions_dense(spark, d), T0, T1))
+    e = v.executions_dense(spark, d)
+    near = rng.window_bounds(rng.interval_window(e, T0, T1), e).withColumn("case", F.lit("window"))
+    return near.unionByName(
+        rng.window_bounds(rng.interval_window(e, 400 * DAY, 401 * DAY), e).withColumn("case", F.lit("empty")))
 
 
 @query
@@ -348,7 +378,9 @@ def hot_functions(spark, d):
 
 @query
 def gc_totals(spark, d):
-    return agg.gc_totals(v.gc_events(spark, d))
+    gc = v.gc_events(spark, d)
+    some = agg.gc_totals(gc.filter(F.col(CAPTURE) == "cap-a"), v.executions(spark, d)).withColumn("case", F.lit("some"))
+    return some.unionByName(agg.gc_totals(gc).withColumn("case", F.lit("all")))
 
 
 @query
@@ -444,9 +476,18 @@ def _utilization(spark, d):
     return ser.utilization_series(bins, HOUR // 4, DAY, PX, COLUMNS)
 
 
+def _hub_only(df):
+    """One capture more, in which nothing but the hub runs."""
+    hub = df.filter("is_hub AND capture_id = 'cap-a'").withColumn(CAPTURE, F.lit("cap-hub"))
+    return df.unionByName(hub)
+
+
 @query
 def utilization_series(spark, d):
-    return _utilization(spark, d).select(CAPTURE, "x", F.round("busy", 6).alias("busy"))
+    e = _hub_only(v.executions_dense(spark, d))
+    bins = ser.busy_bins(e, HOUR // 4)
+    return ser.utilization_series(bins, HOUR // 4, DAY, PX, COLUMNS, e).select(
+        CAPTURE, "x", F.round("busy", 6).alias("busy"))
 
 
 @query
@@ -464,7 +505,8 @@ def utilization_with_tail(spark, d):
 
 @query
 def lag_series(spark, d):
-    return ser.lag_series(v.sys_samples(spark, d), DAY, PX, COLUMNS)
+    few = v.sys_samples(spark, d).filter(F.col(CAPTURE) != "cap-c")
+    return ser.lag_series(few, DAY, PX, COLUMNS, v.executions(spark, d))
 
 
 @query
@@ -497,7 +539,7 @@ def slowlog(spark, d):
     out = None
     for tier, sort, limit in (("all", "dur", 500), ("all", "start", 500), ("long", "start", 100),
                               ("blocked", "dur", 100)):
-        one = rank.slowlog(e, tier, sort, limit).withColumn("case", F.lit(f"{tier}-{sort}"))
+        one = rank.slowlog(e, limit, tier, sort).withColumn("case", F.lit(f"{tier}-{sort}"))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -508,9 +550,25 @@ def _order(spark, d, mode="activity"):
 
 @query
 def track_order(spark, d):
-    return _order(spark, d).withColumn("mode", F.lit("activity")).unionByName(
-        _order(spark, d, "ident").withColumn("mode", F.lit("ident"))
-    ).drop("activity")
+    out = None
+    for mode in ("activity", "ident"):
+        one = _order(spark, d, mode).withColumn("mode", F.lit(mode))
+        out = one if out is None else out.unionByName(one)
+    return out.drop("activity")
+
+
+@query
+def recent_track_order(spark, d):
+    """The display order by recent run time, with days as milliseconds so that the windows hold rows."""
+    e = v.executions_dense(spark, d)
+    ms = lambda c: F.floor(F.col(c) / 86_400).cast("long").alias(c)
+    fast = e.select(*[ms(c) if c in ("start", "dur") else F.col(c) for c in e.columns if c != "end"])
+    fast = fast.withColumn("end", F.col("start") + F.col("dur"))
+    out = None
+    for mode in ("recent1", "recent10", "recent60"):
+        one = rank.track_order(fast, mode).withColumn("mode", F.lit(mode))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query
@@ -575,6 +633,13 @@ def parse_frame(spark, d):
     return e.select(*KEY, one).withColumn("p", stacks.parse_frame("frame")).select(*KEY, "frame", "p.*")
 
 
+@query
+def parse_frames(spark, d):
+    """Every frame of every stack."""
+    frames = stacks.parse_frames(stacks.split_stack("stack"))
+    return v.executions(spark, d).select(*KEY, F.posexplode(frames).alias("at", "p")).select(*KEY, "at", "p.*")
+
+
 @query
 def leaf_function(spark, d):
     frames = F.concat(F.array(F.lit("<string>:m:1"), F.lit("/usr/lib/gevent/hub.py:switch:1")),
@@ -684,13 +749,13 @@ def axis_ticks(spark, d):
 
 @query
 def cpu_tier(spark, d):
-    s = v.sys_samples(spark, d)
-    return s.select(*KEY, pred.cpu_tier(F.col("cpu_ms_s") / 1000).alias("tier"))
+    b = v._base(spark, d)
+    return b.select(*KEY, pred.cpu_tier(F.least(F.lit(1000), F.col("k") * 10) / 1000).alias("tier"))
 
 
 @query
 def lag_tier(spark, d):
-    return v.sys_samples(spark, d).select(*KEY, pred.lag_tier("lag_ms_s").alias("tier"))
+    return v._base(spark, d).select(*KEY, pred.lag_tier("value").alias("tier"))
 
 
 @query

@@ -44,6 +44,12 @@ def _rows(name, columns, table="e", where="", *ctes):
 IN_WINDOW = f"start < {T1} AND stop > {T0}"
 
 _rows("read_capture", "gid, start, dur, name, func, task, stack, is_hub")
+_sql("read_capture_tables", f"""SELECT capture_id, count(*) AS rows, min(seq) AS first_seq, max(largest) AS largest, name
+  FROM (SELECT capture_id, seq, stop AS largest, 'executions' AS name FROM e
+  UNION ALL SELECT capture_id, seq, start + dur, 'gc' FROM gc
+  UNION ALL SELECT capture_id, seq, start, 'samples' FROM samples
+  UNION ALL SELECT capture_id, seq, ts, 'switches' FROM switches
+  UNION ALL SELECT capture_id, seq, CASE WHEN k % 2 = 1 THEN k + {EPOCH_MS} ELSE 0 END, 'meta' FROM b) GROUP BY ALL""")
 META = """meta AS (SELECT capture_id, seq, CASE WHEN k % 2 = 1 THEN k + %d ELSE 0 END AS epoch_ms, gid AS tid,
   -k AS pid, event_type AS runtime, '3.' || k AS python FROM b)""".replace("%d", str(EPOCH_MS))
 _sql("read_meta", """SELECT capture_id, arg_max(epoch_ms, seq) FILTER (epoch_ms > 0) AS epoch_ms,
@@ -102,9 +108,18 @@ _sql("interval_join", """SELECT v.capture_id, probe_id, seq, start, dur FROM vie
   ON v.capture_id = s.capture_id AND s.start < v.t1 AND s.stop > v.t0""")
 _rows("gc_window", "start, dur, generation, collected", "gc", f"WHERE start < {T1} AND start + dur > {T0}")
 _rows("gc_tail", "start, dur, generation, collected", "gc", f"WHERE start > {T0} AND start < {T1}")
-_sql("tail_follow", """SELECT capture_id, seq, start, dur, gid, n > cap AS capped, c AS "case"
-  FROM win WHERE i < cap AND c <> 'dense'""",
-     WIN.format(w=f"start > {T0} AND start < {T1}").replace("101", "50"))
+_TAIL = f"start > {T0} AND start < {T1}"
+_sql("tail_follow", """SELECT capture_id, seq, start, dur, gid, n > cap AS capped,
+  CASE c WHEN 'dense' THEN 'next' ELSE c END AS "case" FROM win WHERE i < cap""",
+     WIN.format(w=_TAIL).replace("101", "50").replace(f"FROM dense WHERE {_TAIL}", f"FROM e WHERE {_TAIL} AND seq > 5000"))
+_sql("tail_or_window", """SELECT w.capture_id, w.seq, w.start, dur, gid, broken AS whole FROM w
+  JOIN state USING (capture_id) WHERE broken OR seq > after_seq""",
+     f"w AS (SELECT * FROM e WHERE {IN_WINDOW})",
+     f"""front AS (SELECT capture_id, max(seq) AS after_seq, max(start) AS max_start FROM e
+  WHERE {_TAIL} AND seq < 5000 AND capture_id <> 'cap-c' GROUP BY ALL)""",
+     """state AS (SELECT w.capture_id, any_value(after_seq) AS after_seq, bool_or(after_seq IS NULL) OR
+  coalesce(bool_or(w.seq > after_seq AND w.start <= max_start), false) AS broken
+  FROM w LEFT JOIN front f ON w.capture_id = f.capture_id GROUP BY w.capture_id)""")
 _sql("detail_nearest", """SELECT p.capture_id, p.probe_id, n.seq AS hit_seq, coalesce(func, '') AS func,
   coalesce(task, '') AS task, coalesce(stack, '') AS stack FROM probes p LEFT JOIN near n USING (probe_id)""",
      """near AS (SELECT p.probe_id, s.* FROM probes p JOIN e s ON p.capture_id = s.capture_id AND p.gid = s.gid
@@ -127,13 +142,13 @@ _sql("gc_stab", """SELECT p.capture_id, p.probe_id, p.t, h.seq AS hit_seq, h.sta
   h.generation AS hit_generation, h.collected AS hit_collected FROM probes p LEFT JOIN hit h USING (probe_id)""",
      STAB.format(table="gc", order="s.seq DESC", on=f"""p.capture_id = s.capture_id
   AND p.t BETWEEN s.start - {200 * SECOND} AND s.start + greatest(s.dur, {200 * SECOND}) + {200 * SECOND}"""))
-POOL = """firsts AS (SELECT capture_id, func AS value, min(seq) AS f FROM e GROUP BY ALL),
+POOL = """firsts AS (SELECT capture_id, func AS value, min(seq) AS f FROM e WHERE true GROUP BY ALL),
 pool AS (SELECT capture_id, row_number() OVER (PARTITION BY capture_id ORDER BY f) AS id, value FROM firsts
   UNION ALL SELECT DISTINCT capture_id, 0, '' FROM e)"""
-_sql("intern_dictionary", """SELECT capture_id, id, value, 'whole' AS "case" FROM pool
-  UNION ALL SELECT capture_id, id, value, 'capped' FROM pool WHERE id < 40""", POOL)
-_sql("resolve_dictionary", """SELECT e.capture_id, seq, CASE WHEN id < 40 THEN id ELSE 0 END AS value_id,
-  CASE WHEN id < 40 THEN value ELSE '' END AS value FROM e JOIN pool p
+_sql("intern_dictionary", """SELECT capture_id, id, value, 'func' AS "case" FROM pool
+  UNION ALL SELECT capture_id, id, value, 'task' FROM tpool""", POOL, POOL.replace("func", "task")
+     .replace("WHERE true", "WHERE task <> ''").replace("firsts", "tfirsts").replace("pool", "tpool"))
+_sql("resolve_dictionary", """SELECT e.capture_id, seq, id AS value_id, value FROM e JOIN pool p
   ON e.capture_id = p.capture_id AND e.func = p.value""", POOL)
 _sql("render_columns", f"""SELECT capture_id, seq, CAST(CAST(CAST(start - {T0} AS FLOAT) AS DOUBLE) / 1e6 AS FLOAT)
   AS start_ms, CAST(CAST(CAST(dur AS FLOAT) AS DOUBLE) / 1e6 AS FLOAT) AS dur_ms, track_idx
@@ -141,8 +156,8 @@ _sql("render_columns", f"""SELECT capture_id, seq, CAST(CAST(CAST(start - {T0} A
      f"w AS (SELECT * FROM e WHERE {IN_WINDOW})", """places AS (SELECT capture_id, gid,
   row_number() OVER (PARTITION BY capture_id ORDER BY min(seq)) - 1 AS track_idx FROM w GROUP BY capture_id, gid)""")
 _sql("validate_render_columns", """SELECT h.capture_id, n, n_tracks, h.rows, bad_rows,
-  CASE WHEN n <> h.rows THEN 'malformed window: n=' || n || ', rows=' || h.rows
-  WHEN bad_rows > 0 THEN 'malformed window: track_idx=' || (n_tracks) || ' out of range (len ' || n_tracks || ')'
+  CASE WHEN n <> h.rows THEN 'header says ' || n || ' rows, found ' || h.rows
+  WHEN bad_rows > 0 THEN 'track place ' || n_tracks || ' with ' || n_tracks || ' tracks'
   END AS problem FROM h""",
      f"w AS (SELECT * FROM e WHERE {IN_WINDOW})", """places AS (SELECT capture_id, gid,
   row_number() OVER (PARTITION BY capture_id ORDER BY min(seq)) - 1 AS track_idx FROM w GROUP BY capture_id, gid),
@@ -156,8 +171,9 @@ h AS (SELECT capture_id, rows, rows - CASE WHEN capture_id = 'cap-c' THEN 1 ELSE
 _sql("track_runs", f"""SELECT capture_id, gid, CAST(sum(dur) AS BIGINT) AS run, arg_min(name, seq) AS name,
   arg_min(is_hub, seq) AS is_hub FROM e WHERE {IN_WINDOW} GROUP BY ALL""")
 _sql("track_max", "SELECT capture_id, gid, max(dur) AS max_dur, count(*) AS executions FROM e GROUP BY ALL")
-_sql("window_bounds", f"""SELECT capture_id, count(*) AS visible, min(start) AS min_start, max(start) AS max_start,
-  max(stop) AS max_end FROM dense WHERE {IN_WINDOW} GROUP BY ALL""")
+_sql("window_bounds", f"""SELECT capture_id, 'window' AS "case", count(*) AS visible, min(start) AS min_start,
+  max(start) AS max_start, max(stop) AS max_end, max(seq) AS max_seq FROM dense WHERE {IN_WINDOW} GROUP BY ALL
+  UNION ALL SELECT DISTINCT capture_id, 'empty', 0, 0, 0, 0, -1 FROM dense""")
 _sql("duration_stats", f"""SELECT capture_id, c AS "case", coalesce(round(quantile_cont(dur, 0.5) FILTER (m), 6), 0)
   AS p50, coalesce(round(quantile_cont(dur, 0.95) FILTER (m), 6), 0) AS p95,
   coalesce(round(quantile_cont(dur, 0.99) FILTER (m), 6), 0) AS p99 FROM (
@@ -191,7 +207,10 @@ tp AS (SELECT capture_id, CAST(trunc(quantile_cont(dur, 0.5)) AS BIGINT) AS p50,
   FROM e WHERE NOT is_hub GROUP BY ALL)"""
 _sql("top_tracks", "SELECT capture_id, rank, gid, name, is_hub, run, executions FROM tt WHERE rank <= 10", TOPS)
 _sql("hot_functions", "SELECT capture_id, rank, func, total, executions, longest FROM tf WHERE rank <= 10", TOPS)
-_sql("gc_totals", "SELECT capture_id, count(*) AS pauses, CAST(sum(dur) AS BIGINT) AS total FROM gc GROUP BY ALL")
+_sql("gc_totals", """SELECT capture_id, 'all' AS "case", count(*) AS pauses, CAST(sum(dur) AS BIGINT) AS total FROM gc
+  GROUP BY ALL UNION ALL SELECT e.capture_id, 'some', count(g.seq), CAST(coalesce(sum(g.dur), 0) AS BIGINT)
+  FROM (SELECT DISTINCT capture_id FROM e) e
+  LEFT JOIN gc g ON e.capture_id = g.capture_id AND g.capture_id = 'cap-a' GROUP BY ALL""")
 _sql("gc_by_generation", "SELECT * FROM tg", TOPS)
 COUNTS = """c AS (SELECT capture_id, count(*) AS total, CAST(sum(strlen(name) + strlen(func) + strlen(task)
   + strlen(stack) + 24) AS BIGINT) AS bytes, max(stop) AS span, arg_min(start, seq) AS origin FROM e GROUP BY ALL)"""
@@ -274,7 +293,8 @@ util AS (SELECT g.capture_id, x, least(1, coalesce(sum(busy_ns * ((least((bin +
   - greatest(bin * {QUARTER}, {DAY} + x * {PX})) / {QUARTER}.0::DOUBLE)), 0) / {PX}.0::DOUBLE) AS busy
   FROM grid g LEFT JOIN bins4 b ON g.capture_id = b.capture_id
   AND bin * {QUARTER} < {DAY} + (x + 1) * {PX} AND (bin + 1) * {QUARTER} > {DAY} + x * {PX} GROUP BY ALL)"""
-_sql("utilization_series", "SELECT capture_id, x, round(busy, 6) AS busy FROM util", UTIL)
+_sql("utilization_series", f"""SELECT capture_id, x, round(busy, 6) AS busy FROM util
+  UNION ALL SELECT 'cap-hub', x, 0 FROM range({COLUMNS}) AS r(x)""", UTIL)
 _sql("smooth_series", """SELECT capture_id, x, round(avg(busy) OVER (PARTITION BY capture_id ORDER BY x
   ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING), 6) AS busy FROM util""", UTIL)
 HELD = f"""held AS (SELECT g.capture_id, g.x, coalesce(lag_ms_s, 0) AS lag_ms_s, coalesce(cpu_ms_s, 0) AS cpu_ms_s
@@ -283,8 +303,9 @@ HELD = f"""held AS (SELECT g.capture_id, g.x, coalesce(lag_ms_s, 0) AS lag_ms_s,
 _sql("utilization_with_tail", f"""SELECT u.capture_id, u.x, round(CASE WHEN {DAY} + u.x * {PX} > edge
   THEN least(cpu_ms_s / 1000, 1) ELSE busy END, 6) AS busy FROM util u JOIN held h USING (capture_id, x)
   JOIN (SELECT capture_id, max(stop) AS edge FROM dense GROUP BY ALL) USING (capture_id)""", UTIL, HELD)
-_sql("lag_series", """SELECT capture_id, x, lag_ms_s, max(lag_ms_s) OVER (PARTITION BY capture_id) AS peak,
-  greatest(max(lag_ms_s) OVER (PARTITION BY capture_id), 50) AS full_scale FROM held""", HELD)
+_sql("lag_series", """SELECT capture_id, x, v AS lag_ms_s, max(v) OVER (PARTITION BY capture_id) AS peak,
+  greatest(max(v) OVER (PARTITION BY capture_id), 50) AS full_scale
+  FROM (SELECT capture_id, x, CASE WHEN capture_id = 'cap-c' THEN 0 ELSE lag_ms_s END AS v FROM held)""", HELD)
 _sql("stall_intervals", """SELECT capture_id, i AS interval, new_rows, CAST(round(new_rows / 900.0) AS BIGINT)
   AS rows_per_s, CAST(round(size / 900.0 / 1024) AS BIGINT) AS kib_per_s, total, new_rows = 0 AS stalled,
   CASE WHEN new_rows = 0 AND was > 0 THEN 'stalled' WHEN new_rows > 0 AND was = 0 THEN 'resumed' END AS transition
@@ -317,6 +338,16 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY NOT is_
   - 1 AS by_ident FROM tracks)"""
 _sql("track_order", """SELECT capture_id, by_act AS row, gid, name, is_hub, 'activity' AS mode FROM placed
   UNION ALL SELECT capture_id, by_ident, gid, name, is_hub, 'ident' FROM placed""", ORDER)
+_sql("recent_track_order", """SELECT capture_id, row_number() OVER (PARTITION BY capture_id, mode ORDER BY NOT is_hub,
+  CASE WHEN is_hub THEN 0 ELSE activity END DESC, CAST(split_part(name, '-', 2) AS BIGINT), name, gid) - 1 AS row,
+  gid, name, is_hub, activity, mode FROM (SELECT capture_id, gid, mode, arg_min(name, seq) AS name,
+  arg_min(is_hub, seq) AS is_hub, CAST(coalesce(sum(least(stop, now) - greatest(start, now - w))
+    FILTER (stop >= now - w), 0) AS BIGINT) AS activity
+  FROM quick JOIN late USING (capture_id), (VALUES ('recent1', 1000000000), ('recent10', 10000000000),
+  ('recent60', 60000000000)) AS x(mode, w) GROUP BY capture_id, gid, mode)""",
+     """quick AS (SELECT * REPLACE (start // 86400 AS start, dur // 86400 AS dur,
+  start // 86400 + dur // 86400 AS stop) FROM dense)""",
+     "late AS (SELECT capture_id, arg_max(stop, seq) AS now FROM quick GROUP BY ALL)")
 _sql("stable_track_order", """SELECT capture_id, gid, row FROM old UNION ALL SELECT n.capture_id, n.gid,
   coalesce((SELECT max(row) + 1 FROM old WHERE old.capture_id = n.capture_id), 0)
   + row_number() OVER (PARTITION BY n.capture_id ORDER BY f) - 1 AS row
@@ -351,6 +382,12 @@ _sql("parse_frame", """SELECT capture_id, seq, frame, p[1] AS path,
   FROM (SELECT *, string_split(frame, ':') AS p FROM f)""",
      """f AS (SELECT capture_id, seq, unnest([func, string_split(stack, ' <- ')[1], '/usr/lib/gevent/hub.py:a:b:7',
   '/srv/greenlets/' || task || ':run', name]) AS frame FROM e)""")
+_sql("parse_frames", """SELECT capture_id, seq, CAST(i - 1 AS INT) AS at, p[1] AS path, string_split(p[1], '/')[-1] AS file,
+  array_to_string(p[2:len(p) - 1], ':') AS qual, p[-1] AS line,
+  contains(p[1], '/gevent/') OR contains(p[1], '/greenlet') AS lib
+  FROM (SELECT capture_id, seq, i, string_split(f[i], ':') AS p FROM (
+  SELECT capture_id, seq, f, unnest(range(1, len(f) + 1)) AS i FROM (
+  SELECT capture_id, seq, string_split(stack, ' <- ') AS f FROM e WHERE stack <> '')))""")
 _rows("leaf_function", "CASE WHEN stack = '' THEN '' ELSE func END AS leaf")
 _rows("clean_stack", "stack")
 _rows("short_stack", """CASE WHEN stack = '' THEN func ELSE string_split(stack, ' <- ')[1] END AS shown,
@@ -430,9 +467,8 @@ lines AS (SELECT capture_id, mode, kind, t0, t1, step,
   CASE WHEN mode = 'clock' THEN -({EPOCH_MS + 12_345}.0::DOUBLE % step) ELSE 0 END AS phase
   FROM (SELECT *, CASE WHEN kind = 'major' THEN major ELSE major / 5.0::DOUBLE END AS step FROM stepped,
   (VALUES ('major'), ('minor')) AS x(kind), (VALUES ('relative'), ('clock')) AS y(mode)))""")
-_rows("cpu_tier", "CASE WHEN cpu_ms_s / 1000 > 0.9 THEN 'warn' ELSE 'ok' END AS tier", "samples")
-_rows("lag_tier", "CASE WHEN lag_ms_s >= 50 THEN 'bad' WHEN lag_ms_s >= 20 THEN 'warn' ELSE 'ok' END AS tier",
-      "samples")
+_rows("cpu_tier", "CASE WHEN least(1000, k * 10) / 1000 > 0.9 THEN 'warn' ELSE 'ok' END AS tier", "b")
+_rows("lag_tier", "CASE WHEN value >= 50 THEN 'bad' WHEN value >= 20 THEN 'warn' ELSE 'ok' END AS tier", "b")
 _rows("parse_proc_status", """event_type AS name, 'S (sleeping)' AS state, k AS threads,
   CASE WHEN k % 4 = 0 THEN 0 ELSE k END AS rss_kb, k * 1024 AS vm_peak_kb, gid AS voluntary_ctxt,
   CASE WHEN k % 2 = 0 THEN 0 END AS involuntary_ctxt""", "b")
@@ -461,19 +497,10 @@ _sql("stall_monitor", """SELECT capture_id, count(*) AS total, count(*) AS new_r
 _rows("late_rows", "start, dur, coalesce(start < high, false) AS late", "seen", "WHERE c = 'dense'", SORTED)
 
 
-def with_views(body):
-    """``body`` over the derived views."""
-    return "WITH " + _VIEWS.strip() + "\n" + body
-
-
 def _ns(n):
     return "(" + NS.format(n=n) + ")"
 
 
-def _wide(text, n):
-    return f"lpad({text}, CAST(greatest({n}, length({text})) AS INT), ' ')"
-
-
 def _pct(n, total):
     return f"(CASE WHEN {total} = 0 THEN '0.0%' ELSE printf('%.1f', {n}::DOUBLE / {total}::DOUBLE * 100) || '%' END)"
 
@@ -485,20 +512,19 @@ def _items(table, line, order="rank", where="rank <= 10"):
 
 _sql("report_text", f"""SELECT capture_id, CAST(i - 1 AS INT) AS line_no, l[i] AS line FROM (
   SELECT capture_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT capture_id, [
-  'analysis — ' || capture_id, '  PID ' || pid || ' · 0 B on disk · ' || total || ' executions · ' || tracks
-    || ' greenlets · span ' || {_ns('span')}, '  recorded epoch: ' || epoch || ' (unix ms at t0)', '', 'Work',
-  '  application run time (non-hub): ' || {_ns('app')} || ' (' || {_pct('app', 'span')} || ' of span)',
-  '  hub/loop time: ' || {_ns('hub')}, '  execution percentiles (non-hub): p50 ' || {_ns('p50')} || ' · p95 '
-    || {_ns('p95')} || ' · p99 ' || {_ns('p99')}, '', 'Slow executions (≥ long 20ms)',
-  '  long: ' || long_n || '   blocked (≥ 50ms): ' || blocked_n, '  slowest:']
-  || {_items('ts', f"'    ' || {_wide(_ns('dur'), 9)} || '  [' || CASE level WHEN 2 THEN 'blocked' ELSE 'long ' END || ']  ' || name || '  ' || func")}
-  || ['', 'GC', '  ' || (SELECT sum(pauses)::BIGINT FROM tg WHERE tg.capture_id = w.capture_id) || ' pauses · '
-    || {_ns('gc_ns')} || ' total (' || {_pct('gc_ns', 'span')} || ' of span)']
-  || {_items('tg', f"'    gen ' || generation || ': ' || pauses || ' × (' || {_ns('total')} || ' total)'", 'generation', 'true')}
-  || ['', 'Top greenlets by run time']
-  || {_items('tt', f"'    ' || {_wide(_ns('run'), 9)} || '  ' || name || CASE WHEN is_hub THEN ' (hub)' ELSE '' END || '  gid ' || gid || ' · ' || executions || ' executions'")}
-  || ['', 'Hottest functions (non-hub, by total run time)']
-  || {_items('tf', f"'    ' || {_wide(_ns('total'), 9)} || '  ' || {_wide('executions::VARCHAR', 6)} || '×  max ' || {_ns('longest')} || '  ' || func")}
+  'Capture ' || capture_id, '  process ' || pid || ', stored in 0 B, starts at ' || epoch || ' ms',
+  '  ' || total || ' intervals of ' || tracks || ' tracks in ' || {_ns('span')}, '[time]',
+  '  tracks: ' || {_ns('app')} || ', ' || {_pct('app', 'span')} || ' of the capture; hubs: ' || {_ns('hub')},
+  '  half within ' || {_ns('p50')} || ', 95% within ' || {_ns('p95')} || ', 99% within ' || {_ns('p99')}, '[slow]',
+  '  from 20 ms: ' || long_n || ', from 50 ms: ' || blocked_n]
+  || {_items('ts', f"'  ' || rank || '. ' || {_ns('dur')} || CASE level WHEN 2 THEN ' !! ' ELSE ' ' END || func || ' in ' || name")}
+  || ['[pauses]', '  ' || (SELECT sum(pauses)::BIGINT FROM tg WHERE tg.capture_id = w.capture_id) || ' in all, '
+    || {_ns('gc_ns')} || ', ' || {_pct('gc_ns', 'span')} || ' of the capture']
+  || {_items('tg', f"'  generation ' || generation || ': ' || pauses || ', ' || {_ns('total')}", 'generation', 'true')}
+  || ['[tracks]']
+  || {_items('tt', f"'  ' || rank || '. ' || name || CASE WHEN is_hub THEN '*' ELSE '' END || ' #' || gid || ': ' || {_ns('run')} || ' in ' || executions")}
+  || ['[functions]']
+  || {_items('tf', f"'  ' || rank || '. ' || func || ': ' || {_ns('total')} || ' in ' || executions || ', at most ' || {_ns('longest')}")}
   AS l FROM w))""", TOPS, META, """m AS (SELECT capture_id, arg_max(pid, seq) AS pid,
   arg_max(epoch_ms, seq) FILTER (epoch_ms > 0) AS epoch FROM meta GROUP BY ALL),
 w AS (SELECT e.capture_id, count(*) AS total, max(stop) - arg_min(start, seq) AS span, any_value(pid) AS pid,

@@ -5,17 +5,11 @@ from pyspark.sql import types as T
 CAPTURE = "capture_id"
 SEQ = "seq"
 
-# Thresholds, limits and labels of the data model.
+# Thresholds and labels of the data model.
 LONG_NS = 20_000_000
 BLOCKED_NS = 50_000_000
 REPORT_TOP = 10
-SLOWLOG_LIMIT = 500
-WINDOW_CAP = 2_000_000
-RETENTION_ROWS = 5_000_000
-MAX_LIVE_TRACKS = 20_000
 OVERFLOW_LABEL = "…(other greenlets)"
-POOL_CAP = 100_000
-FRAME_LIMIT = 32
 STACK_SEPARATOR = " <- "
 DETAIL_SLACK_NS = 2_000_000
 DELTA_MAX = (1 << 24) - 1
@@ -40,6 +34,6 @@ EXECUTIONS = _table(
     capture_id=_S, seq=_L, gid=_L, start=_L, dur=_L, end=_L, name=_S, func=_S, task=_S, stack=_S,
     is_hub=_B,
 )
-GC_EVENTS = _table(capture_id=_S, seq=_L, start=_L, dur=_L, generation=_L, collected=_L)
+GC_EVENTS = _table(capture_id=_S, seq=_L, start=_L, dur=_L, generation=_L, collected=_L, end=_L)
 SYS_SAMPLES = _table(capture_id=_S, seq=_L, start=_L, lag_ms_s=_D, cpu_ms_s=_D)
 SESSION_META = _table(capture_id=_S, seq=_L, epoch_ms=_L, tid=_L, pid=_L, pyinfo=_S)

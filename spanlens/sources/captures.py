@@ -21,6 +21,8 @@ def write_capture(tables: dict[str, DataFrame], path: str, mode: str = "append")
     """
     for name, df in tables.items():
         known = TABLES[name].fieldNames()
+        if "end" in known and "end" not in df.columns:  # stored, so that both bounds of a range reach the scan
+            df = df.withColumn("end", F.col("start") + F.col("dur"))
         out = df.select(*[c for c in known if c in df.columns])
         if "start" in out.columns:
             out = out.repartitionByRange(CAPTURE, "start").sortWithinPartitions(CAPTURE, "start")
@@ -31,11 +33,9 @@ def read_capture(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The tables of a stored capture set, whole and without a cap; one absent on disk is left out."""
     found = {}
     for name, kind in TABLES.items():
-        try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
             found[name] = spark.read.schema(kind).parquet(f"{path}/{name}")
-        except Exception as missing:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
     return found
 
 

@@ -11,7 +11,7 @@ from spanlens.sources import captures as cap
 
 SF = "/root/testdata/sf0.001"
 STREAMS = {"stream_switches", "parquet_append_sink", "micro_batch_flush", "stream_tail", "stream_retention",
-           "fold_switches_stream", "live_aggregates", "late_rows", "read_capture",
+           "fold_switches_stream", "live_aggregates", "late_rows", "read_capture", "read_capture_tables",
            "stall_monitor"}
 
 
@@ -32,7 +32,7 @@ def outside_subqueries(text):
     return kept
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - STREAMS))
+@pytest.mark.parametrize("name", sorted(set(c.QUERIES) - STREAMS))
 def test_no_nested_loops_and_no_single_task(spark, name):
     text = plan(entry.queries()[name](spark, SF))
     assert "NestedLoop" not in text and "CartesianProduct" not in text
@@ -51,6 +51,15 @@ def test_range_reaches_the_scan(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(capture_id" in one and "ReadSchema: struct<dur:bigint>" in one
 
 
+def test_a_window_is_one_scan(spark, tmp_path):
+    cap.write_capture({"executions": c.v.executions(spark, SF), "gc": c.v.gc_events(spark, SF)}, str(tmp_path))
+    stored = cap.read_capture(spark, str(tmp_path))
+    text = plan(rng.interval_window(stored["executions"], c.T0, c.T1))
+    assert text.count("Scan parquet") == 1 and "Exchange" not in text
+    text = plan(rng.gc_window(stored["gc"], 5, 9))
+    assert "LessThan(start,9)" in text and "GreaterThan(end,5)" in text
+
+
 def test_window_reads_no_texts(spark, tmp_path):
     cap.write_capture({"executions": c.v.executions(spark, SF)}, str(tmp_path))
     stored = cap.read_capture(spark, str(tmp_path))["executions"]
@@ -78,6 +87,14 @@ def test_scratch_follows_the_session(spark):
         sparkContext = spark.sparkContext
 
     assert cap.scratch(Session, "x").startswith("hdfs://shared/work/x-")
+    class Far:
+        conf = {}
+
+        class sparkContext:  # noqa: N801
+            master = "spark://somewhere:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        cap.scratch(Far, "x")
     Session.conf = {}
     own = cap.scratch(Session, "x").rsplit("/", 1)[0]
     assert cap.scratch(Session, "y").startswith(own)

@@ -61,7 +61,7 @@ def test_drop_zero_tail(spark):
 def test_windows(spark):
     e, d = v.executions(spark, SF), v.executions_dense(spark, SF)
     for case, rows, cap in (("whole", e, 2_000_000), ("capped", e, 101), ("dense", d, 101)):
-        out = rng.interval_window(rows, c.T0, c.T1, cap, **SMALL)
+        out = rng.interval_window(rows, c.T0, c.T1, cap, "by_order", **SMALL)
         check(out, "interval_window", lambda r: r["case"] == case)
     check(rng.tail_follow(e, c.T0, c.T1, 50, **SMALL), "tail_follow", lambda r: r["case"] == "capped")
     check(rank.retention_cap(rng.render_only(e), 2000, **SMALL), "retention_cap")
