@@ -1,5 +1,7 @@
 """The registered queries: every operator applied to timeline tables derived from ``events``."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from .. import schema
@@ -901,9 +903,11 @@ def stall_monitor(spark, d):
         .option("checkpointLocation", f"{out}/offsets").outputMode("append")
         .trigger(processingTime="500 milliseconds").start()
     )
-    captures = arrivals.select(CAPTURE).distinct().count()
+    captures, deadline = arrivals.select(CAPTURE).distinct().count(), time.monotonic() + 300
     try:
         while not live_query.awaitTermination(2):
+            if time.monotonic() > deadline:
+                raise TimeoutError("no stall was seen in 300 s")
             # One batch takes all files, so a capture's first stalled row comes after its last arrival.
             progress = live_query.lastProgress
             if progress is not None and progress.batchId > 0:

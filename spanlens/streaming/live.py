@@ -3,7 +3,8 @@
 State that outlives a micro-batch (open intervals, counters, highest ends) is one small row for each thread or
 capture.  It is kept as a table version for each batch id below the query's folder: a replayed batch reads the
 version before it and overwrites its own, so results are exactly once, and a busy thread's rows are still
-folded by many tasks.
+folded by many tasks.  The last two versions are kept.  A folder belongs to the query that made it: a new checkpoint over
+an old folder is refused.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,7 @@ from ..operators.slabs import Running, running
 from ..schema import BLOCKED_NS, CAPTURE, EXECUTIONS, LONG_NS, SEQ, SWITCHES
 
 FLUSH_TRIGGER = {"processingTime": "10 seconds"}
-# A live reader gets a batch after 50 ms or about 2,048 events.
-LIVE_TRIGGER = {"processingTime": "50 milliseconds"}
+# Fixed value: a live reader gets a batch after about 2,048 events.
 LIVE_BATCH_EVENTS = 2048
 BATCH = "batch_id"
 
@@ -74,9 +74,40 @@ def _state(spark, path, batch_id, schema):
     return spark.read.schema(schema).parquet(f"{path}/{BATCH}={batch_id - 1}")
 
 
-def _per_batch(stream, work, checkpoint, trigger):
+def _folder(spark, path):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _save(df: DataFrame, path: str, batch_id: int) -> None:
+    """Write a state version and drop the one before the last."""
+    df.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
+    files, old = _folder(df.sparkSession, f"{path}/{BATCH}={batch_id - 2}")
+    files.delete(old, True)
+
+
+def _claim(spark: SparkSession, out: str) -> None:
+    """Bind ``out`` to the running query, or raise where another one has written there."""
+    query = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+    files, at = _folder(spark, f"{out}/query")
+    if not files.exists(at):
+        spark.createDataFrame([(query,)], "id string").write.parquet(f"{out}/query")
+    elif (owner := spark.read.schema("id string").parquet(f"{out}/query").first().id) != query:
+        raise ValueError(f"{out} belongs to query {owner}; use its checkpoint or another folder")
+
+
+def _per_batch(stream, work, out, checkpoint, trigger):
+    """Run ``work`` on each batch, which is read once however often it is used."""
+    def step(batch: DataFrame, batch_id: int) -> None:
+        _claim(batch.sparkSession, out)
+        batch.persist()
+        try:
+            work(batch, batch_id)
+        finally:
+            batch.unpersist()
+
     return (
-        stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
+        stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
         .trigger(**(trigger or FLUSH_TRIGGER)).start()
     )
 
@@ -94,9 +125,9 @@ def fold_switches_stream(stream: DataFrame, out: str, checkpoint: str, trigger=N
         closed.write.mode("overwrite").parquet(f"{out}/rows/{BATCH}={batch_id}")
         last = rows.groupBy(CAPTURE, "thread").agg(F.max(SEQ).alias(SEQ))
         still_open = rows.join(last, [CAPTURE, "thread", SEQ], "left_semi").select(*SWITCHES.fieldNames())
-        still_open.write.mode("overwrite").parquet(f"{out}/open/{BATCH}={batch_id}")
+        _save(still_open, f"{out}/open", batch_id)
 
-    return _per_batch(stream, work, checkpoint, trigger)
+    return _per_batch(stream, work, out, checkpoint, trigger)
 
 
 _COUNTERS = (
@@ -123,16 +154,17 @@ def live_aggregates(stream: DataFrame, out: str, checkpoint: str, trigger=None,
             *[F.sum(c).cast("long").alias(c) for c in ("long_count", "blocked_count")],
             F.bool_or("changed").alias("changed"),
         )
-        both.write.mode("overwrite").parquet(f"{out}/head/{BATCH}={batch_id}")
+        _save(both, f"{out}/head", batch_id)
 
-    return _per_batch(stream, work, checkpoint, trigger)
+    return _per_batch(stream, work, out, checkpoint, trigger)
 
 
 def latest(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version of a state table."""
-    every = spark.read.parquet(path)
-    newest = every.agg(F.max(BATCH)).scalar()
-    return every.filter(F.col(BATCH) == newest).drop(BATCH)
+    """The newest version of a state table, of the two that are kept."""
+    files, at = _folder(spark, path)
+    names = [f.getPath().getName() for f in files.listStatus(at)]
+    newest = max(int(n.split("=")[1]) for n in names if n.startswith(f"{BATCH}="))
+    return spark.read.parquet(f"{path}/{BATCH}={newest}")
 
 
 def mark_late_stream(stream: DataFrame, out: str, checkpoint: str, trigger=None, **slabs):
@@ -152,11 +184,9 @@ def mark_late_stream(stream: DataFrame, out: str, checkpoint: str, trigger=None,
             f"{out}/rows/{BATCH}={batch_id}"
         )
         tops = batch.groupBy(CAPTURE).agg(F.max(end).alias("high")).unionByName(held)
-        tops.groupBy(CAPTURE).agg(F.max("high").alias("high")).write.mode("overwrite").parquet(
-            f"{out}/high/{BATCH}={batch_id}"
-        )
+        _save(tops.groupBy(CAPTURE).agg(F.max("high").alias("high")), f"{out}/high", batch_id)
 
-    return _per_batch(stream, work, checkpoint, trigger)
+    return _per_batch(stream, work, out, checkpoint, trigger)
 
 
 def interval_counts(stream: DataFrame, seconds: int = 5, late: str | None = None) -> DataFrame:

@@ -131,3 +131,19 @@ def test_stall_monitor_fires_without_rows(spark, tmp_path):
 
 def test_switch_schema_matches_the_view(spark):
     assert set(v.switches(spark, SF).columns) == set(SWITCHES.fieldNames())
+
+
+def test_state_versions_expire_and_folders_have_owners(spark, tmp_path):
+    import pytest
+
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = v.executions(spark, SF).drop("thread")
+    for i in range(4):
+        rows.filter(F.col("seq") % 4 == i).coalesce(1).write.mode("append").parquet(src)
+    stream = lambda: live.stream_executions(spark, src, max_files=1)
+    live.live_aggregates(stream(), out, str(tmp_path / "ck"), ONCE).awaitTermination()
+    kept = sorted(p.name for p in (tmp_path / "out" / "head").iterdir() if p.name.startswith(live.BATCH))
+    assert kept == [f"{live.BATCH}=2", f"{live.BATCH}=3"]
+    assert live.latest(spark, f"{out}/head").agg(F.sum("total")).first()[0] == rows.count()
+    with pytest.raises(Exception, match="belongs to query"):
+        live.live_aggregates(stream(), out, str(tmp_path / "other"), ONCE).awaitTermination()
