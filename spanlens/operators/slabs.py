@@ -157,11 +157,11 @@ def time_slab(df: DataFrame, by, ts: str, rows: int = TIME_SLAB_ROWS) -> DataFra
     hot = lambda counts, keys, flag: counts.filter(F.col("_n") > rows).select(
         *keys, F.lit(True).alias(flag)
     )
-    crowded_keys = hot(df.groupBy(*by).agg(count), by, "_hot_k")
-    middle = shift_right(ts, _MIDDLE).alias("_mid")
-    per_middle = df.join(crowded_keys, by).groupBy(*by, middle).agg(count)
-    top = shift_right("_mid", _COARSE - _MIDDLE).alias("_top")
-    per_coarse = per_middle.groupBy(*by, top).agg(F.sum("_n").alias("_n"))
+    # One count by (key, 1 s), from which the coarser ones follow: Spark computes it once for all three.
+    per_middle = df.groupBy(*by, shift_right(ts, _MIDDLE).alias("_mid")).agg(count)
+    total = F.sum("_n").alias("_n")
+    per_coarse = per_middle.groupBy(*by, shift_right("_mid", _COARSE - _MIDDLE).alias("_top")).agg(total)
+    crowded_keys = hot(per_middle.groupBy(*by).agg(total), by, "_hot_k")
     bits = F.when(F.col("_hot_m"), _FINE).when(F.col("_hot_c"), _MIDDLE).otherwise(_COARSE)
     return (
         df.withColumns({"_mid": shift_right(ts, _MIDDLE), "_top": shift_right(ts, _COARSE)})

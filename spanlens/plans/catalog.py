@@ -423,11 +423,14 @@ def analyze_report(spark, d):
         "p95Ns", "p99Ns", "longCount", "blockedCount", "gcCount", "gcTotalNs", "longMs", "blockedMs",
         F.array_join(F.transform("gcByGen", lambda g: F.concat_ws(":", g["gen"], g["count"], g["totalNs"])), ",")
         .alias("gens"),
-        F.array_join(F.transform("slowest", lambda s: F.concat_ws(":", s["start"], s["dur"], s["level"])), ",")
+        F.array_join(F.transform("slowest", lambda s: F.concat_ws(
+            ":", s["start"], s["dur"], s["level"], s["gid"], s["name"], s["func"])), ",")
         .alias("slowest"),
-        F.array_join(F.transform("topGreenlets", lambda t: F.concat_ws(":", t["gid"], t["runNs"])), ",")
+        F.array_join(F.transform("topGreenlets", lambda t: F.concat_ws(
+            ":", t["gid"], t["name"], t["runNs"], t["executions"])), ",")
         .alias("tracks"),
-        F.array_join(F.transform("topFuncs", lambda t: F.concat_ws("=", t["func"], t["totalNs"])), ",")
+        F.array_join(F.transform("topFuncs", lambda t: F.concat_ws(
+            "=", t["func"], t["totalNs"], t["count"], t["maxNs"])), ",")
         .alias("funcs"),
     )
 

@@ -234,11 +234,11 @@ _sql("analyze_report", """SELECT e.capture_id, any_value(m.pid) AS pid, any_valu
   20 AS "longMs", 50 AS "blockedMs",
   (SELECT string_agg(generation || ':' || pauses || ':' || total, ',' ORDER BY generation) FROM tg
     WHERE tg.capture_id = e.capture_id) AS gens,
-  (SELECT string_agg(start || ':' || dur || ':' || level, ',' ORDER BY rank) FROM ts
+  (SELECT string_agg(start || ':' || dur || ':' || level || ':' || gid || ':' || name || ':' || func, ',' ORDER BY rank) FROM ts
     WHERE ts.capture_id = e.capture_id AND rank <= 10) AS slowest,
-  (SELECT string_agg(gid || ':' || run, ',' ORDER BY rank) FROM tt
+  (SELECT string_agg(gid || ':' || name || ':' || run || ':' || executions, ',' ORDER BY rank) FROM tt
     WHERE tt.capture_id = e.capture_id AND rank <= 10) AS tracks,
-  (SELECT string_agg(func || '=' || total, ',' ORDER BY rank) FROM tf
+  (SELECT string_agg(func || '=' || total || '=' || executions || '=' || longest, ',' ORDER BY rank) FROM tf
     WHERE tf.capture_id = e.capture_id AND rank <= 10) AS funcs
   FROM e JOIN tp ON tp.capture_id = e.capture_id JOIN m ON m.capture_id = e.capture_id GROUP BY e.capture_id""",
      TOPS, META, """m AS (SELECT capture_id, arg_max(pid, seq) AS pid,
