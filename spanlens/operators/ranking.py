@@ -3,11 +3,11 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arith import shift_right
 from ..functions.predicates import duration_band, slow_level, tier_filter, track_name_fallback
 from ..schema import (
     BLOCKED_NS, CAPTURE, LONG_NS, OVERFLOW_LABEL, SEQ,
 )
+from ..storage import stored
 from .aggregates import recent_activity, track_rollup
 from .slabs import Running, running, slice_by_arrival, top_n
 
@@ -28,19 +28,19 @@ def slowlog(df: DataFrame, limit: int, tier="all", sort="start", long_ns=LONG_NS
 def global_rank(df: DataFrame, order: dict, ident: str, by=(CAPTURE,), name: str = "row") -> DataFrame:
     """0-based rank along the columns ``order`` (name -> ascending?), ``ident`` breaking ties.
 
-    Rows are ranked inside each value of the first column, the lead, and the leads' sizes are added up, so no
-    task sorts a whole group.  The lead must agree with the order of the rest and split a group finely.
+    The rows are dealt in ranges of the whole order, ``ident`` included, and stored, so rows alike in all but
+    ``ident`` are many ranges, too.  Ranks inside a range and the sizes of the ranges before it add up.
     """
     by = list(by)
-    lead, *_ = order
-    asc = lambda c: F.col(c).asc() if order[c] else F.col(c).desc()
-    inside = Window.partitionBy(*by, lead).orderBy(*[asc(c) for c in order], F.col(ident))
-    leads = Window.partitionBy(*by).orderBy(asc(lead)).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = df.groupBy(*by, lead).agg(F.count(F.lit(1)).alias("_n")).select(
-        *by, lead, F.coalesce(F.sum("_n").over(leads), F.lit(0)).alias("_before")
-    )
-    ranked = df.withColumn("_i", F.row_number().over(inside)).join(sizes, [*by, lead])
-    return ranked.withColumn(name, F.col("_before") + F.col("_i") - 1).drop("_before", "_i")
+    along = [*[F.col(c).asc() if up else F.col(c).desc() for c, up in order.items()], F.col(ident).asc()]
+    ranges = stored(
+        df.repartitionByRange(*by, *along).withColumn("_range", F.spark_partition_id()), "rank-ranges")
+    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranges.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n")).select(
+        *by, "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*by, "_range").orderBy(*along)
+    ranked = ranges.withColumn("_i", F.row_number().over(inside)).join(sizes, [*by, "_range"])
+    return ranked.withColumn(name, F.col("_before") + F.col("_i") - 1).drop("_before", "_i", "_range")
 
 
 def track_rank_keys(name):
@@ -62,7 +62,7 @@ def track_order(df: DataFrame, mode: str = "activity") -> DataFrame:
     """Display row of each track: hubs on top, then by activity (``activity`` or ``recent1/10/60``, in
     seconds) or not (``ident``), then by the rank of the name, then by name.
 
-    Ranks are computed inside coarse activity classes first, so no task sorts every track of a capture.
+    The tracks are ranked range by range (``global_rank``), so no task sorts every track of a capture.
     """
     seconds = {"activity": None, "recent1": 1, "recent10": 10, "recent60": 60, "ident": None}[mode]
     tracks = track_rollup(df).select(
@@ -76,17 +76,7 @@ def track_order(df: DataFrame, mode: str = "activity") -> DataFrame:
         "_act": F.when(F.col("is_hub") | F.lit(mode == "ident"), 0).otherwise(F.col("activity")),
         "_kind": keys["kind"], "_num": keys["number"],
     })
-    # The lead: hub or not, activity falling by 1/16 of an octave, and among rows without activity the name's
-    # number in steps of 4,096.
-    octave = F.floor(F.log2(F.col("_act").cast("double") + 1.0) * 16).cast("long")
-    idle = F.col("_act") == 0
-    out = out.withColumn("_lead", F.struct(
-        "_hub", (-octave).alias("act"), F.when(idle, F.col("_kind")).otherwise(0).alias("kind"),
-        F.when(idle, shift_right("_num", 12)).otherwise(0).alias("num"),
-    ))
-    ranked = global_rank(
-        out, {"_lead": True, "_act": False, "_kind": True, "_num": True, "name": True}, "gid"
-    )
+    ranked = global_rank(out, {"_hub": True, "_act": False, "_kind": True, "_num": True, "name": True}, "gid")
     return ranked.select(CAPTURE, "row", "gid", "name", "is_hub", "activity")
 
 
