@@ -883,6 +883,17 @@ def live_aggregates(spark, d):
     return live.latest(spark, f"{out}/head").drop("changed")
 
 
+@query
+def live_head(spark, d):
+    """The second arrival brings rows of one capture only."""
+    e = v.executions(spark, d).drop("thread")
+    path, out = cap.scratch(spark, "arrivals"), cap.scratch(spark, "out")
+    for part in (e.filter(F.col(CAPTURE) != "cap-b"), e.filter(F.col(CAPTURE) == "cap-b")):
+        part.write.mode("append").parquet(path)
+        live.live_aggregates(live.stream_executions(spark, path), out, f"{out}/offsets", ONCE).awaitTermination()
+    return live.live_head(live.latest(spark, f"{out}/head"), rank.retention_horizon(rank.retention_cap(e, 1500)))
+
+
 @query
 def late_rows(spark, d):
     out = _arriving(spark, v.executions_dense(spark, d).drop("thread"), lambda path, out: live.mark_late_stream(

@@ -492,6 +492,11 @@ _sql("fold_switches_stream", FOLD)
 _sql("live_aggregates", """SELECT capture_id, total, bytes, span, (SELECT count(*) FROM e WHERE NOT is_hub
   AND dur >= 20000000 AND e.capture_id = c.capture_id) AS long_count, (SELECT count(*) FROM e WHERE NOT is_hub
   AND dur >= 50000000 AND e.capture_id = c.capture_id) AS blocked_count FROM c""", COUNTS)
+_sql("live_head", """SELECT capture_id, total, bytes, span, long_count, blocked_count, capture_id <> 'cap-b' AS stalled,
+  retained_from FROM c JOIN (SELECT capture_id, coalesce(min(start) FILTER (n > 1500 AND r <= 1500), 0) AS retained_from,
+  count(*) FILTER (NOT is_hub AND dur >= 20000000) AS long_count,
+  count(*) FILTER (NOT is_hub AND dur >= 50000000) AS blocked_count FROM ranked GROUP BY ALL) USING (capture_id)""",
+     COUNTS, KEPT)
 _sql("stall_monitor", """SELECT capture_id, count(*) AS total, count(*) AS new_rows, true AS stalled, 1 AS stalls
   FROM e GROUP BY ALL""")
 _rows("late_rows", "start, dur, coalesce(start < high, false) AS late", "seen", "WHERE c = 'dense'", SORTED)

@@ -167,6 +167,15 @@ def latest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{BATCH}={newest}")
 
 
+def live_head(counters: DataFrame, horizon: DataFrame | None = None) -> DataFrame:
+    """What a live reader shows of each capture: its counters, ``stalled`` where the last batch brought nothing, and
+    ``retained_from``, the earliest start still stored (0 where nothing was evicted)."""
+    out = counters.withColumn("stalled", ~F.col("changed")).drop("changed")
+    if horizon is None:
+        return out.withColumn("retained_from", F.lit(0).cast("long"))
+    return out.join(horizon.select(CAPTURE, "retained_from"), CAPTURE, "left").fillna(0, ["retained_from"])
+
+
 def mark_late_stream(stream: DataFrame, out: str, checkpoint: str, trigger=None, **slabs):
     """Keep every row and flag ``late`` those that start before the latest end among earlier arrivals.
 

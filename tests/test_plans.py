@@ -11,7 +11,7 @@ from spanlens.sources import captures as cap
 
 SF = "/root/testdata/sf0.001"
 STREAMS = {"stream_switches", "parquet_append_sink", "micro_batch_flush", "stream_tail", "stream_retention",
-           "fold_switches_stream", "live_aggregates", "late_rows", "read_capture", "read_capture_tables",
+           "fold_switches_stream", "live_aggregates", "live_head", "late_rows", "read_capture", "read_capture_tables",
            "stall_monitor"}
 
 
