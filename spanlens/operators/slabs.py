@@ -85,7 +85,11 @@ def running(df: DataFrame, by, order, specs, slab: Column | None = None) -> Data
     return out.select(*df.columns, *[combine(s).alias(s.name) for s in specs])
 
 
-def prune(rows: DataFrame, wanted: DataFrame, keys, bits: int = 1 << 18) -> DataFrame:
+#: Bits of the array that ``prune`` marks wanted keys in; with more keys than half of them it drops little.
+PRUNE_BITS = 1 << 18
+
+
+def prune(rows: DataFrame, wanted: DataFrame, keys, bits: int = PRUNE_BITS) -> DataFrame:
     """Drop rows whose ``keys`` are surely not in ``wanted``, before a join with it shuffles them.
 
     The wanted keys set bits by their hash in a fixed 32 KB array, which reaches the scan as a scalar
