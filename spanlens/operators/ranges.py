@@ -66,8 +66,8 @@ def tail_or_window(df: DataFrame, frontier: DataFrame, t0, t1) -> DataFrame:
         frontier.select(CAPTURE, F.col("after_seq").alias("_seq"), F.col("max_start").alias("_start")), CAPTURE, "left")
     new = F.col(SEQ) > F.coalesce("_seq", F.lit(-1))
     broken = rows.groupBy(CAPTURE).agg(
-        (F.bool_or(F.col("_seq").isNull()) | F.coalesce(F.bool_or(new & (F.col("start") <= F.col("_start"))), F.lit(False)))
-        .alias("whole"))
+        (F.bool_or(F.col("_seq").isNull())
+         | F.coalesce(F.bool_or(new & (F.col("start") <= F.col("_start"))), F.lit(False))).alias("whole"))
     return rows.join(broken, CAPTURE).filter(F.col("whole") | new).select(*RENDER_COLUMNS, "whole")
 
 
