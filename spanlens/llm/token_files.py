@@ -5,9 +5,10 @@ dictionary-encoded (a vocabulary is small) and fall back to delta encoding, the
 groups and pages have fixed sizes, and page indexes are written, so a reader of some columns or of a range of documents
 reads little else.
 
-Encoding: texts are cut at ASCII white space, and each distinct word of a batch is given to the tokenizers library once.
-A tokenizer that treats the words of a text apart gives the same ids for the whole text; ``by_word`` holds a tokenizer's
-rules against this, and others get whole texts.
+Encoding: texts are cut where the tokenizer itself never joins anything, and each distinct piece of a batch is given to
+the tokenizers library once.  ``Cutter`` holds a tokenizer's rules against what the cuts need: with the pattern below,
+texts of Latin-1 characters are cut into its own units; other texts are cut at ASCII white space; and a tokenizer whose
+rules are others gets whole texts.
 
 Defined cases: null and empty texts have the end id only; null ids come first; rows with equal ids keep the order in
 which they were read; an empty table writes no rows.
@@ -17,6 +18,7 @@ import json
 import os
 import re
 import zlib
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +32,17 @@ MODEL, END_ID = "word_bpe_49k.json", 1
 #: Bytes of a row group and rows of a page: what a selective read takes at least.
 ROW_GROUP_BYTES, PAGE_ROWS, PAGE_BYTES = 32 << 20, 1000, 256 << 10
 #: Words that a Python worker keeps the ids of, and how long they may be.
-CACHE, CACHE_CHARS = 300_000, 64
+CACHE, CACHE_CHARS = 500_000, 64
 _WORD = re.compile("[^ \t-\r]+")
-_open, _known = {}, {}
+# Fixed value: the pattern of the public tokenizer, whose matches are encoded apart.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# The same over lower-case Latin-1: its letters, its numbers, and characters that need more than that.
+_LETTERS, _NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_UNIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^ \t-\r{_LETTERS}{_NUMBERS}]+")
+_PLAIN = re.compile(f"[{_LETTERS}]+")
+_OTHER = re.compile("[^\x00-\x1b -\x84\x86-\x9f\xa1-\xff]")
+_BLOCK = 5000
+_open = {}
 
 
 def model_path(name: str = MODEL) -> str:
@@ -42,60 +52,86 @@ def model_path(name: str = MODEL) -> str:
     return public_tokenizers.path(name)
 
 
-def by_word(path: str) -> bool:
-    """Whether the words of a text are encoded apart: white space is dropped before the merges, and nothing is put
-    before or after a text's words."""
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    cut = spec.get("pre_tokenizer") or {}
-    steps = cut.get("pretokenizers", [cut])
-    first = steps[0] if steps else {}
-    drops = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True
-    pattern = (first.get("pattern") or {}).get("Regex", "")
-    outside = re.sub(r"\[\^[^]]*\]", "", pattern)
-    plain = "^\\s" in pattern and not re.search(r"\\s| |\.|\\S|\\W", outside)
-    norms = spec.get("normalizer") or {"type": "Sequence", "normalizers": []}
-    names = {n["type"] for n in norms.get("normalizers", [norms])}
-    tokens = [t["content"] for t in spec.get("added_tokens", [])]
-    return (
-        drops and plain and names <= {"NFC", "Lowercase", "Replace"}
-        and not any(s.get("add_prefix_space") for s in steps)
-        and not any(re.search(r"\s", t) for t in tokens)
-        and not any(t.get("lstrip") or t.get("rstrip") for t in spec.get("added_tokens", []))
-        and spec.get("truncation") is None and spec.get("padding") is None
-    )
-
+class Cutter:
+    """One tokenizer, and how texts may be cut for it; opened once in each Python worker."""
 
-def _tokenizer(path: str):
-    """The library's tokenizer and whether it goes word by word, once in each Python worker."""
-    if path not in _open:
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _open[path] = Tokenizer.from_file(path), by_word(path)
-    return _open[path]
-
-
-def encode(texts: list[str], path: str) -> list[np.ndarray]:
-    """The ids of each text, as the library gives them for the whole text without added special tokens."""
-    tokenizer, apart = _tokenizer(path)
-    ids = lambda batch: [
-        np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(batch, add_special_tokens=False)
-    ]
-    if not apart:
-        return [np.frombuffer(x, "<u4") for x in ids(texts)]
-    known = _known.setdefault(path, {})
-    split = [_WORD.findall(t) for t in texts]
-    new = list({w for s in split for w in s}.difference(known))
-    fresh = {}
-    for at in range(0, len(new), 20_000):
-        fresh.update(zip(new[at:at + 20_000], ids(new[at:at + 20_000])))
-    get = (lambda w: fresh[w] if w in fresh else known[w]) if fresh else known.__getitem__
-    out = [np.frombuffer(b"".join(map(get, s)), "<u4") for s in split]
-    room = CACHE - len(known)
-    if room > 0:
-        known.update((w, fresh[w]) for w in new[:room] if len(w) <= CACHE_CHARS)
-    return out
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.known: dict[str, bytes] = {}
+        self.added = [t["content"] for t in spec.get("added_tokens", [])]
+        self.apart = self._apart(spec)
+        ends = {i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")}
+        self.ends = np.array([i in ends for i in range(self.tokenizer.get_vocab_size())])
+
+    @staticmethod
+    def _apart(spec: dict) -> bool:
+        """White space is dropped before the merges, and nothing is put before or after a text's words."""
+        norms = spec.get("normalizer") or {"type": "Sequence", "normalizers": []}
+        cut = spec.get("pre_tokenizer") or {}
+        steps = cut.get("pretokenizers", [cut])
+        first = steps[0] if steps else {}
+        return (
+            first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True
+            and first.get("pattern") == {"Regex": PATTERN}
+            and [n["type"] for n in norms.get("normalizers", [norms])] == ["NFC", "Replace", "Lowercase"]
+            and not any(s.get("add_prefix_space") for s in steps)
+            and spec["model"].get("end_of_word_suffix") == "</w>"
+            and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"])
+            and spec.get("truncation") is None and spec.get("padding") is None
+        )
+
+    @staticmethod
+    def at(path: str) -> "Cutter":
+        if path not in _open:
+            _open[path] = Cutter(path)
+        return _open[path]
+
+    def cut(self, text: str) -> list[str]:
+        if not self.apart:
+            return [text]
+        if _OTHER.search(text) or any(t in text for t in self.added):
+            return _WORD.findall(text)
+        return _UNIT.findall(text.lower())
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, "<u4") for e in found]
+
+    def _fresh(self, pieces: list[str]) -> dict[str, bytes]:
+        """The ids of pieces as bytes.  Runs of letters are one unit each, whose last id alone ends a word, so many of
+        them go through the library as one text."""
+        out: dict[str, bytes] = {}
+        plain = [p for p in pieces if self.apart and _PLAIN.fullmatch(p)]
+        for at in range(0, len(plain), _BLOCK):
+            block = plain[at:at + _BLOCK]
+            ids = self._library([" ".join(block)])[0]
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(block):
+                data, cuts = ids.tobytes(), (4 * ends).tolist()
+                out.update(zip(block, (data[a:b] for a, b in zip([0, *cuts], cuts))))
+        rest = [p for p in pieces if p not in out]
+        for at in range(0, len(rest), _BLOCK):
+            block = rest[at:at + _BLOCK]
+            out.update(zip(block, (x.tobytes() for x in self._library(block))))
+        return out
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, as the library gives them for the whole text without added special tokens."""
+        split = [self.cut(t) for t in texts]
+        known = self.known
+        new = list(set().union(*split).difference(known))
+        room = max(CACHE - len(known), 0)
+        known.update(self._fresh(new))
+        out = [np.frombuffer(b"".join(map(known.__getitem__, s)), "<u4") for s in split]
+        new.sort(key=len)
+        for p in new[min(room, bisect_right(new, CACHE_CHARS, key=len)):]:
+            del known[p]
+        return out
 
 
 def write_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None,
@@ -115,7 +151,7 @@ def write_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids = [np.concatenate([x, np.array(last, "<u4")]) for x in encode(batch.column(1).to_pylist(), model)]
+            ids = [np.concatenate([x, np.array(last, "<u4")]) for x in Cutter.at(model).encode(batch.column(1).to_pylist())]
             sizes = np.array([len(x) for x in ids], np.int64)
             ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32)))
