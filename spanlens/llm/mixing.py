@@ -1,9 +1,10 @@
 """Mixing documents to target weights of domains, with soft membership.
 
 1. A labelled table names the domain of some documents.  At most ``SAMPLE`` of them (those with the smallest hashes of
-   their ids) train a naive Bayes classifier over ``BUCKETS`` hashed words: which of them a document has.  Words whose
-   spread over the domains may be chance (a likelihood ratio below ``RATIO``) say nothing.  The weights are the only
-   thing broadcast, at most BUCKETS rows at any size of the corpus.
+   their ids) train a naive Bayes classifier over ``BUCKETS`` hashed words.  A domain has a rate of each word among the
+   distinct words of its documents, so a long document, which has more of every word, does not look like the domain
+   of rare words.  Words whose spread over the domains may be chance (a likelihood ratio below ``RATIO``) say nothing.
+   The weights are the only thing broadcast, at most BUCKETS rows at any size of the corpus.
 2. Every document gets a posterior for each domain, from all of its words.
 3. Rates r >= 0, one for each document, minimise
        1/2 sum_k w_k (sum_d n_d r_d p_dk - T_k)^2 / N^2 + 1/2 ridge sum_d (n_d / N) (r_d - 1)^2
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from ..storage import stored
 from .common import SPACE, whole
 
-SAMPLE, BUCKETS, RATIO, SMOOTHING = 4096, 1 << 16, 12.0, 2.0
+SAMPLE, BUCKETS, RATIO, SMOOTHING = 4096, 1 << 16, 30.0, 1000.0
 RIDGE, STEPS, TOLERANCE = 1e-3, 30, 2e-5
 
 
@@ -36,18 +37,21 @@ def _add(columns) -> Column:
 
 
 def _word_rows(df: DataFrame, *keep: str) -> DataFrame:
-    """One row for each distinct word's bucket, and one with bucket -1 for each document; ``n`` words in all."""
+    """One row for each distinct word's bucket, and one with bucket -1 for each document; ``n`` words in all, ``d``
+    distinct ones."""
     words = F.filter(F.split(F.lower("text"), f"{SPACE}+"), lambda w: w != "")
     bucket = F.when(F.col("word") == "", -1).otherwise(F.pmod(F.xxhash64("word"), F.lit(BUCKETS))).cast("int")
     listed = df.select(*keep, words.alias("words")).select(
-        *keep, F.size("words").cast("long").alias("n"),
-        F.concat(F.array_distinct("words"), F.array(F.lit(""))).alias("words"),
+        *keep, F.size("words").cast("long").alias("n"), F.array_distinct("words").alias("words")
     )
-    return listed.select(*keep, "n", F.explode("words").alias("word")).select(*keep, "n", bucket.alias("bucket"))
+    held = listed.select(*keep, "n", F.size("words").cast("long").alias("d"),
+                         F.explode(F.concat("words", F.array(F.lit("")))).alias("word"))
+    return held.select(*keep, "n", "d", bucket.alias("bucket"))
 
 
 def train(texts: DataFrame, labels: DataFrame, domains: list[str], sample: int = SAMPLE) -> tuple[DataFrame, list]:
-    """(bucket, w_0, w_1, ...): what a word adds to each domain's log-likelihood, and the domains' log priors.
+    """(bucket, w_0, w_1, ...): what a word adds to each domain's log-likelihood; and for each domain its log prior and
+    what each distinct word of a document takes from its log-likelihood.
 
     ``texts`` has id and text, ``labels`` id and domain.
     """
@@ -56,32 +60,32 @@ def train(texts: DataFrame, labels: DataFrame, domains: list[str], sample: int =
     )
     counts = stored(
         _word_rows(texts.join(F.broadcast(chosen), "id"), "domain").groupBy("domain", "bucket")
-        .agg(F.count(F.lit(1)).alias("n")), "domain-words",
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("d").alias("d")), "domain-words",
     )
-    docs = {r["domain"]: r["n"] for r in counts.filter("bucket = -1").select("domain", "n").collect()}
-    every = sum(docs.values())
-    priors = [math.log((docs.get(d, 0) + 1) / (every + len(domains))) for d in domains]
+    known = {r["domain"]: r for r in counts.filter("bucket = -1").collect()}
+    docs, size = ({d: known[d][c] if d in known else 0 for d in domains} for c in ("n", "d"))
+    priors = [math.log((docs[d] + 1) / (sum(docs.values()) + len(domains))) for d in domains]
+    every = float(max(sum(size.values()), 1))
     at = [F.sum(F.when(F.col("domain") == d, F.col("n")).otherwise(0)) for d in domains]
     per = counts.filter("bucket >= 0").groupBy("bucket").agg(*[a.alias(f"n_{k}") for k, a in enumerate(at)])
-    share = _add([F.col(f"n_{k}") for k in range(len(domains))]) / F.lit(float(max(every, 1)))
-    seen = per.withColumn("share", share)
-    # Twice the log-likelihood ratio between the domains' own shares and the common one.
+    seen = per.withColumn("rate", _add([F.col(f"n_{k}") for k in range(len(domains))]) / every)
+    # Twice the log-likelihood ratio between the domains' own rates and the common one.
     ratio = _add([
-        F.when(F.col(f"n_{k}") > 0, 2 * F.col(f"n_{k}") * F.log(F.col(f"n_{k}") / (F.col("share") * docs[d])))
-        .otherwise(0.0) for k, d in enumerate(domains) if docs.get(d)
+        F.when(F.col(f"n_{k}") > 0, 2 * F.col(f"n_{k}") * F.log(F.col(f"n_{k}") / (F.col("rate") * size[d])))
+        .otherwise(0.0) for k, d in enumerate(domains) if size[d]
     ] or [F.lit(0.0)])
-    weight = [
-        F.log((F.col(f"n_{k}") / F.col("share") + SMOOTHING) / (docs.get(d, 0) + SMOOTHING))
-        for k, d in enumerate(domains)
-    ]
-    floor = math.log(1 / (max(every, 1) + 1))
-    table = seen.filter(ratio >= RATIO).select(
-        "bucket", *[F.greatest(w, F.lit(floor)).alias(f"w_{k}") for k, w in enumerate(weight)]
+    own = [(F.col(f"n_{k}") + SMOOTHING * F.col("rate")) / (size[d] + SMOOTHING) for k, d in enumerate(domains)]
+    table = stored(
+        seen.filter(ratio >= RATIO).select(
+            "bucket", *[F.log(r / F.col("rate")).alias(f"w_{k}") for k, r in enumerate(own)],
+            *[(r - F.col("rate")).alias(f"c_{k}") for k, r in enumerate(own)],
+        ), "domain-weights",
     )
-    return stored(table, "domain-weights"), priors
+    toll = table.agg(*[F.coalesce(F.sum(f"c_{k}"), F.lit(0.0)) for k in range(len(domains))]).first()
+    return table.select("bucket", *[f"w_{k}" for k in range(len(domains))]), list(zip(priors, toll))
 
 
-def posteriors(texts: DataFrame, weights: DataFrame, priors: list[float]) -> DataFrame:
+def posteriors(texts: DataFrame, weights: DataFrame, priors: list[tuple[float, float]]) -> DataFrame:
     """(id, n_tokens, p_0, p_1, ...) of each row of ``texts``.
 
     The words of a document are in one task, which sums them before anything is shuffled.
@@ -89,10 +93,12 @@ def posteriors(texts: DataFrame, weights: DataFrame, priors: list[float]) -> Dat
     domains = range(len(priors))
     rows = _word_rows(texts.withColumn("row", F.monotonically_increasing_id()), "row", "id")
     sums = rows.join(F.broadcast(weights), "bucket", "left").groupBy("row").agg(
-        F.max("id").alias("id"), F.max("n").alias("n_tokens"),
+        F.max("id").alias("id"), F.max("n").alias("n_tokens"), F.max("d").alias("d"),
         *[F.coalesce(F.sum(f"w_{k}"), F.lit(0.0)).alias(f"s_{k}") for k in domains],
     )
-    scored = sums.select("id", "n_tokens", *[(F.col(f"s_{k}") + priors[k]).alias(f"s_{k}") for k in domains])
+    scored = sums.select("id", "n_tokens", *[
+        (F.col(f"s_{k}") + prior - F.col("d") * toll).alias(f"s_{k}") for k, (prior, toll) in enumerate(priors)
+    ])
     top = F.greatest(*[F.col(f"s_{k}") for k in domains]) if len(priors) > 1 else F.col("s_0")
     raised = scored.select("id", "n_tokens", *[F.exp(F.col(f"s_{k}") - top).alias(f"e_{k}") for k in domains])
     total = _add([F.col(f"e_{k}") for k in domains])
