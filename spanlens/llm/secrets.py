@@ -54,29 +54,34 @@ ALLOW = (
 _BLOCK = 256
 
 
+def _long_sizes(parts: Column) -> Column:
+    return F.transform(parts, lambda x: F.length(x).cast("long"))
+
+
+def _with(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: inside higher-order functions each mention counts."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _sums_before(sizes: Column) -> Column:
     """For each element the sum of those before it.  Growing one array costs the square of its length, so blocks of
     ``_BLOCK`` are summed apart and then shifted."""
-    zero = F.lit(0).cast("long")
-    start = lambda first: F.struct(first.alias("next"), F.array().cast("array<bigint>").alias("out"))
+    start = F.struct(F.lit(0).cast("long").alias("next"), F.array().cast("array<bigint>").alias("out"))
     step = lambda s, x: F.struct(
         (s["next"] + x).alias("next"), F.concat(s["out"], F.array(s["next"])).alias("out")
     )
-    last = F.floor((F.size(sizes) - 1) / _BLOCK).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
-                         lambda b: F.slice(sizes, b * _BLOCK + 1, F.lit(_BLOCK)))
-    inner = F.transform(blocks, lambda b: F.aggregate(b, start(zero), step))
-    shifts = F.aggregate(F.transform(inner, lambda b: b["next"]), start(zero), step)["out"]
-    return F.flatten(F.zip_with(inner, shifts, lambda b, shift: F.transform(b["out"], lambda x: x + shift)))
-
 
-def _long_sizes(parts: Column) -> Column:
-    return F.transform(parts, lambda x: F.length(x).cast("long"))
+    def blocks(whole):
+        last = F.floor((F.size(whole) - 1) / _BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
+                           lambda b: F.slice(whole, b * _BLOCK + 1, F.lit(_BLOCK)))
 
+    def shifted(inner):
+        shifts = F.aggregate(F.transform(inner, lambda b: b["next"]), start, step)["out"]
+        return F.flatten(F.zip_with(inner, shifts, lambda b, shift: F.transform(b["out"], lambda x: x + shift)))
 
-def _with(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once: inside higher-order functions each mention counts."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+    inner = _with(sizes, lambda whole: F.transform(blocks(whole), lambda b: F.aggregate(b, start, step)))
+    return _with(inner, shifted)
 
 
 def _starts(text: Column, pattern: str, found: Column) -> Column:
