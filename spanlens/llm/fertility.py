@@ -3,7 +3,8 @@
 For each text: characters per token (of the pre-tokens without digits: numbers and keys are cut character by character
 in any text), the share of tokens that are byte fallbacks, and the Shannon entropy of its token ids in bits.  Each has
 a band for the document's language, or for its script where the language has none; a text outside a band is rejected.
-Entropy is held against the most that a text of so many tokens can have.  Two plain rules come first: too few words, and too many words in repeated passages.
+Entropy is held against the most that a text of so many tokens can have.  Two plain rules come first: too few words, and
+too many words in repeated passages.
 
 Defined cases: null and empty texts have no words, no tokens and fail the first rule; documents with a null or repeated
 id get a row each; an unknown or null language falls back to the script; an empty table gives an empty result.
