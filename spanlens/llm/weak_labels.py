@@ -40,18 +40,15 @@ def _vote(low: bool, good: bool) -> int:
     return LOW if low else GOOD if good else NONE
 
 
-def _facts(text: str) -> dict:
-    words = _WORD.findall(text)
-    letters = [c for c in text if c.isalpha()] if len(text) < 4000 else re.findall(r"[^\W\d_]", text)
+def _facts(text: str, words: list[str]) -> dict:
     lines = [line for line in text.split("\n") if line.strip()]
-    n = max(len(words), 1)
+    n, counts = max(len(words), 1), Counter(words)
     return {
         "words": len(words), "marks": len(_MARKS.findall(text)) / max(len(text), 1),
-        "upper": sum(map(str.isupper, letters)) / max(len(letters), 1),
-        "unique": len(set(words)) / n, "long": len(text),
-        "top": max(Counter(words).values(), default=0) / n,
+        "upper": sum(map(str.isupper, words)) / n, "unique": len(counts) / n,
+        "top": max(counts.values(), default=0) / n,
         "same_lines": 1 - len(set(lines)) / len(lines) if lines else 0.0,
-        "mean": sum(map(len, words)) / n, "bars": sum(w in ("|", "*", "-", "·") for w in words) / n,
+        "mean": sum(map(len, words)) / n, "bars": sum(counts[w] for w in ("|", "*", "-", "·")) / n,
         "sentences": len(_SENTENCE.findall(text)) / n, "tails": sum(w[-2:] in _TAILS for w in words) / n,
         "pairs": len(set(zip(words, words[1:]))) / max(len(words) - 1, 1),
     }
@@ -61,7 +58,7 @@ def _facts(text: str) -> dict:
 LABELLERS = {
     "length": lambda f: _vote(f["words"] < 5, f["words"] >= 40),
     "marks": lambda f: _vote(f["marks"] > 0.03, f["marks"] < 0.003),
-    "capitals": lambda f: _vote(f["upper"] > 0.4, 0.005 < f["upper"] < 0.15),
+    "capitals": lambda f: _vote(f["upper"] > 0.4, f["upper"] < 0.15),
     "variety": lambda f: _vote(f["words"] >= 40 and f["unique"] < 0.25, f["unique"] > 0.35 and f["top"] < 0.15),
     "lines": lambda f: _vote(f["same_lines"] > 0.3, f["same_lines"] < 0.05),
     "word_size": lambda f: _vote(not 2.5 <= f["mean"] <= 12, 3.5 <= f["mean"] <= 9),
@@ -72,9 +69,9 @@ LABELLERS = {
 }
 
 
-def votes(text: str, labellers=None) -> str:
+def votes(text: str, words: list[str] | None = None, labellers=None) -> str:
     """A text's pattern: one of + . - for each labeller."""
-    facts = _facts(text)
+    facts = _facts(text, _WORD.findall(text) if words is None else words)
     return "".join("-.+"[v(facts) + 1] for v in (labellers or LABELLERS).values())
 
 
@@ -113,9 +110,9 @@ def _shape(word: str) -> str:
     return "".join(k for k, _ in itertools.groupby(short))
 
 
-def features(texts: list[str], buckets: int = BUCKETS) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(buckets, values) of each text: square roots of counts of its hashed words and shapes, of length 1."""
-    split = [_WORD.findall(t) for t in texts]
+def features(split: list[list[str]], buckets: int = BUCKETS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, values) of each text, given its words: square roots of counts of its hashed words and of their shapes,
+    each of length 1."""
     codes, names = pd.factorize(np.array([w for s in split for w in s], object))
     place = lambda x: xxhash.xxh64_intdigest(x) % buckets
     own = np.array([place("w" + w.lower()) for w in names], np.int64)
@@ -172,16 +169,17 @@ def fit(texts: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, dict[str, f
     def step(batches):
         for batch in batches:
             held = batch.column(1).to_pylist()
-            found = features(held)
+            split = [_WORD.findall(t) for t in held]
+            found = features(split)
             yield pa.record_batch(
-                [pa.array([a for a, _ in found], pa.list_(pa.int32())),
-                 pa.array([v.astype(np.float32) for _, v in found], pa.list_(pa.float32())),
-                 pa.array([votes(t) for t in held], pa.string())], ["at", "value", "votes"])
+                [pa.array([a.astype("<i4").tobytes() for a, _ in found], pa.binary()),
+                 pa.array([v.astype("<f4").tobytes() for _, v in found], pa.binary()),
+                 pa.array([votes(t, s) for t, s in zip(held, split)], pa.string())], ["at", "value", "votes"])
 
     rows = map_arrow(texts.join(F.broadcast(chosen), "id").select("id", "text"), step,
-                     "at array<int>, value array<float>, votes string").limit(sample).collect()
+                     "at binary, value binary, votes string").limit(sample).collect()
     rows = sorted(rows, key=lambda r: (r["votes"], r["at"], r["value"]))
-    weights = train([(np.array(r["at"], np.int64), np.array(r["value"])) for r in rows],
+    weights = train([(np.frombuffer(r["at"], "<i4"), np.frombuffer(r["value"], "<f4")) for r in rows],
                     np.array([posterior[r["votes"]] for r in rows]))
     return weights, posterior, voted
 
@@ -197,8 +195,9 @@ def quality_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def step(batches):
         for batch in batches:
             held = batch.column(1).to_pylist()
-            found = [votes(t) for t in held]
-            z = np.array([v @ weights[at] for at, v in features(held)]) + weights[-1]
+            split = [_WORD.findall(t) for t in held]
+            found = [votes(t, s) for t, s in zip(held, split)]
+            z = np.array([v @ weights[at] for at, v in features(split)]) + weights[-1]
             score = 1 / (1 + np.exp(-z))
             label = [posterior.get(v, 0.5) for v in found]
             yield pa.record_batch([batch.column(0), pa.array(found, pa.string()), pa.array(label, pa.float64()),
