@@ -16,6 +16,7 @@ others; an empty table gives an empty result; rows that repeat an id and a text
 """
 
 from itertools import combinations
+from math import gcd
 
 import numpy as np
 import pyarrow as pa
@@ -64,9 +65,14 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
-    """The covering masks, as signed longs."""
+    """The covering masks, as signed longs.
+
+    The bits take their vectors in steps prime to the number of vectors: each is used as often as any other, and where
+    there are more vectors than bits, those used lie far apart.
+    """
     span = (1 << (radius + 1)) - 1
-    vectors = [1 + i % span for i in range(bits)]
+    step = next(s for s in range(round(span * 0.618), 2 * span) if gcd(s, span) == 1)
+    vectors = [1 + i * step % span for i in range(bits)]
     found = [sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() % 2) for v in range(1, span + 1)]
     return [m - (1 << bits) if m >> (bits - 1) else m for m in found]
 
