@@ -12,6 +12,10 @@
    w_k the inverse of a domain's share, which keeps the steepest direction at 1.  A step needs the domains' totals, one
    number each; everything else stays in the table.
 
+Where rates have an upper limit, a domain can have that many times its words at most.  One whose share of the budget is more
+has that most as its target; the others keep theirs, so their proportions stay.  ``mix_reported`` tells what was asked for,
+what was aimed at and what the mix holds.
+
 A rate becomes copies: its whole part, and one more with the probability of the rest, decided by a hash of the id.
 
 Defined cases: null and empty texts have no words, the prior as posterior and, adding nothing to any total, a rate of 1;
@@ -110,7 +114,7 @@ def fit_rates(members: DataFrame, weights: list[float], budget: float | None = N
     """The rate of each row of ``members`` (n_tokens, p_0, ...) as a column of it, and the totals that it leads to.
 
     ``budget``: words of the mix; by default so many that the domain with the largest weight is used once.  ``most``:
-    the largest rate, or None.
+    the largest rate, or None.  A target is a domain's share of the budget, or what ``most`` lets it have if that is less.
     """
     domains = range(len(weights))
     share = [w / sum(weights) for w in weights]
@@ -122,10 +126,12 @@ def fit_rates(members: DataFrame, weights: list[float], budget: float | None = N
     now = totals(F.lit(1.0))
     words = sum(now)
     if not words:
-        return F.lit(1.0), {"totals": now, "targets": [0.0] * len(share), "budget": 0.0, "steps": 0}
-    main = max(domains, key=lambda k: share[k])
+        return F.lit(1.0), {"totals": now, "wanted": [0.0] * len(share), "targets": [0.0] * len(share), "input": now,
+                            "budget": 0.0, "steps": 0}
+    given, main = now, max(domains, key=lambda k: share[k])
     budget = budget or now[main] / share[main]
-    targets = [budget * s for s in share]
+    wanted = [budget * s for s in share]
+    targets = wanted if most is None else [min(w, most * t) for w, t in zip(wanted, now)]
     metric = [words / max(t, 1e-9 * words) for t in now]
     eta, rate, taken = 1.0 / (1.0 + ridge), F.lit(1.0), 0
     misses = lambda sums: [(s - t) / words for s, t in zip(sums, targets)]
@@ -139,7 +145,7 @@ def fit_rates(members: DataFrame, weights: list[float], budget: float | None = N
         if max(abs(a - b) for a, b in zip(last, miss)) < TOLERANCE:
             break
     rate = F.when(F.col("n_tokens") > 0, rate).otherwise(1.0)
-    return rate, {"totals": now, "targets": targets, "budget": budget, "steps": taken}
+    return rate, {"totals": now, "wanted": wanted, "targets": targets, "input": given, "budget": budget, "steps": taken}
 
 
 def mix_rates(df: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id",
@@ -149,26 +155,54 @@ def mix_rates(df: DataFrame, labels: DataFrame, targets: dict[str, float], id_co
 
     ``labels`` has ``id_col`` and ``domain``; ``targets`` gives each domain's weight.
     """
+    return _fitted(df, labels, targets, id_col, text_col, sample, budget, most)[0]
+
+
+def _fitted(df, labels, targets, id_col="doc_id", text_col="text", sample=SAMPLE, budget=None, most=1.0):
+    """What ``mix_rates`` returns, and what ``fit_rates`` tells."""
     domains = list(targets)
     texts = df.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
     known = labels.select(F.col(id_col).alias("id"), "domain")
     weights, priors = train(texts, known, domains, sample)
     members = stored(posteriors(texts, weights, priors), "domain-posteriors")
-    rate, _ = fit_rates(members, list(targets.values()), budget, most)
+    rate, told = fit_rates(members, list(targets.values()), budget, most)
     draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
-    return members.withColumn("rate", rate).select(
+    rates = members.withColumn("rate", rate).select(
         F.col("id").alias(id_col), "n_tokens", *[F.col(f"p_{k}").alias(f"p_{d}") for k, d in enumerate(domains)],
         "rate", (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long")).alias("copies"),
     )
+    return rates, told
 
 
 def mix(df: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text",
         **settings) -> DataFrame:
     """The rows of ``df`` as often as their rates say, with all their columns.  Rows without an id stay as they are."""
-    chosen = stored(mix_rates(df, labels, targets, id_col, text_col, **settings).select(id_col, "copies"), "copies")
+    return mix_reported(df, labels, targets, id_col, text_col, **settings)[0]
+
+
+#: Words of a domain: of the input, asked for, aimed at, by the rates, and of the copies drawn.
+REPORT = "domain string, weight double, input double, wanted double, target double, fitted double, reached double"
+
+
+def mix_reported(df: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id",
+                 text_col: str = "text", **settings) -> tuple[DataFrame, list[tuple]]:
+    """What ``mix`` returns, and a row of ``REPORT`` for each domain."""
+    rates, told = _fitted(df, labels, targets, id_col, text_col, **settings)
+    chosen = stored(rates, "copies")
+    # A row without an id stays once, whatever its draw.
+    times = F.when(F.col(id_col).isNull(), 1).otherwise(F.col("copies"))
+    sums = chosen.agg(*[F.sum(F.col("n_tokens") * times * F.col(f"p_{d}")) for d in targets]).first()
+    report = [
+        (d, float(w), *[float(told[x][k]) for x in ("input", "wanted", "targets", "totals")], float(sums[k] or 0.0))
+        for k, (d, w) in enumerate(targets.items())
+    ]
+    return _copied(df, chosen, id_col, settings.get("most", 1.0)), report
+
+
+def _copied(df: DataFrame, chosen: DataFrame, id_col: str, most: float | None) -> DataFrame:
     gone = chosen.filter(F.col("copies") == 0).select(id_col).distinct()
     left = df.join(gone, id_col, "left_anti").select(*df.columns)
-    if settings.get("most", 1.0) is not None and settings.get("most", 1.0) <= 1:
+    if most is not None and most <= 1:
         return left
     more = chosen.filter(F.col("copies") > 1).groupBy(id_col).agg(F.max("copies").alias("copies"))
     again = df.join(more, id_col).select(*[df[c] for c in df.columns],
