@@ -3,7 +3,10 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fertility, mixing, packing, secrets, simhash, token_counts, token_files, warc, weak_labels
+from . import (
+    exact_dedup, fertility, mixing, packing, ranked_search, secrets, simhash, spelling, token_counts, token_files, warc,
+    weak_labels,
+)
 
 #: Shares of all words that the mix aims at.
 TARGETS = {"good": 0.94, "low": 0.04, "toxic": 0.02}
@@ -62,9 +65,19 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(_documents(spark, sf_dir))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ranked_search.build_index(_documents(spark, sf_dir))
+    return ranked_search.search(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(_documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_token_counts, op3_best_fit_packing, op4_secret_scans, op5_token_files, op6_mixing_weights,
     op7_simhash_near_dedup, op8_warc, op9_quality_classifier, op10_exact_dedup,
+    op11_ranked_search, op13_spelling_variants,
 )}
 
 SQL = {
@@ -91,4 +104,31 @@ SQL = {
                row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id NULLS LAST) = 1 AS kept, text_sha256
         FROM t WINDOW g AS (PARTITION BY text_sha256)
     """,
+    "op11_ranked_search": rf"""
+        WITH words AS (
+            SELECT row_number() OVER () AS place, doc_id,
+                   regexp_extract_all(translate(coalesce(text, ''), '{ranked_search.UPPER}', '{ranked_search.LOWER}'),
+                                      '{ranked_search.TERM}') AS terms
+            FROM documents
+        ), lengths AS (
+            SELECT count(*) AS docs_in_all, sum(len(terms))::BIGINT AS terms_in_all FROM words WHERE len(terms) > 0
+        ), found AS (
+            SELECT place, term, count(*) AS tf FROM (SELECT place, unnest(terms) AS term FROM words) GROUP BY ALL
+        ), asked AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(
+                translate(coalesce(text, ''), '{ranked_search.UPPER}', '{ranked_search.LOWER}'), '{ranked_search.TERM}')) AS term
+            FROM benchmark
+        ), weights AS (
+            SELECT term, floor(1000 * ln((2 * docs_in_all + 2) / (2 * count(*) + 1)))::BIGINT AS w
+            FROM found, lengths GROUP BY term, docs_in_all
+        ), sums AS (
+            SELECT item_id, place, sum(w * ((1000000000 * tf) // (1000 * tf
+                   + 8 * (100 - 90 + (90 * len(terms) * docs_in_all) // terms_in_all))))::BIGINT AS score
+            FROM asked JOIN found USING (term) JOIN weights USING (term) JOIN words USING (place), lengths
+            GROUP BY item_id, place
+        )
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank,
+               doc_id, score
+        FROM sums JOIN words USING (place) WHERE score > 0 QUALIFY rank <= {ranked_search.TOP}
+    """,
 }
