@@ -4,8 +4,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    exact_dedup, fertility, mixing, packing, ranked_search, secrets, simhash, spelling, token_counts, token_files, warc,
-    weak_labels,
+    exact_dedup, fertility, mixing, packing, ranked_search, secrets, simhash, spelling, token_counts, token_files,
+    toxicity, warc, weak_labels,
 )
 
 #: Shares of all words that the mix aims at.
@@ -70,6 +70,10 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_groups(_documents(spark, sf_dir))
 
@@ -77,7 +81,7 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_token_counts, op3_best_fit_packing, op4_secret_scans, op5_token_files, op6_mixing_weights,
     op7_simhash_near_dedup, op8_warc, op9_quality_classifier, op10_exact_dedup,
-    op11_ranked_search, op13_spelling_variants,
+    op11_ranked_search, op12_toxicity, op13_spelling_variants,
 )}
 
 SQL = {
