@@ -4,15 +4,18 @@ Fixed forms are assignments to a secret's name, access keys and long hexadecimal
 letters, digits and key characters is a candidate.  A window of fixed width slides over it for each character class
 (``CLASSES``); the number of times each character is in the window is kept as the window moves, one character in and one
 out, and so is the sum of c * log2(c) over these counts, from which the entropy follows: log2(width) - sum / width.
-Windows at or above the class's threshold make spans, overlapping ones one span.  Spans whose text is on the allow list
-go; fixed forms stay.
+Windows at or above the class's threshold make spans, overlapping ones one span.  Spans go whose own text, or whose whole
+string, one pattern of the allow list makes up, and spans of which less than ``REST`` characters remain without the parts
+that hold a word of ``PLACEHOLDER``; fixed forms stay.
 
 Everything is a column expression of whole texts: no row leaves its task.  Positions are code points, the end
-exclusive.  Defined cases: null and empty texts have no spans; repeated rows get a row each; other columns are left alone.
+exclusive.  Defined cases: null and empty texts have no spans; null ids and repeated rows get a row each; an empty table gives
+an empty result; texts and strings of any length are scanned whole, in time linear in them; other columns are left alone.
 """
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,26 +34,36 @@ KINDS = ("assign", "access", "hex")
 @dataclass(frozen=True)
 class CharacterClass:
     """Runs of ``characters`` (inside a regular expression's brackets), and from how many bits a window of ``width`` of
-    them counts as random."""
+    them counts as random.  ``most``: the longest run of the class; ``needs``: what each run has to hold."""
 
     kind: str
     characters: str
     width: int
     bits: float
+    most: int | None = None
+    needs: tuple[str, ...] = ()
+
+    @property
+    def pattern(self) -> str:
+        one = f"[{self.characters}]"
+        return f"{one}{{{self.width},}}" if self.most is None else f"(?<!{one}){one}{{{self.width},{self.most}}}(?!{one})"
 
 
 CLASSES = (
     CharacterClass("entropy_hex", "0-9A-Fa-f", 24, 3.0),
     CharacterClass("entropy_base64", "A-Za-z0-9+/_=-", 28, 4.1),
+    # Keys shorter than that window, as 16 bytes in base64: they mix capitals, small letters and digits.
+    CharacterClass("entropy_short", "A-Za-z0-9+/_=-", 20, 3.6, 27, ("[A-Z]", "[a-z]", "[0-9].*[0-9]")),
 )
-#: Harmless strings: one of these patterns makes up the whole span.
+#: Allow list of harmless texts.  Repetitions are possessive: Java walks those in a loop, others by recursion.
 ALLOW = (
     r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}",  # UUID
-    r"[0-9]+",  # plain numbers
-    r"[A-Za-z]+",  # one long word
-    r"(?i).*(example|sample|placeholder|xxxx).*",
-    r"(?i)[a-z]+([-_/=][a-z]+)+",  # words joined by marks, as in paths
+    r"[0-9]++",  # plain numbers
+    r"[A-Za-z]++",  # one long word
+    r"(?i)[a-z]++([-_/=][a-z]++)++",  # words joined by marks, as in paths
 )
+#: Words of stand-ins for secrets; parts of a span lie between marks.
+PLACEHOLDER, MARK, REST = "(?i)(example|sample|placeholder|xxxx)", "[-_/=+]", 20
 _BLOCK = 256
 
 
@@ -104,8 +117,13 @@ def _fixed_spans(kind: int, found: Column, starts: Column, enough) -> Column:
     return F.transform(both, lambda m: _span(m["start"], kind, m["start"] + F.length(m["text"])))
 
 
-def _random_spans(run: Column, place: Column, kind: int, cls: CharacterClass) -> Column:
-    """Spans in one candidate that starts at ``place``.
+def _secret(span: Column, allowed: str) -> Column:
+    rest = F.filter(F.split(span, MARK), lambda part: ~part.rlike(PLACEHOLDER))
+    return ~span.rlike(allowed) & (~span.rlike(PLACEHOLDER) | (F.length(F.array_join(rest, "")) >= REST))
+
+
+def _random_spans(run: Column, place: Column, kind: int, cls: CharacterClass, allowed: str) -> Column:
+    """Spans in one candidate that starts at ``place``, without those that ``allowed`` makes up and stand-ins.
 
     ``counts`` holds, for each of 128 characters, how often the window has it, as one character of a string: the state
     is as small for a candidate of a million characters as for one of thirty.
@@ -154,13 +172,21 @@ def _random_spans(run: Column, place: Column, kind: int, cls: CharacterClass) ->
     ended = _with(F.split(run, ""), lambda chars: F.aggregate(chars, start, step(chars)))
     return _with(ended, lambda e: F.transform(
         F.filter(F.concat(e["spans"], F.array(F.struct(e["first"].alias("first"), e["last"].alias("last")))),
-                 lambda s: s["first"] >= 0),
+                 lambda s: (s["first"] >= 0) & _secret(F.substring(run, s["first"] + 1, s["last"] - s["first"]), allowed)),
         lambda s: _span(place + s["first"], kind, place + s["last"]),
     ))
 
 
-def _scan(kind: int, cls: CharacterClass):
-    return lambda m: _random_spans(m["text"], m["start"], kind, cls)
+def _scan(kind: int, cls: CharacterClass, allowed: str):
+    return lambda m: _random_spans(m["text"], m["start"], kind, cls, allowed)
+
+
+def _odd(harmless: str, needs):
+    return lambda m: reduce(lambda a, b: a & b, [~m["text"].rlike(harmless), *[m["text"].rlike(n) for n in needs]])
+
+
+def _one_of(patterns) -> str:
+    return "^(?:" + "|".join(patterns) + ")$" if patterns else "(?!)"
 
 
 def secret_spans(df: DataFrame, text_col: str = "text", classes=CLASSES, allow=ALLOW, out: str = "spans") -> DataFrame:
@@ -168,9 +194,7 @@ def secret_spans(df: DataFrame, text_col: str = "text", classes=CLASSES, allow=A
     ``KINDS`` and then ``classes``."""
     text, *helpers = names_apart(df, "whole_text", *[f"{x}_{i}" for i in range(3 + len(classes)) for x in ("found", "at")])
     found, at = helpers[::2], helpers[1::2]
-    patterns = [ASSIGN, ACCESS, HEX] + [
-        f"[{c.characters}]{{{c.width},}}" for c in classes
-    ]
+    patterns = [ASSIGN, ACCESS, HEX, *[c.pattern for c in classes]]
     df_all = df.withColumn(text, whole(text_col))
     df_all = df_all.withColumns({
         f: F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0)) for f, p in zip(found, patterns)
@@ -184,11 +208,10 @@ def secret_spans(df: DataFrame, text_col: str = "text", classes=CLASSES, allow=A
         lambda m: F.lit(True),
     )
     parts = [_fixed_spans(k, F.col(found[k]), F.col(at[k]), enough[k]) for k in range(3)]
-    harmless = "^(?:" + "|".join(allow) + ")$" if allow else "(?!)"
+    harmless = _one_of(allow)
     for k, cls in enumerate(classes, 3):
-        odd = F.filter(F.arrays_zip(F.col(found[k]).alias("text"), F.col(at[k]).alias("start")),
-                       lambda m: ~m["text"].rlike(harmless))
-        parts.append(F.flatten(F.transform(odd, _scan(k, cls))))
+        odd = F.filter(F.arrays_zip(F.col(found[k]).alias("text"), F.col(at[k]).alias("start")), _odd(harmless, cls.needs))
+        parts.append(F.flatten(F.transform(odd, _scan(k, cls, harmless))))
     spans = F.array_sort(F.concat(*parts))
     return df_all.select(*[F.col(c) for c in df.columns], spans.alias(out))
 

@@ -28,6 +28,11 @@ def window_spans(run, start, kind, cls):
     return [(start + a, kind, start + b) for a, b in merged]
 
 
+def stand_in(text):
+    rest = "".join(p for p in re.split("[-_/=+]", text) if not re.search("example|sample|placeholder|xxxx", p.lower()))
+    return len(rest) < 20 and bool(re.search("example|sample|placeholder|xxxx", text.lower()))
+
+
 def plain_secrets(text, classes=secrets.CLASSES):
     text = text or ""
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
@@ -36,8 +41,11 @@ def plain_secrets(text, classes=secrets.CLASSES):
     base = sorted(found)
     for k, c in enumerate(classes, 3):
         for m in re.finditer(f"[{c.characters}]{{{c.width},}}", text):
-            if not any(re.fullmatch(p, m[0]) for p in secrets.ALLOW):
-                found += window_spans(m[0], m.start(), k, c)
+            if any(re.fullmatch(p, m[0]) for p in secrets.ALLOW) or len(m[0]) > (c.most or len(m[0])):
+                continue
+            if all(re.search(n, m[0]) for n in c.needs):
+                found += [(a, k, b) for a, _, b in window_spans(m[0], m.start(), k, c)
+                          if not any(re.fullmatch(p, text[a:b]) for p in secrets.ALLOW) and not stand_in(text[a:b])]
     names = [*secrets.KINDS, *[c.kind for c in classes]]
     joined = lambda spans: ",".join(f"{names[k]}:{a}:{b}" for a, k, b in spans)
     return (*[sum(k == i for _, k, _ in base) for i in range(3)],
@@ -52,9 +60,19 @@ SECRETS = [
     "donaudampfschifffahrtsgesellschaftskapitaen", "deadbeef" * 9, "0123456789" * 8, "K7x" + "Qz9Lm2Vb8Nc4Xj6Hd1Gf3Ts5Rw0Py" * 40,
     " ".join(f"{i:032x}" for i in range(7, 7000, 7)), "=" * 100, "PASSWD=\tno", "secret = 'a" + "b" * 30 + "'",
     "zQ9" * 200 + "===" + "aB3dE5gH7jK9lM1nO3pQ5rS7tU9vW1xYz" + "a" * 300 + "aB3dE5gH7jK9lM1nO3pQ5rS7tU9vW1xYz",
+    "samples/K7xQz9Lm2Vb8Nc4Xj6Hd1Gf3Ts5Rw0PyAe6Bu", "key: q83vEjRWeJCrze8SNFZ4kA== end", "example-key-1-abcdefgh", "Ab1" * 7,
+    "q83vEjRWeJCrze8SNFZ4k", "q83vEjRWeJCrze8SNF", "ab-" * 200_000 + "ab", "a/" * 200_000 + "9", "x" * 200_000,
 ]
 
 
+def test_secret_cases(spark):
+    """A random key behind a harmless word, a key of 24 characters, and runs that a recursive pattern can't take."""
+    asked = ["samples/K7xQz9Lm2Vb8Nc4Xj6Hd1Gf3Ts5Rw0PyAe6Bu", "q83vEjRWeJCrze8SNFZ4kA==", "ab-" * 200_000 + "ab"]
+    found = secrets.secret_spans(cases.table(spark, [(i, t, *[None] * 6) for i, t in enumerate(asked)]), out="found")
+    spans = {r.doc_id: r.found for r in found.collect()}
+    assert spans[0] and spans[1] and spans[0][0]["start"] < 12 and not spans[2]
+
+
 def test_secrets(spark):
     held = cases.rows() + [(1000 + i, t, None, None, None, "d", 1, "s") for i, t in enumerate(SECRETS)]
     found = secrets.secret_spans(cases.table(spark, held), out="found")
