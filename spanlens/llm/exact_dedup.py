@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import stored
-from .common import SPACE, names_apart, whole
+from .common import SPACE, keyed, whole, without
 
 #: Share of all rows from which a digest counts as frequent; the broadcast has at most 1 / SUPPORT rows.
 SUPPORT = 0.001
@@ -77,17 +77,18 @@ def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     support: float = SUPPORT) -> DataFrame:
     """The rows of ``df`` that stay, with all their columns.
 
-    Copies of a frequent text go before the shuffle; of the others one row for each digest and map task at most is
+    Which rows go is decided on ids and digests alone; texts are parted by these ids where they are read, and few are
     shuffled.
     """
-    digest, keep, heavy, rank = names_apart(df, "digest", "keep", "heavy", "rank")
-    frequent = _frequent(_digest_table(df, id_col, text_col), support).select(
-        F.col("digest").alias(digest), F.col("first.id").alias(keep), F.lit(True).alias(heavy)
-    )
-    group = Window.partitionBy(digest).orderBy(F.col(id_col).asc_nulls_last())
-    return (
-        df.withColumn(digest, text_digest(text_col)).join(F.broadcast(frequent), digest, "left")
-        .filter(F.col(heavy).isNull() | F.col(keep).eqNullSafe(F.col(id_col)))
-        .withColumn(rank, F.row_number().over(group)).filter(F.col(rank) == 1)
-        .select(*df.columns)
-    )
+    df, key = keyed(df, id_col)
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("of"), F.col(key).alias("key"))
+    digests = stored(df.select(F.col(key).alias("row"), F.col(id_col).alias("id"), order.alias("order"),
+                               text_digest(text_col).alias("digest")), "digests")
+    frequent = _frequent(digests, support)
+    heavy = digests.join(F.broadcast(frequent), "digest").filter(F.col("row") != F.col("first.row"))
+    rest = digests.join(F.broadcast(frequent), "digest", "left_anti")
+    # The first of each group of two or more is aggregated before the shuffle and joined back.
+    first = rest.groupBy("digest").agg(F.min("order").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    light = rest.join(first, "digest").filter(F.col("order") != F.col("first"))
+    gone = stored(heavy.select(F.col("row").alias(key)).unionByName(light.select(F.col("row").alias(key))), "copies")
+    return without(df, gone, digests.select(F.col("row").alias(key)), key).select(*[c for c in df.columns if c != key or key == id_col])

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import stored
-from .common import SPACE, whole
+from .common import SPACE, names_apart, whole, without
 
 SAMPLE, BUCKETS, RATIO, SMOOTHING = 4096, 1 << 16, 30.0, 1000.0
 RIDGE, STEPS, TOLERANCE = 1e-3, 30, 2e-5
@@ -201,12 +201,12 @@ def mix_reported(df: DataFrame, labels: DataFrame, targets: dict[str, float], id
 
 def _copied(df: DataFrame, chosen: DataFrame, id_col: str, most: float | None) -> DataFrame:
     gone = chosen.filter(F.col("copies") == 0).select(id_col).distinct()
-    left = df.join(gone, id_col, "left_anti").select(*df.columns)
+    left = without(df, gone, chosen, id_col)
     if most is not None and most <= 1:
         return left
-    more = chosen.filter(F.col("copies") > 1).groupBy(id_col).agg(F.max("copies").alias("copies"))
-    again = df.join(more, id_col).select(*[df[c] for c in df.columns],
-                                         F.explode(F.sequence(F.lit(2), "copies")).alias("_")).drop("_")
+    times, turn = names_apart(df, "times", "turn")
+    more = chosen.filter(F.col("copies") > 1).groupBy(id_col).agg(F.max("copies").alias(times))
+    again = df.join(more, id_col).select(*df.columns, F.explode(F.sequence(F.lit(2).cast("long"), times)).alias(turn)).drop(turn)
     return left.unionByName(again)
 
 
