@@ -157,6 +157,7 @@ def plain_rates(n, p, weights, most, ridge, steps=20_000):
     now = (n[:, None] * p).sum(axis=0)
     k = int(np.argmax(share))
     target = now[k] / share[k] * share
+    target = target if most is None else np.minimum(target, most * now)
     metric, r = words / now, np.ones(len(n))
     for _ in range(steps):
         miss = ((n * r)[:, None] * p).sum(axis=0) / words - target / words
