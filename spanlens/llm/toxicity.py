@@ -3,7 +3,8 @@
 1. At most ``SAMPLE`` labelled rows train it, those with the smallest hashes of their ids; rows whose id's checksum is a
    multiple of ``FOLDS`` are held out.  Of several labels of an id the larger counts.
 2. Features are words and heads of words of ``HEADS`` letters, hashed to ``BUCKETS``; a value is how many of a hundred
-   words have the feature, ``MOST`` at most, so one insult says the same in a note and a chapter has to repeat it.
+   words have the feature, ``MOST`` at most, so one insult says the same in a note and a chapter has to repeat it.  Features
+   whose spread over the labels may be chance are left out.
 3. Counterfactuals: in each sentence of a training text that names a group of people (``IDENTITY``), the names are swapped for
    others of their list.  At most ``PAIRS`` such sentences, those with the smallest hashes, are held against their swapped
    forms.
@@ -26,11 +27,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import stored
 from .common import map_arrow, whole
 
 SAMPLE, PAIRS, FOLDS = 8192, 4096, 5
 BUCKETS, HEADS, MOST, LEAST_WORDS, LEAST_DOCS = 1 << 18, (4, 5, 6, 7, 8), 3.0, 20, 3
 EPOCHS, RATE, PENALTY, EQUAL = 200, 0.3, 1e-3, 1.0
+#: Likelihood ratio from which a feature is trained: below it may be chance at one in twenty.
+CHANCE = 3.84
 _WORD, _SENTENCE = re.compile(r"[^\W\d_]+"), re.compile(r"[^.!?\n]+")
 # Names of groups of people; the names of one list can stand for one another in a sentence.
 IDENTITY = (
@@ -111,8 +115,6 @@ def train(rows, labels: np.ndarray, pairs=None, equal: float = EQUAL, epochs: in
     weights = np.zeros(BUCKETS + 1)
     if not len(labels):
         return weights
-    often = np.bincount(at, minlength=BUCKETS) >= LEAST_DOCS
-    doc, at, value = doc[often[at]], at[often[at]], value[often[at]]
     known, at = np.unique(at, return_inverse=True)
     number = np.full(BUCKETS, -1)
     number[known] = np.arange(len(known))
@@ -143,54 +145,93 @@ def held_out(id_col: str):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)) == 0
 
 
-def _packed(rows, count):
-    """Features of ``count`` texts as bytes of each."""
+def _lists(rows, count: int) -> list[pa.Array]:
+    """The features of ``count`` texts as a list of buckets and one of values for each."""
     doc, at, value = rows
-    cuts = np.searchsorted(doc, np.arange(count + 1)).tolist()
-    at, value = at.astype("<i4"), value.astype("<f4")
-    return [(at[a:b].tobytes(), value[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])]
+    cuts = pa.array(np.searchsorted(doc, np.arange(count + 1)).astype(np.int32))
+    return [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (at.astype(np.int32), value.astype(np.float32))]
 
 
-def _joined(parts):
-    """(text, bucket, value) of texts whose features are bytes."""
-    at, value = [np.frombuffer(a, "<i4") for a, _ in parts], [np.frombuffer(v, "<f4") for _, v in parts]
-    doc = np.repeat(np.arange(len(parts)), [len(a) for a in at])
-    return doc, np.concatenate([np.zeros(0, "<i4"), *at]).astype(np.int64), np.concatenate([np.zeros(0, "<f4"), *value]).astype(float)
+def _flat(batch, at: int, value: int):
+    """(text, bucket, value) of lists, the reverse of ``_lists``."""
+    sizes = batch.column(at).value_lengths().to_numpy(zero_copy_only=False)
+    return (np.repeat(np.arange(batch.num_rows), sizes), batch.column(at).flatten().to_numpy(zero_copy_only=False),
+            batch.column(value).flatten().to_numpy(zero_copy_only=False))
+
+
+def telling(seen: np.ndarray, toxic: np.ndarray, docs: int, toxic_docs: int, chance: float = CHANCE) -> np.ndarray:
+    """Whether a feature of ``seen`` texts, ``toxic`` of them toxic, is spread over the labels by more than chance: by its
+    likelihood ratio."""
+    total = np.zeros(len(seen))
+    for part, of, whole_ in ((toxic, seen, toxic_docs), (seen - toxic, seen, docs - toxic_docs),
+                             (toxic_docs - toxic, docs - seen, toxic_docs),
+                             (docs - toxic_docs - seen + toxic, docs - seen, docs - toxic_docs)):
+        part, expected = part.astype(float), of.astype(float) * whole_ / max(docs, 1)
+        some = part > 0
+        total[some] += 2 * part[some] * np.log(part[some] / expected[some])
+    return (seen >= LEAST_DOCS) & (total >= chance)
 
 
 def fit(texts: DataFrame, labels: DataFrame, sample: int = SAMPLE, pairs: int = PAIRS, equal: float = EQUAL) -> np.ndarray:
-    """Weights from ``texts`` (id, text) and ``labels`` (id, toxic); at most ``sample`` texts and ``pairs`` sentences, whose
-    features reach the driver as bytes: about 60 MB at the defaults."""
+    """Weights from ``texts`` (id, text) and ``labels`` (id, toxic).
+
+    The driver gets counts of at most ``BUCKETS`` features, and of at most ``sample`` texts and ``pairs`` sentences the features
+    that tell labels apart by more than chance."""
     known = labels.filter(F.col("id").isNotNull() & F.col("toxic").isNotNull() & ~held_out("id")).groupBy("id").agg(
         F.max("toxic").cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample)
+    names = ["kind", "label", "h", "at", "value"]
 
     def step(batches):
         for batch in batches:
-            held, marks = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            own = _packed(features(held), len(held))
-            names, out = ["kind", "label", "h", "at", "value"], [(0, m, 0, a, v) for m, (a, v) in zip(marks, own)]
+            held = batch.column(1).to_pylist()
+            n = len(held)
+            hashes = [xxhash.xxh64_intdigest(t) >> 1 for t in held]
+            yield pa.record_batch([pa.array(np.zeros(n, np.int32)), batch.column(2), pa.array(hashes, pa.int64()),
+                                   *_lists(features(held), n)], names)
             swaps = [p for t in held for p in counterfactuals(t)]
             if swaps:
-                both = [_packed(features([p[k] for p in swaps]), len(swaps)) for k in (0, 1)]
-                for (sentence, _), (a, x), (b, y) in zip(swaps, *both):
-                    # The difference of the two: the swapped form's values count negative.
-                    at = np.concatenate([np.frombuffer(a, "<i4"), np.frombuffer(b, "<i4")])
-                    value = np.concatenate([np.frombuffer(x, "<f4"), -np.frombuffer(y, "<f4")])
-                    places, back = np.unique(at, return_inverse=True)
-                    total = np.bincount(back, value, len(places))
-                    out.append((1, 0, xxhash.xxh64_intdigest(sentence) >> 1, places[total != 0].astype("<i4").tobytes(),
-                                total[total != 0].astype("<f4").tobytes()))
-            columns = list(zip(*out)) or [()] * 5
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names)
-
-    rows = map_arrow(texts.join(F.broadcast(chosen), "id").select("id", "text", "toxic"), step,
-                     "kind int, label int, h long, at binary, value binary")
-    own = rows.filter("kind = 0").orderBy("label", "at", "value").limit(sample).collect()
-    swaps = rows.filter("kind = 1").orderBy("h", "at", "value").limit(pairs).collect()
-    return train(_joined([(r["at"], r["value"]) for r in own]), np.array([r["label"] for r in own], float),
-                 _joined([(r["at"], r["value"]) for r in swaps]), equal)
+                # The difference of the two: the swapped form's values count negative.
+                (d, a, x), (e, b, y) = (features([p[k] for p in swaps]) for k in (0, 1))
+                keys, back = np.unique(np.concatenate([d * BUCKETS + a, e * BUCKETS + b]), return_inverse=True)
+                total = np.bincount(back, np.concatenate([x, -y]), len(keys))
+                keys, total = keys[total != 0], total[total != 0]
+                hashes = [xxhash.xxh64_intdigest(s) >> 1 for s, _ in swaps]
+                n = len(swaps)
+                yield pa.record_batch([pa.array(np.ones(n, np.int32)), pa.array(np.zeros(n, np.int32)), pa.array(hashes, pa.int64()),
+                                       *_lists((keys // BUCKETS, keys % BUCKETS, total), n)], names)
+
+    rows = stored(map_arrow(texts.join(F.broadcast(chosen), "id").select("id", "text", "toxic"), step,
+                            "kind int, label int, h long, at array<int>, value array<float>"), "sample-features")
+    own, swaps = (rows.filter(F.col("kind") == k).orderBy("h", "label", "at", "value").limit(n)
+                  for k, n in ((0, sample), (1, pairs)))
+    docs, toxic = own.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
+    if not docs:
+        return np.zeros(BUCKETS + 1)
+    counts = own.select("label", F.explode("at").alias("at")).groupBy("at").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("label").alias("k")).toPandas().sort_values("at")
+    mask = np.zeros(BUCKETS, bool)
+    mask[counts["at"].to_numpy()] = telling(counts["n"].to_numpy(), counts["k"].to_numpy(), docs, toxic)
+
+    def kept(batches):
+        for batch in batches:
+            doc, at, value = _flat(batch, 3, 4)
+            keep = mask[at]
+            yield pa.record_batch([*batch.columns[:3], *_lists((doc[keep], at[keep], value[keep]), batch.num_rows)], names)
+
+    def gathered(df):
+        table = map_arrow(df, kept, df.schema).toArrow().combine_chunks()
+        batch = table.to_batches()[0] if table.num_rows else pa.RecordBatch.from_pylist([], table.schema)
+        # In one order, whichever task was first.
+        doc, at, value = _flat(batch, 3, 4)
+        h = batch.column(2).to_numpy(zero_copy_only=False)
+        order = np.argsort(h, kind="stable")
+        place = np.argsort(order, kind="stable")
+        by_text = np.argsort(place[doc], kind="stable")
+        return (place[doc][by_text], at[by_text], value[by_text]), batch.column(1).to_numpy(zero_copy_only=False)[order]
+
+    features_of, marks = gathered(own)
+    return train(features_of, marks.astype(float), gathered(swaps)[0], equal)
 
 
 def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
