@@ -30,7 +30,7 @@ SIZES = (1024, 2048, 4096, 8192)
 WINDOW = 1 << 15
 #: Tokens that a sequence costs beyond its own, and the length at which attention costs as much as the rest.
 FIXED_TOKENS, ATTENTION_LENGTH = 256, 32768
-CACHE, CACHE_CHARS = 300_000, 64
+CACHE, CACHE_CHARS = 150_000, 64
 _known: dict[str, dict[str, int]] = {}
 
 

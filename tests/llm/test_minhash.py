@@ -31,15 +31,15 @@ def plain_tops(texts):
     return {i: find(i) for i in ids}
 
 
-@pytest.mark.parametrize("stars", [0, 2])
-def test_near_copies(spark, stars):
+@pytest.mark.parametrize("stars, direct", [(0, 0), (2, 4), (2, 32)])
+def test_near_copies(spark, stars, direct):
     held = cases.rows()
     # A chain whose neighbours alone are alike, and pairs on either side of the limit.
     words = cases.sentence(cases.random.Random(5), 200).split()
     chain = [" ".join(words[k * 8:k * 8 + 100]) for k in range(8)]
     held += [(900 + i, t, "en", "s", None, "d", 7, "q") for i, t in enumerate(chain)]
     want = set(plain_tops({i: t for i, t, *_ in held}).values())
-    kept = minhash.drop_near_copies(cases.table(spark, held), stars=stars)
+    kept = minhash.drop_near_copies(cases.table(spark, held), stars=stars, direct=direct)
     assert kept.columns == cases.TABLE and sorted(r.doc_id for r in kept.collect()) == sorted(want)
 
 
