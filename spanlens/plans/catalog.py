@@ -18,6 +18,7 @@ from ..operators import sequence as sq
 from ..operators import series as ser
 from ..schema import CAPTURE, SEQ
 from ..sources import captures as cap
+from ..sources import slab_store as store
 from ..streaming import live, stall
 from . import event_views as v
 from . import report as rep
@@ -244,6 +245,59 @@ def interval_window(spark, d):
     return whole.unionByName(middle).unionByName(first.withColumn("case", F.lit("dense")))
 
 
+#: Arrivals of a slab in the stored captures of these queries.
+STORE_SLAB = 1024
+
+
+def _slab_store(spark, df):
+    """``df`` as a store, written in two appends."""
+    path = cap.scratch(spark, "slab-store")
+    middle = df.agg(F.percentile_approx(SEQ, 0.5)).first()[0]
+    for part in (df.filter(F.col(SEQ) <= middle), df.filter(F.col(SEQ) > middle)):
+        store.append_store(part, path, STORE_SLAB)
+    return path, store.read_rows(spark, path), store.read_index(spark, path)
+
+
+@query
+def stored_window(spark, d):
+    """Capped windows of a capture in order and of one with overlaps, by way of the slab index."""
+    out = None
+    for case, df in (("capped", v.executions(spark, d)), ("dense", v.executions_dense(spark, d))):
+        _, rows, index = _slab_store(spark, df)
+        one = store.stored_window(rows, index, T0, T1, 101).withColumn("case", F.lit(case))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query
+def stored_tail(spark, d):
+    _, rows, index = _slab_store(spark, v.executions(spark, d))
+    return store.stored_tail(rows, index, T0, T1, 50).withColumn("case", F.lit("capped")).unionByName(
+        store.stored_tail(rows, index, T0, T1, 50, 5000).withColumn("case", F.lit("next")))
+
+
+@query
+def stored_retention(spark, d):
+    """Retention from the index, before folders are deleted and after."""
+    path, rows, index = _slab_store(spark, v.executions(spark, d))
+    before = store.stored_retention(rows, index, 1500).withColumn("case", F.lit("before"))
+    before = cap.stored(before, "horizon")
+    store.evict(spark, path, 1500)
+    after = store.stored_retention(store.read_rows(spark, path), store.read_index(spark, path), 1500)
+    return before.unionByName(after.withColumn("case", F.lit("after")))
+
+
+@query
+def stored_recent_activity(spark, d):
+    """The last ten hours of each capture, one of which ended a year before the others."""
+    e = v.executions_dense(spark, d)
+    old = F.when(F.col(CAPTURE) == "cap-c", 365 * DAY).otherwise(0)
+    shifted = e.withColumns({"start": F.col("start") - old, "end": F.col("end") - old})
+    _, rows, index = _slab_store(spark, shifted)
+    recent = store.stored_recent(rows, index, 10 * HOUR)
+    return agg.recent_activity(recent, 10 * HOUR).filter("activity > 0")
+
+
 @query
 def interval_join(spark, d):
     return mat.interval_join(v.viewports(spark, d), v.executions_dense(spark, d)).select(

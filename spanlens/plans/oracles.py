@@ -104,6 +104,17 @@ _sql("interval_window", """SELECT capture_id, seq, start, dur, gid, n > cap AS c
   FROM win JOIN orders USING (capture_id, c)
   WHERE i >= CASE WHEN ok AND n > cap THEN (n - cap) // 2 ELSE 0 END
     AND i < cap + CASE WHEN ok AND n > cap THEN (n - cap) // 2 ELSE 0 END""", WIN.format(w=IN_WINDOW), SORTED)
+_sql("stored_window", """SELECT capture_id, seq, start, dur, gid, n > cap AS capped, c AS "case"
+  FROM win JOIN orders USING (capture_id, c)
+  WHERE c <> 'whole' AND i >= CASE WHEN ok AND n > cap THEN (n - cap) // 2 ELSE 0 END
+    AND i < cap + CASE WHEN ok AND n > cap THEN (n - cap) // 2 ELSE 0 END""", WIN.format(w=IN_WINDOW), SORTED)
+_sql("stored_retention", """SELECT capture_id, coalesce(min(start) FILTER (n > 1500 AND r <= 1500), 0) AS retained_from,
+  least(any_value(n), 1500) AS held, c AS "case" FROM ranked, (VALUES ('before'), ('after')) t(c) GROUP BY capture_id, c""",
+     KEPT)
+_sql("stored_recent_activity", f"""SELECT capture_id, gid, CAST(sum(least(stop, now) - greatest(start, now - {10 * HOUR})) AS BIGINT)
+  AS activity FROM dense JOIN (SELECT capture_id, arg_max(stop, seq) AS now FROM dense GROUP BY 1) USING (capture_id)
+  WHERE stop >= now - {10 * HOUR} GROUP BY capture_id, gid
+  HAVING sum(least(stop, now) - greatest(start, now - {10 * HOUR})) > 0""")
 _sql("interval_join", """SELECT v.capture_id, probe_id, seq, start, dur FROM viewports v JOIN dense s
   ON v.capture_id = s.capture_id AND s.start < v.t1 AND s.stop > v.t0""")
 _rows("gc_window", "start, dur, generation, collected", "gc", f"WHERE start < {T1} AND start + dur > {T0}")
@@ -112,6 +123,7 @@ _TAIL = f"start > {T0} AND start < {T1}"
 _sql("tail_follow", """SELECT capture_id, seq, start, dur, gid, n > cap AS capped,
   CASE c WHEN 'dense' THEN 'next' ELSE c END AS "case" FROM win WHERE i < cap""",
      WIN.format(w=_TAIL).replace("101", "50").replace(f"FROM dense WHERE {_TAIL}", f"FROM e WHERE {_TAIL} AND seq > 5000"))
+ORACLES["stored_tail"] = ORACLES["tail_follow"] + " AND c <> 'whole'"
 _sql("tail_or_window", """SELECT w.capture_id, w.seq, w.start, dur, gid, broken AS whole FROM w
   JOIN state USING (capture_id) WHERE broken OR seq > after_seq""",
      f"w AS (SELECT * FROM e WHERE {IN_WINDOW})",

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..schema import CAPTURE, SEQ
-from ..storage import scratch  # noqa: F401
+from ..storage import scratch, stored  # noqa: F401
 
 TABLES = {
     "executions": schema.EXECUTIONS, "gc": schema.GC_EVENTS, "samples": schema.SYS_SAMPLES,
