@@ -123,12 +123,14 @@ def hold_on_grid(samples: DataFrame, value: str, t0: int, px_ns: int, n: int,
 
 
 def utilization_with_tail(series, samples, spans, t0: int, px_ns: int, n: int) -> DataFrame:
-    """Columns past the end of the rows take the held CPU sample (ms/s over 1000, between 0 and 1)."""
+    """Columns past the end of the rows take the held CPU sample (ms/s over 1000, between 0 and 1).
+
+    A capture of the series without rows ends at 0, so all its later columns are held."""
     edge = spans.groupBy(CAPTURE).agg(F.max(F.col("start") + F.col("dur")).alias("_edge"))
     share = F.greatest(F.least(F.col("cpu_ms_s") / 1000.0, F.lit(1.0)), F.lit(0.0))
     held = hold_on_grid(samples, "cpu_ms_s", t0, px_ns, n).select(CAPTURE, "x", share.alias("_held"))
-    out = series.join(edge, CAPTURE).join(held, [CAPTURE, "x"], "left")
-    past = (F.col("x") * px_ns + t0 > F.col("_edge")) & F.col("_held").isNotNull()
+    out = series.join(edge, CAPTURE, "left").join(held, [CAPTURE, "x"], "left")
+    past = (F.col("x") * px_ns + t0 > F.coalesce("_edge", F.lit(0))) & F.col("_held").isNotNull()
     return out.select(CAPTURE, "x", F.when(past, F.col("_held")).otherwise(F.col("busy")).alias("busy"))
 
 

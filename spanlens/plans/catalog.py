@@ -109,6 +109,13 @@ def report_json(spark, d):
     )
 
 
+@query
+def report_of_all_captures(spark, d):
+    """The whole JSON of each capture; in one of them nothing ran."""
+    e = v.executions(spark, d).filter(F.col(CAPTURE) != "cap-c")
+    return rep.report_json(rep.analyze_report(e, v.gc_events(spark, d), meta_view(spark, d)))
+
+
 @query
 def report_text(spark, d):
     return rep.report_text(_report(spark, d))
@@ -562,6 +569,16 @@ def utilization_with_tail(spark, d):
     return s.select(CAPTURE, "x", F.round("busy", 6).alias("busy"))
 
 
+@query
+def utilization_without_rows(spark, d):
+    """One of the captures has samples and no intervals: all of its columns are held."""
+    e = v.executions_dense(spark, d).filter(F.col(CAPTURE) != "cap-c")
+    bins, samples = ser.busy_bins(e, HOUR // 4), v.sys_samples(spark, d)
+    series = ser.utilization_series(bins, HOUR // 4, DAY, PX, COLUMNS, samples)
+    s = ser.utilization_with_tail(series, samples, e, DAY, PX, COLUMNS)
+    return s.select(CAPTURE, "x", F.round("busy", 6).alias("busy"))
+
+
 @query
 def lag_series(spark, d):
     few = v.sys_samples(spark, d).filter(F.col(CAPTURE) != "cap-c")

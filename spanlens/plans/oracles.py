@@ -267,6 +267,30 @@ _sql("report_json", """SELECT e.capture_id, count(*) AS total, max(stop) - arg_m
      TOPS, META, """m AS (SELECT capture_id, arg_max(epoch_ms, seq) FILTER (epoch_ms > 0) AS epoch
   FROM meta GROUP BY ALL)""")
 
+_E_END = "AS stack, is_hub FROM timed),"
+_sql("report_of_all_captures", """SELECT m.capture_id, CAST(to_json({
+  'totalExecutions': coalesce(x.total, 0), 'spanNs': coalesce(x.span, 0), 'greenlets': coalesce(x.greenlets, 0),
+  'hubRunNs': coalesce(x.hub, 0), 'nonHubRunNs': coalesce(x.app, 0), 'longCount': coalesce(x.long, 0),
+  'blockedCount': coalesce(x.blocked, 0), 'p50Ns': coalesce(p50, 0), 'p95Ns': coalesce(p95, 0), 'p99Ns': coalesce(p99, 0),
+  'gcCount': coalesce((SELECT CAST(sum(pauses) AS BIGINT) FROM tg WHERE tg.capture_id = m.capture_id), 0),
+  'gcTotalNs': coalesce((SELECT CAST(sum(total) AS BIGINT) FROM tg WHERE tg.capture_id = m.capture_id), 0),
+  'gcByGen': coalesce((SELECT list({'gen': generation, 'count': pauses, 'totalNs': total} ORDER BY generation) FROM tg
+    WHERE tg.capture_id = m.capture_id), []),
+  'slowest': coalesce((SELECT list({'start': start, 'dur': dur, 'gid': gid, 'name': name, 'func': func, 'level': level}
+    ORDER BY rank) FROM ts WHERE ts.capture_id = m.capture_id AND rank <= 10), []),
+  'topGreenlets': coalesce((SELECT list({'gid': gid, 'name': name, 'isHub': is_hub, 'runNs': run,
+    'executions': executions} ORDER BY rank) FROM tt WHERE tt.capture_id = m.capture_id AND rank <= 10), []),
+  'topFuncs': coalesce((SELECT list({'func': func, 'totalNs': total, 'count': executions, 'maxNs': longest} ORDER BY rank)
+    FROM tf WHERE tf.capture_id = m.capture_id AND rank <= 10), []),
+  'pid': m.pid, 'epochMs': m.epoch, 'longMs': 20, 'blockedMs': 50}) AS VARCHAR) AS json
+  FROM m LEFT JOIN x USING (capture_id) LEFT JOIN tp USING (capture_id)""",
+     TOPS, META, """m AS (SELECT capture_id, arg_max(pid, seq) AS pid,
+  arg_max(epoch_ms, seq) FILTER (epoch_ms > 0) AS epoch FROM meta GROUP BY ALL)""",
+     "x AS (SELECT capture_id, count(*) AS total, max(stop) - arg_min(start, seq) AS span, "
+     + SUMMARY.format("greenlets", "hub", "app", "long", "blocked") + " FROM e GROUP BY ALL)")
+ORACLES["report_of_all_captures"] = ORACLES["report_of_all_captures"].replace(
+    _E_END, _E_END.replace("timed)", "timed WHERE capture_id <> 'cap-c')"))
+
 # Sequences and series
 FOLD = """SELECT capture_id, seq, thread, target AS gid, ts AS start, greatest(nts - ts, 0) AS dur, label AS name,
   func, task, nstack AS stack, lower(label[1:3]) = 'hub' AS is_hub FROM (
@@ -315,6 +339,10 @@ HELD = f"""held AS (SELECT g.capture_id, g.x, coalesce(lag_ms_s, 0) AS lag_ms_s,
 _sql("utilization_with_tail", f"""SELECT u.capture_id, u.x, round(CASE WHEN {DAY} + u.x * {PX} > edge
   THEN least(cpu_ms_s / 1000, 1) ELSE busy END, 6) AS busy FROM util u JOIN held h USING (capture_id, x)
   JOIN (SELECT capture_id, max(stop) AS edge FROM dense GROUP BY ALL) USING (capture_id)""", UTIL, HELD)
+_sql("utilization_without_rows", f"""SELECT h.capture_id, h.x, round(CASE WHEN {DAY} + h.x * {PX} > coalesce(edge, 0)
+  THEN least(cpu_ms_s / 1000, 1) ELSE busy END, 6) AS busy FROM held h LEFT JOIN util u USING (capture_id, x)
+  LEFT JOIN (SELECT capture_id, max(stop) AS edge FROM dense WHERE capture_id <> 'cap-c' GROUP BY ALL) USING (capture_id)""",
+     UTIL, HELD)
 _sql("lag_series", """SELECT capture_id, x, v AS lag_ms_s, max(v) OVER (PARTITION BY capture_id) AS peak,
   greatest(max(v) OVER (PARTITION BY capture_id), 50) AS full_scale
   FROM (SELECT capture_id, x, CASE WHEN capture_id = 'cap-c' THEN 0 ELSE lag_ms_s END AS v FROM held)""", HELD)
