@@ -16,6 +16,7 @@ from ..operators import ranges as rng
 from ..operators import ranking as rank
 from ..operators import sequence as sq
 from ..operators import series as ser
+from ..operators import sketches as sk
 from ..schema import CAPTURE, SEQ
 from ..sources import captures as cap
 from ..sources import slab_store as store
@@ -414,6 +415,20 @@ def duration_stats(spark, d):
     return both.select(CAPTURE, "case", *[F.round(q, 6).alias(q) for q in agg.QUANTILES])
 
 
+@query
+def sketched_stats(spark, d):
+    """Quantiles and distinct tracks of a range of days from a table of hourly sketches, and whether they are close enough:
+    ranks within 2 %, distinct counts within 5 %."""
+    e = v.executions(spark, d)
+    table = cap.stored(sk.sketch_table(e, HOUR), "sketches")
+    got = sk.sketched_stats(sk.merge_sketches(table, T0 // HOUR, T1 // HOUR - 1), agg.QUANTILES)
+    app = e.filter(~F.col("is_hub") & (F.col("start") >= T0) & (F.col("start") < T1))
+    below = lambda q, at: F.count_if(F.col("dur") < F.col(q) if at else F.col("dur") <= F.col(q)) / F.count(F.lit(1))
+    close = [((below(q, True) <= p + 0.02) & (below(q, False) >= p - 0.02)).alias(f"{q}_close") for q, p in agg.QUANTILES.items()]
+    near = F.abs(F.first("tracks") - F.count_distinct("gid")) <= 0.05 * F.count_distinct("gid") + 1
+    return app.join(got, CAPTURE).groupBy(CAPTURE).agg(F.first("rows").alias("rows"), *close, near.alias("tracks_close"))
+
+
 @query
 def slow_band_counts(spark, d):
     e = v.executions(spark, d)
@@ -972,6 +987,46 @@ def late_rows(spark, d):
     return spark.read.parquet(f"{out}/rows").select(*KEY, "start", "dur", "late")
 
 
+def _out_of_order(spark, d):
+    """The last third of one capture's arrivals starts three days early."""
+    e = v.executions(spark, d).drop("thread", "end")
+    first, last = e.agg(F.min(SEQ), F.max(SEQ)).first()
+    early = (F.col(CAPTURE) == "cap-b") & (F.col(SEQ) >= first + 2 * ((last - first) // 3 + 1))
+    return e.withColumn("start", F.col("start") - F.when(early, 3 * DAY).otherwise(0))
+
+
+@query
+def stream_follow(spark, d):
+    """What each of three batches sends to a follower: new rows, or a window anew."""
+    out = _arriving(spark, _out_of_order(spark, d), lambda path, out: live.follow_stream(
+        live.stream_executions(spark, path), out, f"{out}/offsets", T0, 28 * DAY, ONCE), parts=3)
+    return spark.read.parquet(f"{out}/rows").select(*KEY, "start", "dur", "gid", "whole", F.col(live.BATCH).cast("long").alias("batch"))
+
+
+@query
+def follower_view(spark, d):
+    """What the follower has drawn in the end."""
+    out = _arriving(spark, _out_of_order(spark, d), lambda path, out: live.follow_stream(
+        live.stream_executions(spark, path), out, f"{out}/offsets", T0, 28 * DAY, ONCE), parts=3)
+    return live.follower_view(spark, out)
+
+
+@query
+def interval_counts(spark, d):
+    """Hourly counts under a watermark of a day: rows of closed intervals are dropped and counted as such."""
+    out = _arriving(spark, _out_of_order(spark, d), lambda path, out: live.count_intervals_stream(
+        live.stream_executions(spark, path), out, f"{out}/offsets", DAY, HOUR, ONCE), parts=3)
+    return live.interval_counts(spark, out, DAY, HOUR)
+
+
+@query
+def intern_stream(spark, d):
+    """The dictionary after three batches."""
+    out = _arriving(spark, v.executions(spark, d).drop("thread"), lambda path, out: live.intern_stream(
+        live.stream_executions(spark, path), "func", out, f"{out}/offsets", ONCE), parts=3)
+    return live.dictionary_of(spark, out)
+
+
 @query
 def stall_monitor(spark, d):
     """Every row arrives at once, so each capture is seen to stall after one interval."""

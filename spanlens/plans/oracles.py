@@ -577,3 +577,21 @@ w AS (SELECT e.capture_id, count(*) AS total, max(stop) - arg_min(start, seq) AS
   (SELECT sum(total)::BIGINT FROM tg WHERE tg.capture_id = e.capture_id) AS gc_ns, """
      + SUMMARY.format("tracks", "hub", "app", "long_n", "blocked_n") + """
   FROM e JOIN m ON m.capture_id = e.capture_id JOIN tp ON tp.capture_id = e.capture_id GROUP BY e.capture_id)""")
+
+_PARTED = f"""ends_ AS (SELECT min(seq) AS lo, (max(seq) - min(seq)) // 3 + 1 AS width FROM e),
+parted AS (SELECT e.* REPLACE (CASE WHEN capture_id = 'cap-b' AND seq >= lo + 2 * width THEN start - {3 * DAY} ELSE start END
+  AS start), (seq - lo) // width AS batch FROM e, ends_),
+view AS (SELECT * FROM parted WHERE start < {28 * DAY} AND start + dur > {T0}),
+sent AS (SELECT DISTINCT capture_id, batch, min(start) OVER (PARTITION BY capture_id, batch) <= max(start) OVER (
+  PARTITION BY capture_id ORDER BY batch RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS back FROM view)"""
+_sql("stream_follow", """SELECT v.capture_id, v.seq, v.start, v.dur, v.gid, coalesce(back, true) AS whole, s.batch FROM sent s
+  JOIN view v ON v.capture_id = s.capture_id AND (v.batch = s.batch OR coalesce(back, true) AND v.batch < s.batch)""", _PARTED)
+_sql("follower_view", "SELECT capture_id, seq, start, dur, gid FROM view", _PARTED)
+_sql("interval_counts", f"""SELECT capture_id, start // {HOUR} AS interval, count(*) FILTER (NOT late) AS new_rows,
+  count(*) FILTER (late) AS dropped, any_value((start // {HOUR} + 1) * {HOUR} <= top - {DAY}) AS closed FROM (
+  SELECT *, max(start) OVER (PARTITION BY capture_id) AS top, coalesce((start // {HOUR} + 1) * {HOUR} <= max(start) OVER (
+  PARTITION BY capture_id ORDER BY batch RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - {DAY}, false) AS late
+  FROM parted) GROUP BY ALL""", _PARTED)
+_sql("intern_stream", "SELECT capture_id, id, value FROM pool", POOL)
+_sql("sketched_stats", f"""SELECT capture_id, count(*) AS rows, true AS p50_close, true AS p95_close, true AS p99_close,
+  true AS tracks_close FROM e WHERE NOT is_hub AND start >= {T0} AND start < {T1} GROUP BY ALL""")

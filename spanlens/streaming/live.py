@@ -10,10 +10,13 @@ an old folder is refused.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.predicates import is_hub
+from ..functions.arith import floor_div
+from ..functions.predicates import is_hub, overlaps
+from ..operators.ranges import RENDER_COLUMNS
 from ..operators.sequence import fold_switches
 from ..operators.slabs import Running, running
-from ..schema import BLOCKED_NS, CAPTURE, EXECUTIONS, LONG_NS, SEQ, SWITCHES
+from ..schema import BLOCKED_NS, CAPTURE, EXECUTIONS, LONG_NS, SEQ, STALL_INTERVAL_NS, SWITCHES
+from ..sources.captures import append_batches
 
 FLUSH_TRIGGER = {"processingTime": "10 seconds"}
 # Fixed value: a live reader gets a batch after about 2,048 events.
@@ -198,10 +201,114 @@ def mark_late_stream(stream: DataFrame, out: str, checkpoint: str, trigger=None,
     return _per_batch(stream, work, out, checkpoint, trigger)
 
 
-def interval_counts(stream: DataFrame, seconds: int = 5, late: str | None = None) -> DataFrame:
-    """Rows of each tumbling interval of start time; only a given watermark ``late`` ever drops one."""
-    at = stream.withColumn("at", F.timestamp_micros(F.call_function("div", F.col("start"), F.lit(1000))))
-    if late is not None:
-        at = at.withWatermark("at", late)
-    width = F.window("at", f"{seconds} seconds")
-    return at.groupBy(CAPTURE, width).agg(F.count(F.lit(1)).alias("new_rows"))
+_FRONT = "capture_id string, after_seq long, max_start long, reset long"
+
+
+def follow_stream(stream: DataFrame, out: str, checkpoint: str, t0: int, t1: int, trigger=None):
+    """Follow a window of every capture: new rows, or the whole window anew where order breaks.
+
+    A follower that draws rows in start order can't insert one before those it has drawn.  So where a batch starts at or
+    before the largest start already sent, its capture is sent whole, with ``whole`` set, and what was sent before is void;
+    a capture's first rows are whole, too.  The state is one row for each capture: last arrival, largest start, and the
+    batch it was last sent whole in.  What was sent since then (``follower_view``) is the capture's window, so nothing
+    but it is read again."""
+    def work(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        held = _state(spark, f"{out}/front", batch_id, _FRONT)
+        new = batch.filter(overlaps(t0, t1, end=F.col("start") + F.col("dur"))).select(*RENDER_COLUMNS)
+        seen = new.groupBy(CAPTURE).agg(
+            F.max(SEQ).alias("_seq"), F.max("start").alias("_start"), F.min("start").alias("_first"))
+        broken = F.col("after_seq").isNull() | (F.col("_first") <= F.col("max_start"))
+        both = seen.join(held, CAPTURE, "left").withColumn("whole", broken)
+        sent = new.join(both.select(CAPTURE, "whole"), CAPTURE)
+        if batch_id:
+            anew = both.filter(F.col("whole") & F.col("reset").isNotNull()).select(CAPTURE)
+            before = _sent_since(spark, out, held.join(anew, CAPTURE, "left_semi"), batch_id)
+            sent = sent.unionByName(before.withColumn("whole", F.lit(True)))
+        sent.write.mode("overwrite").parquet(f"{out}/rows/{BATCH}={batch_id}")
+        moved = both.select(CAPTURE, F.greatest("after_seq", "_seq").alias("after_seq"),
+                            F.greatest("max_start", "_start").alias("max_start"),
+                            F.when(F.col("whole"), batch_id).otherwise(F.col("reset")).cast("long").alias("reset"))
+        _save(held.join(moved, CAPTURE, "left_anti").unionByName(moved), f"{out}/front", batch_id)
+
+    return _per_batch(stream, work, out, checkpoint, trigger)
+
+
+def _sent_since(spark, out, front, before):
+    """Rows of the captures of ``front`` that were sent from their last whole batch on, and before batch ``before``."""
+    rows = spark.read.option("basePath", f"{out}/rows").parquet(f"{out}/rows").filter(F.col(BATCH) < before)
+    return rows.join(front.select(CAPTURE, "reset"), CAPTURE).filter(F.col(BATCH) >= F.col("reset")).select(*RENDER_COLUMNS)
+
+
+def follower_view(spark: SparkSession, out: str) -> DataFrame:
+    """What a follower has drawn now: each capture's window."""
+    return _sent_since(spark, out, latest(spark, f"{out}/front"), 1 << 62)
+
+
+def count_intervals_stream(stream: DataFrame, out: str, checkpoint: str, late_ns: int | None = None,
+                           width_ns: int = STALL_INTERVAL_NS, trigger=None):
+    """Rows of each tumbling interval of start time, under a watermark that the caller gives, or none.
+
+    A capture's watermark is its largest start in earlier batches less ``late_ns``.  Rows of an interval that ends at or before
+    it are not counted but reported as dropped; without ``late_ns`` every row counts.  Each batch writes its own part
+    of the counts, so state is one number for each capture."""
+    def work(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        held = _state(spark, f"{out}/high", batch_id, "capture_id string, high long")
+        interval = floor_div("start", width_ns)
+        rows = batch.select(CAPTURE, "start", interval.alias("interval")).join(held, CAPTURE, "left")
+        dropped = F.lit(False) if late_ns is None else F.coalesce(
+            (F.col("interval") + 1) * width_ns <= F.col("high") - late_ns, F.lit(False))
+        rows.groupBy(CAPTURE, "interval").agg(
+            F.count_if(~dropped).alias("new_rows"), F.count_if(dropped).alias("dropped"),
+        ).write.mode("overwrite").parquet(f"{out}/counts/{BATCH}={batch_id}")
+        tops = batch.groupBy(CAPTURE).agg(F.max("start").alias("high")).unionByName(held)
+        _save(tops.groupBy(CAPTURE).agg(F.max("high").alias("high")), f"{out}/high", batch_id)
+
+    return _per_batch(stream, work, out, checkpoint, trigger)
+
+
+def interval_counts(spark: SparkSession, out: str, late_ns: int | None = None,
+                    width_ns: int = STALL_INTERVAL_NS) -> DataFrame:
+    """Rows counted and dropped in each interval so far, and whether the watermark has closed it."""
+    parts = spark.read.parquet(f"{out}/counts").groupBy(CAPTURE, "interval").agg(
+        F.sum("new_rows").alias("new_rows"), F.sum("dropped").alias("dropped"))
+    closed = F.lit(False) if late_ns is None else (F.col("interval") + 1) * width_ns <= F.col("high") - late_ns
+    return parts.join(latest(spark, f"{out}/high"), CAPTURE).select(CAPTURE, "interval", "new_rows", "dropped", closed.alias("closed"))
+
+
+_POOL = "capture_id string, id long, value string"
+
+
+def intern_stream(stream: DataFrame, value: str, out: str, checkpoint: str, trigger=None, **slabs):
+    """A dictionary that grows batch by batch: ids never change, and new texts get the next ones in order of first sight.
+
+    Each batch appends its new texts to the pool; the state is the largest id of each capture."""
+    def work(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        tops = _state(spark, f"{out}/top", batch_id, "capture_id string, top long")
+        seen = batch.select(CAPTURE, SEQ, F.col(value).alias("value")).filter(F.col("value") != "").groupBy(
+            CAPTURE, "value").agg(F.min(SEQ).alias(SEQ))
+        if batch_id:
+            seen = seen.join(interned(spark, out, batch_id), [CAPTURE, "value"], "left_anti")
+        counted = running(seen, [CAPTURE], [SEQ], [Running("_n", F.lit(1), "sum", inclusive=True)], **slabs)
+        new = counted.join(tops, CAPTURE, "left").select(
+            CAPTURE, (F.coalesce("top", F.lit(0)) + F.col("_n")).cast("long").alias("id"), "value")
+        new.write.mode("overwrite").parquet(f"{out}/pool/{BATCH}={batch_id}")
+        added = spark.read.schema(_POOL).parquet(f"{out}/pool/{BATCH}={batch_id}").groupBy(CAPTURE).agg(F.max("id").alias("top"))
+        every = batch.select(CAPTURE).distinct().withColumn("top", F.lit(0).cast("long"))
+        _save(append_batches(added, tops, every).groupBy(CAPTURE).agg(F.max("top").alias("top")), f"{out}/top", batch_id)
+
+    return _per_batch(stream, work, out, checkpoint, trigger)
+
+
+def interned(spark: SparkSession, out: str, before: int | None = None) -> DataFrame:
+    """The pool of all batches, or of those before one, without the empty text."""
+    pool = spark.read.schema(f"{_POOL}, {BATCH} long").parquet(f"{out}/pool")
+    return (pool if before is None else pool.filter(F.col(BATCH) < before)).drop(BATCH)
+
+
+def dictionary_of(spark: SparkSession, out: str) -> DataFrame:
+    """The dictionary as ``intern_dictionary`` gives it: with id 0 for the empty text of every capture seen."""
+    empty = latest(spark, f"{out}/top").select(CAPTURE, F.lit(0).cast("long").alias("id"), F.lit("").alias("value"))
+    return interned(spark, out).unionByName(empty)
