@@ -15,7 +15,6 @@ from ..functions.arith import floor_div, int_div, shift_left, shift_right
 from ..schema import CAPTURE, SEQ
 
 SLAB_ROWS = 1 << 18
-TIME_SLAB_ROWS = 1 << 20
 SLAB = "_slab"
 
 
@@ -144,39 +143,6 @@ def slice_by_arrival(df: DataFrame, lower, upper, facts: DataFrame | None = None
     )
 
 
-# Widths of the time slabs as powers of two in ns (18 minutes, 1.07 s, 1.05 ms).
-_COARSE, _MIDDLE, _FINE = 40, 30, 20
-
-
-def time_slab(df: DataFrame, by, ts: str, rows: int = TIME_SLAB_ROWS) -> DataFrame:
-    """Add a time slab column: a key with up to ``rows`` rows is one slab, a larger one is cut into 18-minute
-    slabs, and those are cut to 1 s and then to 1 ms where they are crowded in turn.
-
-    With at most a few rows for each (key, ns) a slab holds about ``rows`` rows at any density, for the finest
-    one spans 2^20 ns.  Crowded keys and slabs number at most one for each ``rows`` rows; whether they are
-    broadcast is left to Spark, which checks their size.
-    """
-    by = list(by)
-    count = F.count(F.lit(1)).alias("_n")
-    hot = lambda counts, keys, flag: counts.filter(F.col("_n") > rows).select(
-        *keys, F.lit(True).alias(flag)
-    )
-    # One count by (key, 1 s), from which the coarser ones follow: Spark computes it once for all three.
-    per_middle = df.groupBy(*by, shift_right(ts, _MIDDLE).alias("_mid")).agg(count)
-    total = F.sum("_n").alias("_n")
-    per_coarse = per_middle.groupBy(*by, shift_right("_mid", _COARSE - _MIDDLE).alias("_top")).agg(total)
-    crowded_keys = hot(per_middle.groupBy(*by).agg(total), by, "_hot_k")
-    bits = F.when(F.col("_hot_m"), _FINE).when(F.col("_hot_c"), _MIDDLE).otherwise(_COARSE)
-    return (
-        df.withColumns({"_mid": shift_right(ts, _MIDDLE), "_top": shift_right(ts, _COARSE)})
-        .join(crowded_keys, by, "left")
-        .join(hot(per_coarse, [*by, "_top"], "_hot_c"), [*by, "_top"], "left")
-        .join(hot(per_middle, [*by, "_mid"], "_hot_m"), [*by, "_mid"], "left")
-        .withColumn(SLAB, F.when(F.col("_hot_k"), shift_left(shift_right(ts, bits), bits)).otherwise(0))
-        .select(*df.columns, SLAB)
-    )
-
-
 def top_n(df: DataFrame, order, n: int, by=(CAPTURE,), spread: str | None = SEQ, salts: int = 64):
     """The first ``n`` rows of each group along ``order``, with their 1-based ``rank``.
 

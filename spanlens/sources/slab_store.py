@@ -22,7 +22,7 @@ STORE_ROWS = 1 << 22
 SLAB = "slab"
 INDEX = (
     "capture_id string, slab long, rows long, min_seq long, max_seq long, min_start long, max_start long, min_end long, "
-    "max_end long, ordered boolean"
+    "max_end long, last_end long, ordered boolean"
 )
 
 
@@ -38,7 +38,7 @@ def append_store(df: DataFrame, path: str, rows: int = STORE_ROWS) -> None:
     facts = cut.withColumn("_high", F.max("end").over(earlier)).groupBy(CAPTURE, SLAB).agg(
         F.count(F.lit(1)).alias("rows"), F.min(SEQ).alias("min_seq"), F.max(SEQ).alias("max_seq"),
         F.min("start").alias("min_start"), F.max("start").alias("max_start"), F.min("end").alias("min_end"),
-        F.max("end").alias("max_end"), F.bool_and(F.coalesce(F.col("start") >= F.col("_high"), F.lit(True))).alias("ordered"))
+        F.max("end").alias("max_end"), F.max_by("end", SEQ).alias("last_end"), F.bool_and(F.coalesce(F.col("start") >= F.col("_high"), F.lit(True))).alias("ordered"))
     facts.coalesce(1).write.mode("append").parquet(f"{path}/index")
 
 
@@ -62,6 +62,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     slabs = parts.withColumns({"_high": high, "_ok": ok}).groupBy(CAPTURE, SLAB).agg(
         F.sum("rows").alias("rows"), *[F.min(c).alias(c) for c in ("min_seq", "min_start", "min_end")],
         *[F.max(c).alias(c) for c in ("max_seq", "max_start", "max_end")], F.min("_high").alias("max_end_before"),
+        F.max_by("last_end", "max_seq").alias("last_end"),
         F.bool_and("_ok").alias("in_order"))
     along = Window.partitionBy(CAPTURE).orderBy(SLAB).rowsBetween(Window.unboundedPreceding, -1)
     held = F.lit(True)
@@ -141,10 +142,8 @@ def stored_recent(rows: DataFrame, index: DataFrame, window_ns: int) -> DataFram
     """The rows that can count in the last ``window_ns`` of their own capture, whenever it ended: slabs whose rows have all
     ended before are not read.  ``cpu_busy`` and ``recent_activity`` take them in place of all rows."""
     last = Window.partitionBy(CAPTURE)
-    newest = F.max("max_seq").over(last)
-    # "Now" is the end of the last arrival; no end in its slab is later than the slab's largest.
-    now = F.min(F.when(F.col("max_seq") == F.col("_newest"), F.col("min_end"))).over(last)
-    near = index.filter("held").withColumn("_newest", newest).withColumn("_now", now).filter(
+    newest, now = F.max("max_seq").over(last), F.max_by("last_end", "max_seq").over(last)
+    near = index.filter("held").withColumns({"_newest": newest, "_now": now}).filter(
         (F.col("max_end") >= F.col("_now") - window_ns) | (F.col("max_seq") == F.col("_newest")))
     return _of(rows, near.select(CAPTURE, SLAB)).drop(SLAB)
 

@@ -70,29 +70,6 @@ def test_windows(spark):
         assert {r["count"] for r in kept.groupBy("capture_id").count().collect()} == {keep}
 
 
-def test_asof_with_crowded_slabs(spark):
-    p = v.probes(spark, SF)
-    held = mat.hold_asof(p.select("capture_id", "probe_id", "t"), v.sys_samples(spark, SF),
-                         ["lag_ms_s", "cpu_ms_s"], slab_rows=2)
-    check(held, "hold_asof")
-    near = mat.detail_nearest(p, v.executions(spark, SF), slab_rows=2)
-    check(near, "detail_nearest")
-
-
-def test_time_slabs_split_where_crowded(spark):
-    rows = spark.range(4000).select(
-        F.lit("a").alias("capture_id"),
-        F.when(F.col("id") < 3000, F.col("id") * 1000 - 5_000_000).otherwise(F.shiftleft("id", 35)).alias("ts"),
-    )
-    out = slabs.time_slab(rows, ["capture_id"], "ts", 200)
-    assert out.count() == 4000
-    sizes = out.groupBy(slabs.SLAB).count()
-    # 3 ms of dense rows need the finest slabs, the rest stays in coarse ones.
-    assert sizes.agg(F.max("count")).first()[0] <= 1100
-    ordered = out.groupBy(slabs.SLAB).agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).orderBy("lo").collect()
-    assert all(a["hi"] < b["lo"] for a, b in zip(ordered, ordered[1:]))
-
-
 @pytest.mark.parametrize("slab", [1, 4, 1 << 16])
 def test_bins(spark, monkeypatch, slab):
     monkeypatch.setattr(ser, "BIN_SLAB", slab)
