@@ -10,7 +10,7 @@ from ..storage import stored
 
 #: ASCII white space, between words: space and \t \n \v \f \r, as a regular expression.
 SPACE = r"[\x20\x09-\x0D]"
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+BATCH_ROWS, BATCH_BYTES, PART_ROWS = 2000, 8 << 20, 400
 
 
 def whole(text) -> Column:
@@ -32,6 +32,11 @@ def map_arrow(df: DataFrame, step: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(step, schema)
 
 
+def parts(batches, rows: int = PART_ROWS):
+    """Batches a few hundred texts long, for what holds their words and tokens several times over."""
+    return (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
+
+
 def names_apart(df: DataFrame, *wanted: str) -> list[str]:
     """Helper column names that no column of ``df`` has, in any case."""
     taken = {c.lower() for c in df.columns}
@@ -45,13 +50,13 @@ def names_apart(df: DataFrame, *wanted: str) -> list[str]:
 
 
 #: Bits of the arrays that rows are parted by before a join; with more keys than half of them they spare little.
-PART_BITS = 1 << 24
+PART_BITS = 1 << 23
 
 
 def may_hold(wanted: DataFrame, key: str, bits: int = PART_BITS) -> Column:
     """A condition on rows with a column ``key``: true where ``wanted`` has it, and rarely where it doesn't.
 
-    The keys of ``wanted`` set bits by their hash in an array of fixed size (2 MB), which reaches the scan as a scalar
+    The keys of ``wanted`` set bits by their hash in an array of fixed size (1 MB), which reaches the scan as a scalar
     subquery, so rows are told apart where they are read.
     """
     place = F.pmod(F.xxhash64(key), F.lit(bits))

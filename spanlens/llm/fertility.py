@@ -19,14 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, names_apart, whole
+from .common import map_arrow, names_apart, parts, whole
 from .pieces import Vocabulary, model_path, pre_tokens
 
 MIN_WORDS, REPEATED_PERCENT, WINDOW = 20, 30, 8
 #: Distinct pre-tokens that a Python worker keeps the ids of, and how long they may be.
 CACHE, CACHE_CHARS = 100_000, 64
-#: Texts measured at a time: their tokens are held as numbers, several times over.
-TEXTS = 500
 _WORD = re.compile("[^ \t-\r]+")
 _SYMBOL = re.compile("[#*$%&|<>]")
 _DIGIT = re.compile("[0-9]")
@@ -200,10 +198,6 @@ def _measured(texts: list[str], langs: list, path: str, bands: dict, scripts: di
     return [pa.array(c) for c in columns]
 
 
-def _parts(batches):
-    return (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS))
-
-
 def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang",
             model: str | None = None, bands: dict | None = None, scripts: dict | None = None) -> DataFrame:
     """One row for each row of ``df``: its id, the counts, the measures, ``base_failed`` and ``kept``."""
@@ -213,7 +207,7 @@ def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     names = ["id", *[x.split()[0] for x in _MEASURES.split(", ")]]
 
     def step(batches):
-        for part in _parts(batches):
+        for part in parts(batches):
             columns = _measured(part.column(1).to_pylist(), part.column(2).to_pylist(), path, bands, scripts)
             yield pa.record_batch([part.column(0), *columns], names)
 
@@ -230,7 +224,7 @@ def keep_good(df: DataFrame, text_col: str = "text", lang_col: str | None = "lan
     source = df.withColumns({text: whole(text_col), lang: given})
 
     def step(batches):
-        for part in _parts(batches):
+        for part in parts(batches):
             texts, langs = part.column(part.num_columns - 2), part.column(part.num_columns - 1)
             kept = _measured(texts.to_pylist(), langs.to_pylist(), path, bands, scripts)[-1]
             yield part.select(range(part.num_columns - 2)).filter(kept)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, whole
+from .common import map_arrow, parts, whole
 from .pieces import Vocabulary, model_path, pre_tokens
 
 SIZES = (1024, 2048, 4096, 8192)
@@ -104,7 +104,7 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             ids, pieces, number = [], [], number + 1
             return out
 
-        for batch in batches:
+        for batch in parts(batches):
             kind = batch.column(0).type
             for doc, n in zip(batch.column(0).to_pylist(), token_lengths(batch.column(1).to_pylist(), path)):
                 total = n + end_tokens
