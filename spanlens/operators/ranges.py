@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 from ..functions.arith import int_div
 from ..functions.predicates import overlaps, start_in
 from ..schema import CAPTURE, DETAIL_SLACK_NS, SEQ
+from .matching import interval_join
 from .sequence import sortedness
 from .slabs import slice_by_arrival
+from .sweep import nearest_facts
 
 RENDER_COLUMNS = (CAPTURE, SEQ, "start", "dur", "gid")
 
@@ -128,3 +130,26 @@ def samples_range(samples: DataFrame, t0: int, t1: int) -> DataFrame:
     beyond = samples.filter((F.col("start") < t0) | (F.col("start") > t1))
     return samples.filter(F.col("start").between(t0, t1)).unionByName(
         beyond.join(outer, [CAPTURE, SEQ, "start"], "left_semi").select(*samples.columns))
+
+
+def samples_ranges(samples: DataFrame, ranges: DataFrame) -> DataFrame:
+    """``samples_range`` for a table of ranges (``probe_id``, ``t0``, ``t1``) of at least no length: of each its samples and one
+    more on either side.
+
+    The outer samples are those before and after a point at either edge, found in one sweep; the inner ones are an interval
+    join of points.  A sample that starts at an edge is inside."""
+    times = F.explode(F.array(F.struct((F.col("t0") - 1).alias("t"), F.lit("left").alias("_edge")),
+                              F.struct(F.col("t1").alias("t"), F.lit("right").alias("_edge"))))
+    asked = ranges.select(CAPTURE, "probe_id", times.alias("_at")).select(CAPTURE, "probe_id", "_at.t", "_at._edge")
+    facts = samples.select(CAPTURE, F.col("start").alias("t"), SEQ)
+    # Of samples at one time the last is before an edge and the first is after it.
+    left = nearest_facts(asked.filter("_edge = 'left'"), facts, [CAPTURE], "t", [SEQ], SEQ).select(
+        CAPTURE, "probe_id", F.col(f"before_{SEQ}").alias(SEQ))
+    right = nearest_facts(asked.filter("_edge = 'right'"), facts, [CAPTURE], "t", [SEQ], SEQ, True, True).select(
+        CAPTURE, "probe_id", F.col(f"after_{SEQ}").alias(SEQ))
+    # As spans of two units around the doubled time, samples on an edge overlap it.
+    points = samples.select(CAPTURE, SEQ, F.lit(0).cast("long").alias("gid"), (F.col("start") * 2 - 1).alias("start"),
+                            F.lit(2).cast("long").alias("dur"))
+    inner = interval_join(ranges.select(CAPTURE, "probe_id", (F.col("t0") * 2).alias("t0"), (F.col("t1") * 2).alias("t1")), points)
+    found = inner.select(CAPTURE, "probe_id", SEQ).unionByName(left).unionByName(right).filter(F.col(SEQ).isNotNull())
+    return found.join(samples, [CAPTURE, SEQ]).select("probe_id", *samples.columns)

@@ -313,6 +313,21 @@ def interval_join(spark, d):
     )
 
 
+@query
+def interval_join_capped(spark, d):
+    """At most 20 spans of each viewport: the middle ones where a capture is in order, and the first where it is not."""
+    few = mat.interval_join_capped(v.viewports(spark, d), v.executions(spark, d), 20, slab_rows=256)
+    many = mat.interval_join_capped(v.viewports(spark, d), v.executions_dense(spark, d), 20, slab_rows=256)
+    both = few.withColumn("case", F.lit("plain")).unionByName(many.withColumn("case", F.lit("dense")))
+    return both.select(CAPTURE, "probe_id", SEQ, "start", "dur", "capped", "case")
+
+
+@query
+def samples_ranges(spark, d):
+    """The samples of every viewport and one more on either side."""
+    return rng.samples_ranges(v.sys_samples(spark, d), v.viewports(spark, d))
+
+
 @query
 def gc_window(spark, d):
     return rng.gc_window(v.gc_events(spark, d), T0, T1)

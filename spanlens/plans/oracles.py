@@ -117,6 +117,18 @@ _sql("stored_recent_activity", f"""SELECT capture_id, gid, CAST(sum(least(stop,
   HAVING sum(least(stop, now) - greatest(start, now - {10 * HOUR})) > 0""")
 _sql("interval_join", """SELECT v.capture_id, probe_id, seq, start, dur FROM viewports v JOIN dense s
   ON v.capture_id = s.capture_id AND s.start < v.t1 AND s.stop > v.t0""")
+_sql("interval_join_capped", """SELECT r.capture_id, probe_id, seq, start, dur, n > 20 AS capped, c AS "case"
+  FROM r JOIN o USING (capture_id, c)
+  WHERE i >= CASE WHEN ok AND n > 20 THEN (n - 20) // 2 ELSE 0 END AND i < 20 + CASE WHEN ok AND n > 20 THEN (n - 20) // 2 ELSE 0 END""",
+     """r AS (SELECT *, row_number() OVER (PARTITION BY c, probe_id ORDER BY seq) - 1 AS i,
+  count(*) OVER (PARTITION BY c, probe_id) AS n FROM (SELECT c, v.capture_id, v.probe_id, s.seq, s.start, s.dur FROM viewports v
+  JOIN (SELECT 'plain' AS c, * FROM e UNION ALL SELECT 'dense', * FROM dense) s
+  ON v.capture_id = s.capture_id AND s.start < v.t1 AND s.stop > v.t0))""", SORTED,
+     "o AS (SELECT capture_id, CASE c WHEN 'whole' THEN 'plain' ELSE c END AS c, ok FROM orders WHERE c <> 'capped')")
+_sql("samples_ranges", """SELECT v.probe_id, s.* FROM viewports v JOIN samples s USING (capture_id)
+  WHERE s.start BETWEEN v.t0 AND v.t1
+    OR s.seq = (SELECT arg_max(x.seq, (x.start, x.seq)) FROM samples x WHERE x.capture_id = v.capture_id AND x.start < v.t0)
+    OR s.seq = (SELECT arg_min(x.seq, (x.start, x.seq)) FROM samples x WHERE x.capture_id = v.capture_id AND x.start > v.t1)""")
 _rows("gc_window", "start, dur, generation, collected", "gc", f"WHERE start < {T1} AND start + dur > {T0}")
 _rows("gc_tail", "start, dur, generation, collected", "gc", f"WHERE start > {T0} AND start < {T1}")
 _TAIL = f"start > {T0} AND start < {T1}"
