@@ -10,7 +10,8 @@
    frequencies; sums for each document are all that is shuffled after it.
 
 Memory is bounded by a chunk's text (a batch of BATCH_BYTES, or one longer document) on one side and by ``RUN`` rows of
-a bucket on the other; a bucket with more rows counts a pre-token once for each run.
+a bucket on the other.  A pre-token has one bucket, which keeps its count; one of more than ``COUNTED`` distinct pre-tokens
+starts anew there, which changes the cost only.
 
 Defined cases: null and empty texts have no bytes and no tokens; documents with a null or repeated id get a row each;
 an empty table gives an empty result.
@@ -31,8 +32,8 @@ from .pieces import Vocabulary, model_path, pre_tokens
 HEAD, HEAD_CHARS = 1 << 16, 64
 #: Frequent pre-tokens that one task reports; its counters hold eight times as many at most.
 TASK_HEAD = 1 << 14
-#: Rows of a bucket held at once.
-RUN = 64
+#: Rows of a bucket held at once, and distinct pre-tokens of it whose counts are kept from run to run (about 100 MB).
+RUN, COUNTED = 64, 500_000
 LIMIT = 4096
 
 
@@ -121,8 +122,7 @@ def _sums(rows: DataFrame, path: str) -> DataFrame:
     """(key, n_bytes, n, id): parts of the documents' sums."""
     out = ["key", "n_bytes", "n", "id"]
 
-    def joined(run, id_type):
-        vocabulary = Vocabulary.at(path)
+    def joined(run, id_type, costs):
         words = []
         for r in run:
             at = 0
@@ -130,7 +130,9 @@ def _sums(rows: DataFrame, path: str) -> DataFrame:
                 words.append(r["words"][at:at + size])
                 at += size
         codes, names = pd.factorize(np.array(words, object))
-        cost = np.array([len(ids) for ids in vocabulary.encode(names.tolist())], np.int64)[codes]
+        new = [w for w in names if w not in costs]
+        costs.update(zip(new, map(len, Vocabulary.at(path).encode(new))))
+        cost = np.array([costs[w] for w in names], np.int64)[codes]
         keys, sums, begin = [], [], 0
         for r in run:
             in_docs, docs, times = (_unpacked(r[k]) for k in ("in_docs", "docs", "times"))
@@ -144,19 +146,21 @@ def _sums(rows: DataFrame, path: str) -> DataFrame:
             [pa.array(keys), pa.nulls(len(keys), pa.int64()), pa.array(sums), pa.nulls(len(keys), id_type)], out)
 
     def step(batches):
-        run, bucket = [], None
+        run, bucket, costs = [], None, {}
         for batch in batches:
             whole_docs = batch.filter(pc.is_valid(batch.column(3)))
             if whole_docs.num_rows:
                 yield pa.record_batch([whole_docs.column(i) for i in (1, 2, 3, 9)], out)
             for r in batch.filter(pc.is_valid(batch.column(4))).to_pylist():
                 if run and (r["bucket"] != bucket or len(run) >= RUN):
-                    yield joined(run, batch.column(9).type)
+                    yield joined(run, batch.column(9).type, costs)
                     run = []
+                if r["bucket"] != bucket or len(costs) > COUNTED:
+                    costs.clear()
                 bucket = r["bucket"]
                 run.append(r)
         if run:
-            yield joined(run, batch.column(9).type)
+            yield joined(run, batch.column(9).type, costs)
 
     return map_arrow(rows.repartition("bucket").sortWithinPartitions("bucket", "key"), step,
                      f"key long, n_bytes long, n long, id {rows.schema['id'].dataType.simpleString()}")
