@@ -233,3 +233,38 @@ def test_interval_counts_report_what_they_drop(spark, tmp_path):
         live.count_intervals_stream(live.stream_executions(spark, src), out, ck, 20 * MS, 10 * MS, ONCE).awaitTermination()
     got = {r.interval: (r.new_rows, r.dropped, r.closed) for r in live.interval_counts(spark, out, 20 * MS, 10 * MS).collect()}
     assert got == {0: (1, 1, True), 9: (2, 0, True), 12: (1, 0, False)}
+
+
+@pytest.mark.parametrize("keep, slab", [("first", 1), ("middle", 8), ("by_order", 64)])
+def test_capped_ranges_by_brute_force(spark, keep, slab):
+    """Ranges of no length, spans of no length, spans on both edges, and captures in order or not."""
+    r = random.Random(slab)
+    rows = [(1, r.randrange(100), r.choice([0, 0, 1, 10, 60])) for _ in range(150)]
+    asked = [("c", i, t * MS, (t + r.choice([0, 0, 1, 30, 200])) * MS) for i, t in enumerate(r.choices(range(-5, 120), k=60))]
+    probes = spark.createDataFrame(asked + [("c", 99, 5, 4)], "capture_id string, probe_id long, t0 long, t1 long")
+    got = {}
+    for x in mat.interval_join_capped(probes, spans(spark, rows), 6, keep, slab_rows=slab).collect():
+        got.setdefault(x.probe_id, []).append((x.seq, x.capped))
+    for _, i, t0, t1 in asked:
+        hits = [k for k, (_, s, d) in enumerate(rows) if s * MS < t1 and (s + d) * MS > t0]
+        low = (len(hits) - 6) // 2 if keep == "middle" and len(hits) > 6 else 0
+        assert sorted(got.get(i, [])) == [(k, len(hits) > 6) for k in hits[low:low + 6]]
+    assert 99 not in got
+
+
+def test_samples_of_ranges(spark):
+    r = random.Random(2)
+    times = sorted(r.choices(range(0, 60), k=40))
+    samples = spark.createDataFrame([("c", i, t, 0.0, 1.0) for i, t in enumerate(times)],
+                                    "capture_id string, seq long, start long, lag_ms_s double, cpu_ms_s double")
+    asked = [("c", i, t, t + r.choice([0, 1, 10, 80])) for i, t in enumerate(r.choices(range(-10, 80), k=40))]
+    ranges = spark.createDataFrame(asked, "capture_id string, probe_id long, t0 long, t1 long")
+    got = {}
+    for x in rng.samples_ranges(samples, ranges).collect():
+        got.setdefault(x.probe_id, []).append(x.seq)
+    for _, i, t0, t1 in asked:
+        want = sorted(x.seq for x in rng.samples_range(samples, t0, t1).collect()) if i < 3 else None
+        left = [k for k, t in enumerate(times) if t < t0][-1:]
+        right = [k for k, t in enumerate(times) if t > t1][:1]
+        inner = [k for k, t in enumerate(times) if t0 <= t <= t1]
+        assert sorted(got.get(i, [])) == sorted(left + inner + right) and want in (None, sorted(got.get(i, [])))
