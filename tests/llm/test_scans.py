@@ -235,3 +235,71 @@ def test_quality_classifier_on_odd_rows(spark):
     assert weak_labels.quality_scores(df).count() == len(held + more)
     assert weak_labels.quality_scores(df, sample=3).count() == len(held + more)
     assert weak_labels.quality_scores(cases.table(spark, [])).count() == 0
+
+
+def plain_estimate(counts, rounds=weak_labels.ROUNDS):
+    """Expectation-maximisation text by text in plain loops."""
+    from math import exp, log
+
+    texts = [p for p, n in counts.items() for _ in range(n)]
+    good = {p: 1 / (1 + exp(4 * p.count("-") - p.count("+"))) for p in counts}
+    for _ in range(rounds):
+        share = (sum(good[p] for p in texts) + 1) / (len(texts) + 2)
+        told = {}
+        for j in range(len(texts[0])):
+            for y in (0, 1):
+                told[y, j] = {"-": (1.5, 0.5)[y], ".": 1.0, "+": (0.5, 1.5)[y]}
+                for p in texts:
+                    told[y, j][p[j]] += good[p] if y else 1 - good[p]
+        new = {}
+        for p in counts:
+            at = [log((1 - share, share)[y]) + sum(log(told[y, j][c] / sum(told[y, j].values())) for j, c in enumerate(p)) for y in (0, 1)]
+            new[p] = 1 / (1 + exp(min(max(at[0] - at[1], -500), 500)))
+        moved = max(abs(new[p] - good[p]) for p in counts)
+        good = new
+        if moved < 1e-9:
+            break
+    return good
+
+
+def plain_scores(texts):
+    """Votes, labels and scores of every text from a dense matrix of features."""
+    import itertools
+
+    import numpy as np
+    import xxhash
+
+    words = [re.findall("[^ \t-\r]+", t) for t in texts]
+    votes = [weak_labels.votes(t) for t in texts]
+    label = plain_estimate(Counter(votes))
+
+    def shape(word):
+        kinds = ["0" if c in "0123456789" else "a" if "a" <= c <= "z" or c > "\x7f" and c.isalpha() and not c.isupper() else
+                 "A" if "A" <= c <= "Z" or c > "\x7f" and c.isupper() else c for c in word]
+        return "".join(k for k, _ in itertools.groupby(kinds))
+
+    x = np.zeros((len(texts), weak_labels.BUCKETS))
+    for i, own in enumerate(words):
+        for names in (["w" + w.lower() for w in own], ["s" + shape(w) for w in own]):
+            part = np.zeros(weak_labels.BUCKETS)
+            for name in names:
+                part[xxhash.xxh64_intdigest(name) % weak_labels.BUCKETS] += 1
+            part = np.sqrt(part)
+            x[i] += part / max(np.sqrt((part ** 2).sum()), 1)
+    y, w, bias, speed, lift = np.array([label[v] for v in votes]), np.zeros(x.shape[1]), 0.0, 0.0, 0.0
+    for _ in range(weak_labels.EPOCHS):
+        miss = (1 / (1 + np.exp(-np.clip(x @ w + bias, -30, 30))) - y) / len(texts)
+        speed = 0.9 * speed - weak_labels.RATE * (x.T @ miss + weak_labels.PENALTY * w)
+        lift = 0.9 * lift - weak_labels.RATE * miss.sum()
+        w, bias = w + speed, bias + lift
+    return votes, y, 1 / (1 + np.exp(-(x @ w + bias)))
+
+
+def test_quality_classifier_by_brute_force(spark):
+    texts = [r[1] or "" for r in cases.rows(12, 40) if len(r[1] or "") < 30_000 and (r[1] or "").isascii()]
+    texts += ["Word*** " * 60, "A " + "x" * 64 + "***### of it. " * 9, "UPPER CASE LINE\n" * 30, "One fine day. It was good.\n" * 3]
+    df = cases.table(spark, [(i, t, *[None] * 6) for i, t in enumerate(texts)])
+    got = {r.doc_id: r for r in weak_labels.quality_scores(df).collect()}
+    votes, label, score = plain_scores(texts)
+    for i in range(len(texts)):
+        assert got[i].votes == votes[i] and abs(got[i].label - label[i]) < 1e-6 and abs(got[i].score - score[i]) < 1e-3, texts[i][:60]
