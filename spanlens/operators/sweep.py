@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..storage import stored
 
 _KIND, _TIE, _PART = "_kind", "_tie", "_part"
-_FACT, _POINT, _EDGE = 0, 1, 2
+_FACT, _POINT, _EDGE, _HEAD = 0, 1, 2, 4
 
 
 def _changes(columns: list[pa.Array], n: int) -> np.ndarray:
@@ -28,10 +28,15 @@ def _changes(columns: list[pa.Array], n: int) -> np.ndarray:
     return new
 
 
-def _filler(keys: list[str], facts: dict[str, str], backward: bool, edge: int):
+def _filler(keys: list[str], facts: dict[str, str], edge: int, head: int):
     """Fill ``facts`` (column -> filled column) from the last fact of the same key, along the rows' order.
 
-    Each partition ends with a copy of its last row, of kind ``edge``: what it hands on."""
+    Each partition adds a copy of its first row, of kind ``head``: what it may lack, and one of its last row, of kind
+    ``edge``: what it hands on."""
+
+    def marked(row, kind):
+        return pa.record_batch([pa.array([kind], pa.int32()) if name == _KIND else row.column(i)
+                                for i, name in enumerate(row.schema.names)], row.schema)
 
     def step(batches):
         last, part = None, TaskContext.get().partitionId()
@@ -58,14 +63,12 @@ def _filler(keys: list[str], facts: dict[str, str], backward: bool, edge: int):
                 column[filled] = own.take(source)
             column[_PART] = pa.array(np.full(n, part), pa.int32())
             out = pa.record_batch(list(column.values()), table.schema)
+            if last is None:
+                yield marked(out.slice(0, 1), head)
             last = out.slice(n - 1, 1)
-            skip = n - batch.num_rows
-            # Other edges pass through unchanged; facts are needed no more after the last sweep.
-            yield out.slice(skip)
+            yield out.slice(n - batch.num_rows)
         if last is not None:
-            columns = [pa.array([edge], pa.int32()) if name == _KIND else last.column(i)
-                       for i, name in enumerate(last.schema.names)]
-            yield pa.record_batch(columns, last.schema)
+            yield marked(last, edge)
 
     return step
 
@@ -97,19 +100,20 @@ def nearest_facts(points: DataFrame, facts: DataFrame, by, ts: str, keep, tie: s
         along = (lambda c: F.col(c).desc()) if side == "after" else F.col
         ties = F.col(_TIE).desc() if first_of_ties else F.col(_TIE).asc()
         line = line.sortWithinPartitions(*[along(c) for c in by], along(ts), along(_KIND), ties)
-        line = line.mapInArrow(_filler(by, {f"_f_{c}": f"{side}_{c}" for c in columns}, side == "after",
-                                       _EDGE + sides.index(side)), line.schema)
+        line = line.mapInArrow(_filler(by, {f"_f_{c}": f"{side}_{c}" for c in columns}, _EDGE + sides.index(side),
+                                       _HEAD + sides.index(side)), line.schema)
     swept = stored(line.filter(F.col(_KIND) != _FACT).drop(*[f"_f_{c}" for c in columns], _TIE), "swept")
     out = swept.filter(F.col(_KIND) == _POINT)
     for k, side in enumerate(sides):
         names = [f"{side}_{c}" for c in columns]
         step = 1 if side == "before" else -1
-        # One row for each partition: what it hands to the next one, itself handed on where all of its rows have one key.
-        order = Window.partitionBy(*by).orderBy(F.col(_PART) * step)
-        edges = swept.filter(F.col(_KIND) == _EDGE + k)
-        handed = edges.select(*by, *[F.last(c, True).over(order).alias(f"_h_{c}") for c in names],
-                              F.lead(_PART).over(Window.orderBy(F.col(_PART) * step)).alias(_PART))
-        out = out.join(F.broadcast(handed.filter(F.col(_PART).isNotNull())), [*by, _PART], "left")
+        # One row for each partition: what its first key has from the last one before it that holds a fact of this key.
+        order = Window.partitionBy(*by).orderBy(F.col(_PART) * step, F.col(_KIND).desc())
+        ends = swept.filter(F.col(_KIND).isin(_EDGE + k, _HEAD + k))
+        known = lambda c: F.when(F.col(_KIND) == _EDGE + k, F.col(c))
+        handed = ends.select(*by, _PART, _KIND, *[F.last(known(c), True).over(order).alias(f"_h_{c}") for c in names])
+        handed = handed.filter(F.col(_KIND) == _HEAD + k).drop(_KIND)
+        out = out.join(F.broadcast(handed), [*by, _PART], "left")
         lacks = F.col(f"{side}_{ts}").isNull()
         out = out.withColumns({c: F.when(lacks, F.col(f"_h_{c}")).otherwise(F.col(c)) for c in names}).drop(
             *[f"_h_{c}" for c in names])
