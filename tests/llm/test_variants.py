@@ -72,7 +72,7 @@ def test_search_empty(spark):
     asked = spark.createDataFrame([(1, "a b")], "item_id long, text string")
     none = table(spark, [])
     assert ranked_search.search(ranked_search.build_index(none), asked).count() == 0
-    assert ranked_search.search(ranked_search.build_index(table(spark, rows(3, 5))), asked.limit(0)).count() == 0
+    assert ranked_search.search(ranked_search.build_index(table(spark, rows(3, 6))), asked.limit(0)).count() == 0
 
 
 def test_range_maxima():
@@ -215,7 +215,7 @@ def test_counterfactuals_lower_false_positives(spark):
 
 def test_toxicity_odd_rows(spark):
     held, more = odd(spark)
-    df = table(spark, held + more + rows(3, 3))
+    df = table(spark, held + more + rows(3, 6))
     known = spark.createDataFrame([(0, 1), (0, 0), (1, None), (None, 1), (2, 0), (3, 0), (4, 1)], "doc_id long, toxic int")
     got = toxicity.toxicity(df, known).collect()
     assert len(got) == df.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
