@@ -120,9 +120,20 @@ def fit_rates(members: DataFrame, weights: list[float], budget: float | None = N
     share = [w / sum(weights) for w in weights]
 
     def totals(rate):
-        sums = members.agg(*[F.sum(F.col("n_tokens") * rate * F.col(f"p_{k}")) for k in domains]).first()
+        rated = members.select("n_tokens", *[f"p_{k}" for k in domains], rate.alias("rate"))
+        sums = rated.agg(*[F.sum(F.col("n_tokens") * F.col("rate") * F.col(f"p_{k}")) for k in domains]).first()
         return [float(s or 0.0) for s in sums]
 
+    eta = 1.0 / (1.0 + ridge)
+
+    def after(slopes):
+        # The steps are data, an array of each one's slopes, so that the plan and its code are the same at any step.
+        def step(rate, slope):
+            moved = rate * (1.0 - eta * ridge) + eta * ridge - _add([F.col(f"p_{k}") * slope[k] for k in domains]) * eta
+            return F.greatest(F.lit(0.0), moved if most is None else F.least(F.lit(float(most)), moved))
+
+        return F.aggregate(F.array(*[F.array(*map(F.lit, x)) for x in slopes]), F.lit(1.0), step)
+
     now = totals(F.lit(1.0))
     words = sum(now)
     if not words:
@@ -133,19 +144,18 @@ def fit_rates(members: DataFrame, weights: list[float], budget: float | None = N
     wanted = [budget * s for s in share]
     targets = wanted if most is None else [min(w, most * t) for w, t in zip(wanted, now)]
     metric = [words / max(t, 1e-9 * words) for t in now]
-    eta, rate, taken = 1.0 / (1.0 + ridge), F.lit(1.0), 0
+    slopes, rate = [], F.lit(1.0)
     misses = lambda sums: [(s - t) / words for s, t in zip(sums, targets)]
     miss = misses(now)
-    for taken in range(1, steps + 1):
-        slope = _add([F.col(f"p_{k}") * (metric[k] * miss[k]) for k in domains])
-        moved = rate * (1.0 - eta * ridge) + eta * ridge - slope * eta
-        rate = F.greatest(F.lit(0.0), moved if most is None else F.least(F.lit(float(most)), moved))
+    for _ in range(steps):
+        slopes.append([metric[k] * miss[k] for k in domains])
+        rate = after(slopes)
         now = totals(rate)
         last, miss = miss, misses(now)
         if max(abs(a - b) for a, b in zip(last, miss)) < TOLERANCE:
             break
     rate = F.when(F.col("n_tokens") > 0, rate).otherwise(1.0)
-    return rate, {"totals": now, "wanted": wanted, "targets": targets, "input": given, "budget": budget, "steps": taken}
+    return rate, {"totals": now, "wanted": wanted, "targets": targets, "input": given, "budget": budget, "steps": len(slopes)}
 
 
 def mix_rates(df: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id",

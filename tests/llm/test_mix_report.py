@@ -48,3 +48,12 @@ def test_report_of_nothing(spark):
     marked = spark.createDataFrame([(1, "good")], "doc_id long, domain string")
     mixed, report = mixing.mix_reported(none, marked, {"good": 0.5, "low": 0.5})
     assert mixed.count() == 0 and [r[2:] for r in report] == [(0.0,) * 5] * 2
+
+
+def test_plan_does_not_grow_with_steps(spark):
+    """Each step's slopes are data: more steps nest no more expressions, which the driver would compile one by one."""
+    rows = spark.createDataFrame([(k + 1, p, 1 - p) for k, p in enumerate((0.1, 0.4, 0.6, 0.9))], "n_tokens long, p_0 double, p_1 double")
+    for steps in (2, 9):
+        rate, told = mixing.fit_rates(rows, [0.2, 0.8], steps=steps)
+        plan = rows.select(rate.alias("rate"))._jdf.queryExecution().analyzed().toString()
+        assert told["steps"] == steps and plan.count("greatest(") == 1
