@@ -1,7 +1,9 @@
 """What the operators on texts share."""
 
+import ctypes
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,9 @@ from ..storage import stored
 #: ASCII white space, between words: space and \t \n \v \f \r, as a regular expression.
 SPACE = r"[\x20\x09-\x0D]"
 BATCH_ROWS, BATCH_BYTES, PART_ROWS = 2000, 8 << 20, 400
+#: What modules remember in a Python worker, and the module whose step ran last in it.
+_remembered: list[dict] = []
+_last = [""]
 
 
 def whole(text) -> Column:
@@ -18,6 +23,43 @@ def whole(text) -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
 
+def remembered() -> dict:
+    """A dictionary that a worker keeps from task to task, until a step of another module runs in it."""
+    _remembered.append({})
+    return _remembered[-1]
+
+
+def forget(module: str) -> None:
+    """What modules remembered goes, unless the last step in this process was of the same ``module``."""
+    if _last[0] != module:
+        _last[0] = module
+        for held in _remembered:
+            held.clear()
+
+
+def hand_back() -> None:
+    """Memory that is free in this process goes back to the machine, where the C library can do that."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):
+        pass
+
+
+def frugal(step: Callable, module: str) -> Callable:
+    """``step`` for workers that live on: they forget what other modules remembered before it, and hand free memory back after.
+
+    An executor keeps its workers, often more than it has cores, and waiting ones count against its memory in later stages.
+    """
+
+    def told(batches):
+        forget(module)
+        yield from step(batches)
+        hand_back()
+
+    return told
+
+
 def map_arrow(df: DataFrame, step: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` in batches small enough for very long texts.
 
@@ -29,7 +71,7 @@ def map_arrow(df: DataFrame, step: Callable, schema: str) -> DataFrame:
         now = str(conf.get(name))
         if not now.isdigit() or not 0 < int(now) <= most:
             conf.set(name, str(most))
-    return df.mapInArrow(step, schema)
+    return df.mapInArrow(frugal(step, step.__module__), schema)
 
 
 def parts(batches, rows: int = PART_ROWS):

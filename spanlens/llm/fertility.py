@@ -11,6 +11,7 @@ id get a row each; an unknown or null language falls back to the script; an empt
 """
 
 import re
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, names_apart, parts, whole
+from .common import map_arrow, names_apart, parts, remembered, whole
 from .pieces import Vocabulary, model_path, pre_tokens
 
 MIN_WORDS, REPEATED_PERCENT, WINDOW = 20, 30, 8
@@ -123,17 +124,18 @@ def _base(texts: list[str]) -> dict[str, np.ndarray]:
     return {k: np.array(v, np.int64) for k, v in out.items()}
 
 
-_ids: dict[tuple[str, str], list[int]] = {}
+_ids: dict[str, dict[str, bytes]] = remembered()
 
 
-def _encoded(path: str, names: list[str]) -> list[list[int]]:
-    """The ids of distinct pre-tokens; short ones are remembered from batch to batch."""
-    if len(_ids) > CACHE:
-        _ids.clear()
-    new = [w for w in names if (path, w) not in _ids]
-    ids = dict(zip(new, Vocabulary.at(path).encode(new)))
-    out = [ids[w] if w in ids else _ids[path, w] for w in names]
-    _ids.update(((path, w), ids[w]) for w in new[:CACHE] if len(w) <= CACHE_CHARS)
+def _encoded(path: str, names: list[str]) -> list[bytes]:
+    """The ids of distinct pre-tokens, four bytes each; short ones are remembered from batch to batch."""
+    known = _ids.setdefault(path, {})
+    if len(known) > CACHE:
+        known.clear()
+    new = [w for w in names if w not in known]
+    ids = {w: array("i", x).tobytes() for w, x in zip(new, Vocabulary.at(path).encode(new))}
+    out = [ids[w] if w in ids else known[w] for w in names]
+    known.update((w, ids[w]) for w in new[:CACHE] if len(w) <= CACHE_CHARS)
     return out
 
 
@@ -144,8 +146,8 @@ def _fertility(texts: list[str], path: str) -> dict[str, np.ndarray]:
     doc = np.repeat(np.arange(n), [len(s) for s in split])
     codes, names = pd.factorize(np.array([w for s in split for w in s], object))
     ids = _encoded(path, list(names))
-    size = np.array([len(x) for x in ids], np.int64)
-    flat = np.fromiter((i for x in ids for i in x), np.int64, int(size.sum()))
+    size = np.array([len(x) for x in ids], np.int64) // 4
+    flat = np.frombuffer(b"".join(ids), np.int32).astype(np.int64)
     start = np.cumsum(size) - size
     pair, times = np.unique(doc * max(len(names), 1) + codes, return_counts=True)
     of_pair, code = pair // max(len(names), 1), pair % max(len(names), 1)

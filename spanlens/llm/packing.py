@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, parts, whole
+from .common import map_arrow, parts, remembered, whole
 from .pieces import Vocabulary, model_path, pre_tokens
 
 SIZES = (1024, 2048, 4096, 8192)
@@ -31,7 +31,7 @@ WINDOW = 1 << 15
 #: Tokens that a sequence costs beyond its own, and the length at which attention costs as much as the rest.
 FIXED_TOKENS, ATTENTION_LENGTH = 256, 32768
 CACHE, CACHE_CHARS = 150_000, 64
-_known: dict[str, dict[str, int]] = {}
+_known: dict[str, dict[str, int]] = remembered()
 
 
 def cost(size: int) -> float:

@@ -9,10 +9,12 @@ import re
 
 import sentencepiece
 
+from .common import remembered
+
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
 _PRE_TOKEN = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
-_open = {}
+_open = remembered()
 
 
 def model_path(name: str = MODEL) -> str:
