@@ -5,6 +5,8 @@ import pytest
 
 import corpus_pipeline
 from spanlens.llm import near_simhash
+from spanlens.llm.components import components
+from spanlens.storage import stored
 from tests.llm import cases
 from tests.llm.test_minhash import plain_set, plain_tops
 
@@ -98,3 +100,41 @@ def test_sets_are_compared_whole():
     assert {frozenset(x) for x in found} == {frozenset((0, 1)), frozenset((3, 4))}
     # What is tied already isn't held against itself.
     assert len(near_simhash._set_forest([0, 0, 0, 3, 3], sets, 0.8)) == 0
+
+
+def test_a_crowd_makes_few_links(spark):
+    """Candidates of many variants of one text are tied as by all tables at once, by few links a node."""
+    rng = random.Random(9)
+    base = cases.sentence(rng, 200).split()
+    texts = [cases.sentence(rng, 200) for _ in range(20)]
+    for k in range(300):
+        at = set(rng.sample(range(200), rng.randint(1, 6)))
+        texts.append(" ".join("new%d" % k if i in at else w for i, w in enumerate(base)))
+    source = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    nodes = stored(near_simhash._sketches(source, near_simhash.SHINGLE), "sketches")
+    got = stored(near_simhash.candidates(nodes), "got")
+    every = stored(near_simhash.candidates(nodes, first=0), "every")
+    tops = [sorted((bytes(r.node), bytes(r.component)) for r in components(x).collect()) for x in (got, every)]
+    assert tops[0] == tops[1] and len(tops[0]) >= 300
+    assert got.distinct().count() <= 4 * len(texts) < every.distinct().count()
+
+
+def test_what_is_tied_makes_no_links():
+    """With what has the same top tied already, a bucket's links hold together what they would without."""
+    rng = np.random.default_rng(6)
+    middle = rng.integers(-(1 << 62), 1 << 62, (4, 2))
+    fp = np.concatenate([np.stack([m ^ (1 << rng.integers(0, 62, 2)) for _ in range(40)]) for m in middle])
+    fp, top = np.unique(fp, axis=0), None
+    which = np.array([int(near_simhash._apart(middle, x).argmin()) for x in fp])
+    top = np.where(which < 3, which + 1, 0)
+    order = np.argsort(top, kind="stable")
+    fp, top, which = fp[order], top[order], which[order]
+    for key in (np.zeros(len(fp), np.int64), np.arange(len(fp)) % 5):
+        by = np.lexsort((top, key))
+        pairs = near_simhash._bucket_pairs(key[by], fp[by], 8, top[by])
+        ends = [(x.tobytes(), y.tobytes()) for a, b in pairs for x, y in zip(a, b)]
+        alone = {x.tobytes() for x in fp[which == 3]}
+        assert ends and all(x in alone and y in alone for x, y in ends) and len(ends) <= 5 * len(alone)
+    # Two tied groups that are near each other get one link.
+    near = near_simhash._bucket_pairs(np.zeros(len(fp), np.int64), fp, 128, top)
+    assert sum(len(a) for a, _ in near) == 2 + (which == 3).sum()
