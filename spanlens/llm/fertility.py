@@ -11,7 +11,6 @@ id get a row each; an unknown or null language falls back to the script; an empt
 """
 
 import re
-from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,8 +26,7 @@ MIN_WORDS, REPEATED_PERCENT, WINDOW = 20, 30, 8
 #: Distinct pre-tokens that a Python worker keeps the ids of, and how long they may be.
 CACHE, CACHE_CHARS = 100_000, 64
 _WORD = re.compile("[^ \t-\r]+")
-_SYMBOL = re.compile("[#*$%&|<>]")
-_DIGIT = re.compile("[0-9]")
+_SPACES, _SYMBOLS = " \t\n\v\f\r", "#*$%&|<>"
 
 
 @dataclass(frozen=True)
@@ -111,13 +109,14 @@ def duplicate_lines(text: str) -> int:
 
 def _base(texts: list[str]) -> dict[str, np.ndarray]:
     """The plain counts of each text."""
-    split = [_WORD.findall(t) for t in texts]
+    # Of bytes ``split`` parts at ASCII white space alone.
+    split = [t.encode().split() for t in texts]
     codes, _ = pd.factorize(np.array([w for s in split for w in s], object))
     ends = np.cumsum([len(s) for s in split])
     out = {
         "n_words": [len(s) for s in split],
-        "word_chars": [sum(map(len, s)) for s in split],
-        "n_symbols": [len(_SYMBOL.findall(t)) for t in texts],
+        "word_chars": [len(t) - sum(map(t.count, _SPACES)) for t in texts],
+        "n_symbols": [sum(map(t.count, _SYMBOLS)) for t in texts],
         "n_dup_lines": [duplicate_lines(t) for t in texts],
         "n_repeat_words": [repeated_words(codes[e - len(s):e]) for s, e in zip(split, ends)],
     }
@@ -133,9 +132,18 @@ def _encoded(path: str, names: list[str]) -> list[bytes]:
     if len(known) > CACHE:
         known.clear()
     new = [w for w in names if w not in known]
-    ids = {w: array("i", x).tobytes() for w, x in zip(new, Vocabulary.at(path).encode(new))}
-    out = [ids[w] if w in ids else known[w] for w in names]
-    known.update((w, ids[w]) for w in new[:CACHE] if len(w) <= CACHE_CHARS)
+    known.update(zip(new, Vocabulary.at(path).packed(new)))
+    out = list(map(known.__getitem__, names))
+    for w in new if len(new) > CACHE else [w for w in new if len(w) > CACHE_CHARS]:
+        del known[w]
+    return out
+
+
+def _with_digits(names: list[str], length: np.ndarray) -> np.ndarray:
+    """Which of the names (not empty, of the given lengths) have an ASCII digit."""
+    code = np.frombuffer("".join(names).encode("utf-32-le"), "<u4")
+    out = np.zeros(len(names), bool)
+    out[np.searchsorted(np.cumsum(length), np.flatnonzero((code >= 48) & (code <= 57)), side="right")] = True
     return out
 
 
@@ -168,8 +176,8 @@ def _fertility(texts: list[str], path: str) -> dict[str, np.ndarray]:
         entropy = np.where(tokens > 0, np.log2(np.maximum(tokens, 1)) - plogp / np.maximum(tokens, 1), 0.0)
     is_byte = np.array(Vocabulary.at(path).byte)
     # Numbers and keys say nothing of the language.
-    plain = np.array([not _DIGIT.search(w) for w in names], bool)
-    length = np.array([len(w) for w in names], np.int64)
+    length = np.fromiter(map(len, names), np.int64, len(names))
+    plain = ~_with_digits(names, length)
     plain_chars = np.bincount(of_pair, times * (length * plain)[code], n)
     plain_tokens = np.bincount(of_pair, times * (size * plain)[code], n)
     # A line break is a byte in this vocabulary without being foreign to it.

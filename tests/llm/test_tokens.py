@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 from collections import Counter
 from math import log2
@@ -172,3 +173,48 @@ def test_packed_documents(spark, sizes, window):
         assert r.bin_size == min(s for s in sizes if s >= filled[r.bin_id])
         assert r.n_tokens == max(sizes) or r.start % max(sizes) == 0
     assert packing.pack_documents(cases.table(spark, [])).count() == 0
+
+
+def test_pre_tokens_are_packed():
+    """Pre-tokens encoded a few together have the ids that each has alone, and the model gets few texts."""
+    rng = random.Random(8)
+    odd = "▁\x00\x1c\x85\r\v aeé9<中\U0001f600\u0301x0A>"
+    words = ["\n", "▁", "▁▁▁", "<0x0A>", "▁<unk>", "a" * 5000, "a\nb", *["▁" + "".join(rng.choice(odd) for _ in range(rng.randint(0, 9)))
+                                                                     for _ in range(800)]]
+    vocabulary = pieces.Vocabulary(pieces.model_path())
+    want = [np.array(ids, np.int32).tobytes() for ids in vocabulary.encode(words)]
+    model, given = vocabulary.model, []
+    vocabulary.model = type("Counting", (), {"encode": lambda _, x, **k: given.extend([x] if isinstance(x, str) else x) or model.encode(x, **k)})()
+    assert vocabulary.packed(words) == want and len(given) <= len(words) // pieces.TOGETHER + 4
+    # A line break that comes out as something else is no mark: each word goes alone.
+    vocabulary.line_break = next(i for i, x in enumerate(vocabulary.byte) if x)
+    assert vocabulary.packed(words) == want
+    assert vocabulary.packed([]) == [] and vocabulary.packed(["\n"]) == want[:1]
+
+
+def test_the_quality_rules_give_the_model_few_texts(monkeypatch):
+    rng, sizes = random.Random(10), []
+    real = pieces.Vocabulary.at(pieces.model_path())
+    counting = type("Counting", (), {"encode": lambda _, x, **k: sizes.append(len(x)) or real.model.encode(x, **k)})()
+    fake = pieces.Vocabulary(pieces.model_path())
+    fake.model = counting
+    monkeypatch.setitem(pieces._open, pieces.model_path(), fake)
+    names = list({"▁" + cases.sentence(rng, 1) for _ in range(3000)})
+    fertility._ids.clear()
+    got = fertility._encoded(pieces.model_path(), names)
+    assert [np.frombuffer(x, np.int32).tolist() for x in got] == real.encode(names)
+    assert sum(sizes) <= len(names) // 8 and fertility._encoded(pieces.model_path(), names) == got
+
+
+def test_plain_counts_of_odd_texts():
+    rng = random.Random(12)
+    odd = " \t\n\v\f\r\x1c\x85\xa0\u2028a9é#*$%&|<>中\U0001f600"
+    texts = ["".join(rng.choice(odd) for _ in range(rng.randint(0, 60))) for _ in range(300)] + ["", "\n", "9"]
+    base = fertility._base(texts)
+    words = [re.findall("[^ \\t-\\r]+", t) for t in texts]
+    assert base["n_words"].tolist() == [len(w) for w in words]
+    assert base["word_chars"].tolist() == [sum(map(len, w)) for w in words]
+    assert base["n_symbols"].tolist() == [len(re.findall(r"[#*$%&|<>]", t)) for t in texts]
+    names = [t for t in texts if t]
+    length = np.array([len(t) for t in names])
+    assert fertility._with_digits(names, length).tolist() == [bool(re.search("[0-9]", t)) for t in names]
