@@ -268,9 +268,17 @@ def count_intervals_stream(stream: DataFrame, out: str, checkpoint: str, late_ns
     return _per_batch(stream, work, out, checkpoint, trigger)
 
 
-def interval_counts(spark: SparkSession, out: str, late_ns: int | None = None,
-                    width_ns: int = STALL_INTERVAL_NS) -> DataFrame:
-    """Rows counted and dropped in each interval so far, and whether the watermark has closed it."""
+def interval_counts(source: SparkSession | DataFrame, out: str | int = 5, late_ns: int | None = None,
+                    width_ns: int = STALL_INTERVAL_NS, late: str | None = None) -> DataFrame:
+    """Rows counted and dropped in each interval so far below ``out``, and whether the watermark has closed it.
+
+    Given a stream of intervals instead of a session it returns the rows of each tumbling window of ``out`` seconds of start
+    time, as a stream; only a given watermark ``late`` ever drops one."""
+    if isinstance(source, DataFrame):
+        at = source.withColumn("at", F.timestamp_micros(floor_div("start", 1000)))
+        at = at if late is None else at.withWatermark("at", late)
+        return at.groupBy(CAPTURE, F.window("at", f"{out} seconds")).agg(F.count(F.lit(1)).alias("new_rows"))
+    spark = source
     parts = spark.read.parquet(f"{out}/counts").groupBy(CAPTURE, "interval").agg(
         F.sum("new_rows").alias("new_rows"), F.sum("dropped").alias("dropped"))
     closed = F.lit(False) if late_ns is None else (F.col("interval") + 1) * width_ns <= F.col("high") - late_ns
