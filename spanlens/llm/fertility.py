@@ -23,6 +23,8 @@ from .common import map_arrow, names_apart, parts, remembered, whole
 from .pieces import Vocabulary, model_path, pre_tokens
 
 MIN_WORDS, REPEATED_PERCENT, WINDOW = 20, 30, 8
+#: Texts whose words and tokens a worker holds at once; all of them count against the executor's memory.
+PART_ROWS = 200
 #: Distinct pre-tokens that a Python worker keeps the ids of, and how long they may be.
 CACHE, CACHE_CHARS = 100_000, 64
 _WORD = re.compile("[^ \t-\r]+")
@@ -217,7 +219,7 @@ def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     names = ["id", *[x.split()[0] for x in _MEASURES.split(", ")]]
 
     def step(batches):
-        for part in parts(batches):
+        for part in parts(batches, PART_ROWS):
             columns = _measured(part.column(1).to_pylist(), part.column(2).to_pylist(), path, bands, scripts)
             yield pa.record_batch([part.column(0), *columns], names)
 
@@ -234,7 +236,7 @@ def keep_good(df: DataFrame, text_col: str = "text", lang_col: str | None = "lan
     source = df.withColumns({text: whole(text_col), lang: given})
 
     def step(batches):
-        for part in parts(batches):
+        for part in parts(batches, PART_ROWS):
             texts, langs = part.column(part.num_columns - 2), part.column(part.num_columns - 1)
             kept = _measured(texts.to_pylist(), langs.to_pylist(), path, bands, scripts)[-1]
             yield part.select(range(part.num_columns - 2)).filter(kept)
